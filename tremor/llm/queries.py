@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules
+from . import line_dedup, packing, quality_rules, token_files
 
 QUERIES = {
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op9_token_files": token_files.op9_token_files,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
