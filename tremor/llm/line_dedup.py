@@ -42,7 +42,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     frequent = written(keyed.groupBy("h").count().filter(F.col("count") >= min_docs).select("h"), "frequent-lines")
     hits = written(keyed.join(frequent, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("gone")), "line-hits")
     forget(frequent)
-    hits = hits.select(F.col("doc_id").alias("hit_id"), "gone")
+    # One plan at every size: the hits grow with the documents, so they are never broadcast.
+    hits = hits.select(F.col("doc_id").alias("hit_id"), "gone").hint("merge")
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(
         F.filter("lines", lambda x: ~F.array_contains(F.col("gone"), _hash(line_key(x))) | (F.length(line_key(x)) < min_chars))
     )
