@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, packing, quality_rules, secret_scan, token_files, toxicity
+from . import language_id, line_dedup, packing, quality_rules, secret_scan, simhash, token_files, toxicity
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_language_id": language_id.op4_language_id,
     "op5_secret_scan": secret_scan.op5_secret_scan,
+    "op6_simhash": simhash.op6_simhash,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_files": token_files.op9_token_files,
