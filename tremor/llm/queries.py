@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, packing, quality_rules, secret_scan, simhash, token_files, toxicity
+from . import decontaminate, language_id, line_dedup, packing, quality_rules, secret_scan, simhash, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_language_id": language_id.op4_language_id,
     "op5_secret_scan": secret_scan.op5_secret_scan,
