@@ -158,7 +158,7 @@ def identify(docs: DataFrame, model: Model, *also: str) -> DataFrame:
     """doc_id, lang_pred, score, and the columns ``also`` as they are."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    cols = ["doc_id", "text", *also]
+    cols = ["doc_id", "text", *(c for c in also if c != "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value)

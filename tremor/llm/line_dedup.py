@@ -11,6 +11,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +27,12 @@ def _hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("line"), key).alias("b"))
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: Sequence[str] = ()) -> DataFrame:
     """Drops every line whose key is in at least ``min_docs`` documents.
 
-    Returns doc_id, text (what is kept), n_lines (before) and n_dropped.
+    Returns doc_id, text (what is kept), n_lines (before), n_dropped, and the columns ``keep`` as they are.
     """
-    lines = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    lines = docs.select("doc_id", *keep, F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
     keyed = lines.select(
         "doc_id",
         F.explode(
@@ -47,9 +49,10 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(
         F.filter("lines", lambda x: ~F.array_contains(F.col("gone"), _hash(line_key(x))) | (F.length(line_key(x)) < min_chars))
     )
-    joined = lines.join(hits, lines.doc_id.eqNullSafe(hits.hit_id), "left").select("doc_id", "lines", kept.alias("kept"))
+    joined = lines.join(hits, lines.doc_id.eqNullSafe(hits.hit_id), "left").select("doc_id", *keep, "lines", kept.alias("kept"))
     return joined.select(
         "doc_id",
+        *keep,
         F.array_join("kept", "\n").alias("text"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),

@@ -48,17 +48,20 @@ def simhash(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp (as a signed 64-bit integer) and n_words."""
+def fingerprints(docs: DataFrame, width: int = 3, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (as a signed 64-bit integer), n_words, words_hash (of all words in order), and the long columns ``also``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t.as_py() for t in b.column(1)]
             fp = np.array([simhash(t, width) for t in texts], np.uint64).view(np.int64)
-            n = [len(t.encode().split()) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(n, pa.int64())], names=["doc_id", "fp", "n_words"])
+            words = [t.encode().lower().split() if t else [] for t in texts]
+            n = pa.array([len(w) for w in words], pa.int64())
+            whole = pa.array(np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in words], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), n, whole, *(b.column(c) for c in also)], names=["doc_id", "fp", "n_words", "words_hash", *also])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, n_words long")
+    schema = ", ".join(["doc_id long, fp long, n_words long, words_hash long", *(f"{c} long" for c in also)])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *also).mapInArrow(run, schema)
 
 
 def _pivots(n: int = PIVOTS) -> np.ndarray:
@@ -151,6 +154,34 @@ def simhash_components(prints: DataFrame, radius: int = 2, blocks: int = 4) -> D
     return prints.join(fps.join(ids, "component").select("fp", "component_id"), "fp", "left")
 
 
+#: Radius, blocks and least words of ``keep_one``. Shingles of three words make fingerprints of texts whose five-word
+#: shingles are 0.8 similar differ by about 5 bits of 64, at 0.9 and more by at most 6 in measured near copies.
+NEAR_RADIUS, NEAR_BLOCKS, NEAR_WORDS = 6, 9, 20
+
+
+def keep_one(docs: DataFrame, radius: int = NEAR_RADIUS, blocks: int = NEAR_BLOCKS, least_words: int = NEAR_WORDS) -> DataFrame:
+    """One row of each group of near-duplicates: the least doc_id, then the least text.
+
+    Texts under ``least_words`` words have too few shingles for near fingerprints to mean near texts (and one changed word
+    leaves them less than 0.8 similar in five-word shingles), so only those with equal words are copies of each other.
+    """
+    prints = written(
+        fingerprints(docs.withColumn("_h", F.xxhash64("text")), also=("_h",)).withColumn("short", F.col("n_words") < least_words), "near-docs"
+    )
+    near = simhash_components(prints.filter("not short"), radius, blocks).select("doc_id", "_h", F.col("component_id").alias("a"), F.lit(None).cast("long").alias("b"))
+    exact = prints.filter("short").select("doc_id", "_h", F.lit(None).cast("long").alias("a"), F.col("words_hash").alias("b"))
+    group = near.unionByName(exact)
+    # min over (id, hash) with nulls last; one row a group
+    first = group.groupBy("a", "b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("x")).select("x.doc_id", "x._h")
+    first = written(first.groupBy("doc_id", "_h").agg(F.count("*").alias("n")), "near-kept").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"))
+    kept = docs.withColumn("_h", F.xxhash64("text")).join(first.hint("merge"), (F.col("_h") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    # repeated rows agree in id and text
+    copies = prints.groupBy("doc_id", "_h").agg(F.count("*").alias("n")).filter("n > 1")
+    if copies.isEmpty():
+        return kept.drop("_h", "_k", "_d")
+    return kept.dropDuplicates(["doc_id", "_h"]).drop("_h", "_k", "_d")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = written(fingerprints(table(spark, sf_dir, "documents")), "simhash-docs")
     out = simhash_components(prints)
