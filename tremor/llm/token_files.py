@@ -1,7 +1,7 @@
 """Token-id files: raw id payloads, and a minimal perfect hash from document keys to their place.
 
-A shard is two files. ``ids-NNNNN.bin``: the ids of its documents, unsigned 32-bit little-endian, one document after the
-other in ascending order of doc_id. ``ids-NNNNN.npz``: the keys in that order, the perfect hash with fingerprints, and by
+A shard is two files. ``ids-NNNNN.bin``: the ids of its documents, unsigned little-endian, in 16 bits where the vocabulary has
+at most 65,536 ids and else in 32, one document after the other in ascending order of doc_id. ``ids-NNNNN.npz``: the keys in that order, the perfect hash with fingerprints, and by
 hash place the start in the payload and the count. A key is (doc_id, how many rows with this id came before); so a lookup
 costs one hash walk and one ranged read, whatever the number of documents. ``manifest`` lists the shards, their first keys
 and the ids before them. Shards are written under a name of the task's attempt and renamed, so a task that is run again
@@ -39,6 +39,10 @@ def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
+def _kind(n_ids: int) -> str:
+    return "<u2" if n_ids <= 1 << 16 else "<u4"
+
+
 def _parts(ids: np.ndarray, nulls: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(nulls, 0, ids).astype(np.int64).view(np.uint64), nth.astype(np.uint64) | np.where(nulls, _NULL, np.uint64(0))
 
@@ -53,16 +57,17 @@ def write_tokens(docs: DataFrame, uri: str, vocabulary: str = VOCABULARY) -> Dat
         shard, (fs, root) = task.partitionId(), _fs(uri)
         fs.create_dir(root, recursive=True)
         name, own = f"{root}/ids-{shard:05d}", f"{root}/tmp-{shard:05d}-{task.taskAttemptId()}"
-        enc, end = encoder(vocabulary), np.array([END_ID], "<u4").tobytes()
+        enc = encoder(vocabulary)
+        kind = _kind(enc.n_ids)
+        end = np.array([END_ID], kind).tobytes()
         keys: list[int | None] = []
         counts: list[int] = []
         with fs.open_output_stream(f"{own}.bin") as out:
             for b in batches:
-                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    raw = enc.encode(text.as_py()).tobytes() + end
-                    out.write(raw)
+                for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_column(b.column(1)), strict=True):
+                    out.write(np.frombuffer(ids, "<u4").astype(kind).tobytes() + end)
                     keys.append(doc_id)
-                    counts.append(len(raw) // 4)
+                    counts.append(len(ids) // 4 + 1)
         if not keys:
             fs.delete_file(f"{own}.bin")
             return
@@ -75,7 +80,7 @@ def write_tokens(docs: DataFrame, uri: str, vocabulary: str = VOCABULARY) -> Dat
         start, count = np.empty(len(n), "<i8"), np.empty(len(n), "<i8")
         start[place], count[place] = np.cumsum(n) - n, n
         buffer = io.BytesIO()
-        np.savez(buffer, ids=ids, nulls=nulls, nth=nth, start=start, count=count, **mph.arrays())
+        np.savez(buffer, kind=np.array(kind), ids=ids, nulls=nulls, nth=nth, start=start, count=count, **mph.arrays())
         with fs.open_output_stream(f"{own}.npz") as out:
             out.write(buffer.getvalue())
         for kind in ("bin", "npz"):
@@ -103,6 +108,7 @@ class Shard:
         self.payload = f"{root}/ids-{shard:05d}.bin"
         with self.fs.open_input_file(f"{root}/ids-{shard:05d}.npz") as f:
             self.index = dict(np.load(io.BytesIO(f.read())))
+        self.kind = np.dtype(str(self.index["kind"]))
         self.hash = PerfectHash.of({k: v for k, v in self.index.items() if k == "marks" or k.startswith(("bits", "before"))})
 
     def find(self, ids: np.ndarray, nulls: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +117,11 @@ class Shard:
         return np.where(place < 0, -1, self.index["start"][place]), np.where(place < 0, 0, self.index["count"][place])
 
 
+    def read(self, payload: pa.NativeFile, start: int, count: int) -> np.ndarray:
+        payload.seek(start * self.kind.itemsize)
+        return np.frombuffer(payload.read(count * self.kind.itemsize), self.kind).astype("<u4")
+
+
 class TokenReader:
     """Keyed access for one process: constant time a key, and only the shards that are asked for are opened."""
 
@@ -128,8 +139,7 @@ class TokenReader:
             start, count = s.find(np.array([doc_id or 0]), np.array([doc_id is None]), np.array([nth]))
             if start[0] >= 0:
                 with s.fs.open_input_file(s.payload) as f:
-                    f.seek(int(start[0]) * 4)
-                    return np.frombuffer(f.read(int(count[0]) * 4), "<u4")
+                    return s.read(f, int(start[0]), int(count[0]))
         return None
 
 
@@ -146,8 +156,7 @@ def read_tokens(manifest: DataFrame, uri: str) -> DataFrame:
                     for lo in range(0, len(ids), 1024):
                         crc = []
                         for at, n in zip(start[lo : lo + 1024].tolist(), count[lo : lo + 1024].tolist(), strict=True):
-                            f.seek(at * 4)
-                            crc.append(zlib.crc32(f.read(n * 4)))
+                            crc.append(zlib.crc32(s.read(f, at, n).tobytes()))
                         part = slice(lo, lo + 1024)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(ids[part], pa.int64(), mask=nulls[part]), pa.array(start[part] + base), pa.array(count[part]), pa.array(crc, pa.int64())],

@@ -1,35 +1,37 @@
 """Token ids of whole texts by the tokenizers library, remembered for pieces that cannot influence each other.
 
 The pre-tokenizer of byte-level BPE always cuts before a blank that stands between two other characters. So a text is
-the concatenation of its pieces split there, and the ids of a piece do not depend on its neighbours. Pieces are
-kept in two generations of at most ``room`` entries, so memory stays bounded whatever the vocabulary.
+the concatenation of its pieces split there, and the ids of a piece do not depend on its neighbours. Unknown pieces go to the
+library, many in one call. Pieces are kept in two generations of about ``room`` entries, so memory stays bounded
+whatever the vocabulary of the texts.
 """
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
 #: Parameter: the public vocabulary, by name.
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 _JOINT = re.compile(r"(?<=\S) (?=\S)")
-_LINKABLE = re.compile(r"\x20[!-~\u00a1-\u024f]+\Z")
-_ODD = re.compile(r"\s \S|\S \s|\s \s|^ | $")
+_ODD = re.compile(r" (?:\s|(?<=\s ))")
+_BLOCK = 4096
 
 
 @cache
-def encoder(vocabulary: str = VOCABULARY, room: int = 200_000) -> Encoder:
+def encoder(vocabulary: str = VOCABULARY, room: int = 500_000) -> Encoder:
     """One for each Python worker."""
     return Encoder(vocabulary, room)
 
 
 class Encoder:
     def __init__(self, vocabulary: str, room: int):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -37,54 +39,73 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.tokenizer.encode_special_tokens = True
         names = self.tokenizer.get_vocab()
-        self.n_bytes = np.zeros(max(names.values()) + 1, np.int64)
+        self.n_ids = max(names.values()) + 1
+        self.n_bytes = np.zeros(self.n_ids, np.int64)
         for name, i in names.items():
             self.n_bytes[i] = len(name)  # a character of a name stands for a byte
         self.room = room
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _pieces(self, text: str) -> list[str]:
-        if _ODD.search(text):
-            cut = _JOINT.split(text)
-        else:
-            cut = text.split(" ")
-        cut[1:] = [" " + p for p in cut[1:]]
-        return cut
-
     def _learn(self, fresh: list[str]) -> None:
-        """Encodes new pieces, many in one call: those that begin at a joint are a text again when strung together."""
-        strung = [p for p in fresh if _LINKABLE.match(p)]
-        for k in range(0, len(strung), 4096):
-            part = strung[k : k + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(p.encode()) for p in part])
-            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
-            raw, lo = ids.tobytes(), 0
-            for p, hi in zip(part, (cuts * 4).tolist(), strict=True):
-                self.new[p] = raw[lo:hi]
-                lo = hi
-        rest = [p for p in fresh if p not in self.new]
-        if rest:
-            for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+        """Pieces that begin and end with something else than white space are a text again when strung together."""
+        strung = [p for p in fresh if not (p[:1].isspace() or p[-1:].isspace() or not p)]
+        for k in range(0, len(strung), _BLOCK):
+            part = strung[k : k + _BLOCK]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(p.encode()) + 1 for p in part])
+            cuts = (4 * np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 4).tolist()
+            raw = ids.tobytes()
+            self.new.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
+        if len(strung) < len(fresh):
+            rest = [p for p in fresh if p not in self.new]
+            for p, e in zip(rest, self.tokenizer.encode_batch_fast([" " + p for p in rest], add_special_tokens=False), strict=True):
                 self.new[p] = np.array(e.ids, "<u4").tobytes()
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """The ids, little-endian unsigned 32-bit, without an end id; none for null or empty texts."""
-        if not text:
-            return np.empty(0, "<u4")
-        pieces = self._pieces(text)
-        new, old = self.new, self.old
-        if absent := [p for p in dict.fromkeys(pieces) if p not in new]:
-            fresh = []
-            for p in absent:
-                if (ids := old.get(p)) is None:
-                    fresh.append(p)
-                else:
-                    new[p] = ids
-            if fresh:
-                self._learn(fresh)
-        out = np.frombuffer(b"".join(map(new.__getitem__, pieces)), "<u4")
-        if len(new) > self.room:
-            self.old, self.new = new, {}
+    def encode_many(self, texts: Iterable[str | None]) -> list[bytes]:
+        """For each text its ids, little-endian unsigned 32-bit, without an end id; none for null or empty texts."""
+        if len(self.new) > self.room:
+            self.old, self.new = self.new, {}
+        cuts: list[list[str]] = []
+        found: list[list[bytes | None]] = []
+        absent: set[str] = set()
+        for t in texts:
+            if not t:
+                cuts.append([])
+                found.append([])
+                continue
+            c = _JOINT.split(t) if t[0] == " " or t[-1] == " " or _ODD.search(t) else t.split(" ")
+            got = list(map(self.new.get, c))
+            got[0] = b""  # the first piece has no blank before it
+            if None in got:
+                absent.update(p for p, g in zip(c, got, strict=True) if g is None)
+            cuts.append(c)
+            found.append(got)
+        fresh = []
+        for p in absent:
+            if (ids := self.old.get(p)) is None:
+                fresh.append(p)
+            else:
+                self.new[p] = ids
+        self._learn(fresh)
+        heads = self.tokenizer.encode_batch_fast([c[0] for c in cuts if c], add_special_tokens=False)
+        ahead = iter(heads)
+        out = []
+        for c, got in zip(cuts, found, strict=True):
+            if not c:
+                out.append(b"")
+                continue
+            if None in got:
+                of = self.new
+                got = [of[p] if g is None else g for p, g in zip(c, got, strict=True)]
+            got[0] = np.array(next(ahead).ids, "<u4").tobytes()
+            out.append(b"".join(got))
         return out
+
+    def encode_column(self, column: pa.Array, step: int = 256) -> Iterator[bytes]:
+        """As ``encode_many``, for a column of texts, a few at a time."""
+        for lo in range(0, len(column), step):
+            yield from self.encode_many(column[lo : lo + step].to_pylist())
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(self.encode_many([text])[0], "<u4")
