@@ -7,18 +7,10 @@ the shared folder: lineage is cut, and a lost executor costs one stage.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.sources.shared import shared_dir
-
-
-def _written(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/components-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from tremor.sources.shared import written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -43,13 +35,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     edges = edges.select("u", "v").filter("u is not null and v is not null")
     nodes = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
     kind = edges.schema["u"].dataType
-    stars = _written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    stars = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     before = None
     for _ in range(max_rounds):
         seen = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == before or seen[0] == 0:
             break
-        before, stars = seen, _written(_star(_star(stars, True), False))
+        before, stars = seen, written(_star(_star(stars, True), False), "components")
     else:
         raise RuntimeError("components did not settle")
     found = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
