@@ -33,14 +33,16 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VO
     schema = _PIECES + (", ids array<long>" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(vocabulary), np.array([END_ID], "<u4")
+        enc, end = encoder(vocabulary), np.array([END_ID], "<u4").tobytes()
         for b in batches:
             out: list[list] = [[] for _ in range(5 + keep_ids)]
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.concatenate([enc.encode(text.as_py()), end])
-                cuts = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_column(b.column(1)), strict=True):
+                raw = ids + end
+                n = len(raw) // 4
+                cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
                 for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    row = (doc_id, k, lo, hi - lo, zlib.crc32(ids[lo:hi].tobytes()), ids[lo:hi].tolist())
+                    part = raw[4 * lo : 4 * hi]
+                    row = (doc_id, k, lo, hi - lo, zlib.crc32(part), np.frombuffer(part, "<u4").tolist() if keep_ids else None)
                     for column, v in zip(out, row, strict=False):
                         column.append(v)
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
