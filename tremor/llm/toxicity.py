@@ -181,14 +181,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_terms
     known = written(docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(labels), "doc_id").select("text", "toxic"), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found: Counter = Counter()
-            for text, toxic, apart in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                for t in _terms(text.as_py()):
-                    found[t, toxic, apart] += 1
-            keys = list(found)
-            columns = [pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([found[k] for k in keys], pa.int64())], names=["term", "toxic", "apart", "n"])
+        for whole in batches:
+            for b in (whole.slice(lo, 128) for lo in range(0, whole.num_rows, 128)):  # so that a table of terms stays small
+                found: Counter = Counter()
+                for text, toxic, apart in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    for t in _terms(text.as_py()):
+                        found[t, toxic, apart] += 1
+                keys = list(found)
+                columns = [pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([found[k] for k in keys], pa.int64())], names=["term", "toxic", "apart", "n"])
 
     # The curve must not be fitted where the lexicon was learned, so it gets one third and a lexicon of the other two.
     known = known.withColumn("apart", F.pmod(F.xxhash64("text"), F.lit(3)) == 0)
