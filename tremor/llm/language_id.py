@@ -57,7 +57,7 @@ class Model:
     rows: np.ndarray  # log probabilities, a column for each language
 
 
-def fit(docs: DataFrame, sample_rows: int = 20_000, max_words: int = 60_000, max_grams: int = 120_000) -> Model:
+def fit(docs: DataFrame, sample_rows: int = 20_000, max_words: int = 40_000, max_grams: int = 60_000) -> Model:
     """Learns from text and lang of ``docs``, of which it takes the rows with both."""
     known = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
     known = bounded_sample(known, sample_rows, docs.filter("lang is not null").count())
@@ -87,28 +87,29 @@ def fit(docs: DataFrame, sample_rows: int = 20_000, max_words: int = 60_000, max
     grams = words.select("word", "lang").mapInArrow(spread, "o int, word string, lang string, n long")
     grams = written(grams.groupBy("o", "word", "lang").agg(F.sum("n").alias("n")), "lang-grams")
 
-    def most(df: DataFrame, limit: int) -> list:
-        by = df.groupBy("o", "word").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-        # Totals per language must not depend on what is left out, so they are taken apart from this report of the top.
-        return by.filter("total >= 2").orderBy(F.desc("total"), "o", "word").limit(limit).collect()
-
     words = words.withColumn("o", F.lit(0))
     langs = sorted(r.lang for r in words.select("lang").distinct().collect())
     at = {lang: i for i, lang in enumerate(langs)}
     totals = np.zeros((max(ORDERS) + 1, max(1, len(langs))))
     for r in words.unionByName(grams).groupBy("o", "lang").agg(F.sum("n").alias("n")).collect():
         totals[r.o, at[r.lang]] = r.n
+    def most(df: DataFrame, limit: int) -> pa.Table:
+        """Of the most frequent entries, a count for each language; as columns, which the driver holds in little memory."""
+        counts = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
+        by = df.groupBy("o", "word").agg(F.sum("n").alias("total"), *counts)
+        return by.filter("total >= 2").orderBy(F.desc("total"), "o", "word").limit(limit).drop("total").toArrow()
+
     model = Model(langs, {}, [{} for _ in ORDERS], np.zeros((0, len(langs))))
     rows = []
-    for r in [*most(words, max_words), *most(grams, max_grams)]:
-        v = np.full(len(langs), _SMOOTH)
-        for x in r.by_lang:
-            v[at[x.lang]] += x.n
-        to = model.words if r.o == 0 else model.grams[ORDERS.index(r.o)]
-        to[r.word] = len(rows)
-        rows.append(np.log(v / (totals[r.o] + 1)))
+    for got in (most(words, max_words), most(grams, max_grams)) if langs else ():
+        base = sum(map(len, rows))
+        order = got.column("o").to_numpy()
+        for i, (o, word) in enumerate(zip(order.tolist(), got.column("word").to_pylist(), strict=True)):
+            (model.words if o == 0 else model.grams[ORDERS.index(o)])[word] = base + i
+        n = np.column_stack([got.column(f"n{i}").to_numpy() for i in range(len(langs))]) if got.num_rows else np.zeros((0, len(langs)))
+        rows.append(np.log((n + _SMOOTH) / (totals[order] + 1)))
     if rows:
-        model.rows = np.array(rows)
+        model.rows = np.concatenate(rows)
     return model
 
 
