@@ -145,13 +145,13 @@ def links(fps: DataFrame, radius: int, blocks: int, most: int = MOST) -> DataFra
 
 
 def simhash_components(prints: DataFrame, radius: int = 2, blocks: int = 4) -> DataFrame:
-    """``prints`` (doc_id, fp) with component_id, the least doc_id reachable over links of ``radius`` bits."""
+    """``prints`` (doc_id, fp) with component (a fingerprint, never null) and component_id, the least doc_id reachable over links of ``radius`` bits."""
     fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-prints")
     parts = connected_components(links(fps, radius, blocks)).select(F.col("node").alias("fp"), "component")
     fps = fps.join(parts, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     fps = written(fps, "simhash-parts")
     ids = fps.groupBy("component").agg(F.min("least").alias("component_id"))
-    return prints.join(fps.join(ids, "component").select("fp", "component_id"), "fp", "left")
+    return prints.join(fps.join(ids, "component").select("fp", "component", "component_id"), "fp", "left")
 
 
 #: Radius, blocks and least words of ``keep_one``. Shingles of three words make fingerprints of texts whose five-word
@@ -168,7 +168,7 @@ def keep_one(docs: DataFrame, radius: int = NEAR_RADIUS, blocks: int = NEAR_BLOC
     prints = written(
         fingerprints(docs.withColumn("_h", F.xxhash64("text")), also=("_h",)).withColumn("short", F.col("n_words") < least_words), "near-docs"
     )
-    near = simhash_components(prints.filter("not short"), radius, blocks).select("doc_id", "_h", F.col("component_id").alias("a"), F.lit(None).cast("long").alias("b"))
+    near = simhash_components(prints.filter("not short"), radius, blocks).select("doc_id", "_h", F.col("component").alias("a"), F.lit(None).cast("long").alias("b"))
     exact = prints.filter("short").select("doc_id", "_h", F.lit(None).cast("long").alias("a"), F.col("words_hash").alias("b"))
     group = near.unionByName(exact)
     # min over (id, hash) with nulls last; one row a group
