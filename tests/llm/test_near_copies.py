@@ -2,7 +2,7 @@
 
 import random
 
-from tremor.llm import simhash
+from tremor.llm import near_copies, simhash
 
 rng = random.Random(11)
 
@@ -19,3 +19,66 @@ def test_null_ids_are_not_one_group(spark):
     texts = [" ".join(words(40)) for _ in range(5)]
     kept = simhash.keep_one(frame(spark, [(None, t) for t in texts] + [(None, texts[0])])).collect()
     assert sorted(r.text for r in kept) == sorted(texts)
+
+
+def shingle_set(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def similarity(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def edited(text, k):
+    """``k`` scattered words changed, or as many put at the end, or as many taken out in one block."""
+    w = text.split()
+    how = rng.randrange(3)
+    if how == 0:
+        for i in rng.sample(range(len(w)), k):
+            w[i] = words(1)[0]
+    elif how == 1:
+        w += words(5 * k)
+    else:
+        at = rng.randrange(len(w) - 5 * k)
+        del w[at : at + 5 * k]
+    return " ".join(w)
+
+
+def groups_kept(texts, least_words=0):
+    """Places of the first member of each component of pairs at 0.8 and more."""
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            short = min(len(texts[i].split()), len(texts[j].split())) < least_words
+            if texts[i] == texts[j] or not short and similarity(texts[i], texts[j]) >= 0.8:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    return sorted(set(label))
+
+
+def test_pairs_near_the_border(spark):
+    texts = []
+    for n in (40, 80, 200, 500):
+        for _ in range(10):
+            base = " ".join(words(n))
+            texts += [base] + [edited(base, max(1, round(f * n))) for f in (0.01, 0.02, 0.025, 0.04)]
+    rng.shuffle(texts)
+    kept = [r.doc_id for r in simhash.keep_one(frame(spark, list(enumerate(texts)))).collect()]
+    assert sorted(kept) == groups_kept(texts, 20)
+
+
+def test_tiles(spark):
+    base = [" ".join(words(60)) for _ in range(3)]
+    texts = [edited(b, 1) for b in base for _ in range(12)]
+    prints = near_copies.signatures(frame(spark, list(enumerate(texts)))).cache()
+    ids = {r.id: r.doc_id for r in prints.collect()}
+    whole, dealt = ({(ids[r.u], ids[r.v]) for r in near_copies.links(prints, most=m).collect()} for m in (2048, 3))
+    for edges in (whole, dealt):
+        assert all(similarity(texts[u], texts[v]) >= 0.8 for u, v in edges)
+        label = list(range(len(texts)))
+        for u, v in edges:
+            a, b = label[u], label[v]
+            label = [min(a, b) if x in (a, b) else x for x in label]
+        assert sorted(set(label)) == groups_kept(texts)

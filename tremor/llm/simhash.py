@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tremor.operators.components import connected_components
 
+from . import near_copies
 from .common import table, written
 
 SEED = 42
@@ -154,25 +155,20 @@ def simhash_components(prints: DataFrame, radius: int = 2, blocks: int = 4) -> D
     return prints.join(fps.join(ids, "component").select("fp", "component", "component_id"), "fp", "left")
 
 
-#: Radius, blocks and least words of ``keep_one``. Shingles of three words make fingerprints of texts whose five-word
-#: shingles are 0.8 similar differ by about 5 bits of 64, at 0.9 and more by at most 6 in measured near copies.
-NEAR_RADIUS, NEAR_BLOCKS, NEAR_WORDS = 6, 9, 20
+#: Least words of ``keep_one``.
+NEAR_WORDS = 20
 
 
-def keep_one(docs: DataFrame, radius: int = NEAR_RADIUS, blocks: int = NEAR_BLOCKS, least_words: int = NEAR_WORDS) -> DataFrame:
-    """One row of each group of near-duplicates: the least doc_id, then the least text.
+def keep_one(docs: DataFrame, least: float = near_copies.LEAST, least_words: int = NEAR_WORDS) -> DataFrame:
+    """One row of each group of near-duplicates, texts of ``least`` Jaccard similarity in five-word shingles: the least doc_id, then the least text.
 
-    Texts under ``least_words`` words have too few shingles for near fingerprints to mean near texts (and one changed word
-    leaves them less than 0.8 similar in five-word shingles), so only those with equal words are copies of each other.
+    Texts under ``least_words`` words are only grouped with those of equal words.
     """
-    prints = written(
-        fingerprints(docs.withColumn("_h", F.xxhash64("text")), also=("_h",)).withColumn("short", F.col("n_words") < least_words), "near-docs"
-    )
-    near = simhash_components(prints.filter("not short"), radius, blocks).select("doc_id", "_h", F.col("component").alias("a"), F.lit(None).cast("long").alias("b"))
-    exact = prints.filter("short").select("doc_id", "_h", F.lit(None).cast("long").alias("a"), F.col("words_hash").alias("b"))
-    group = near.unionByName(exact)
+    prints = written(near_copies.signatures(docs.withColumn("_h", F.xxhash64("text")), also=("_h",)), "near-docs")
+    parts = connected_components(near_copies.links(prints.filter(F.col("n_words") >= least_words), least)).select(F.col("node").alias("id"), "component")
+    group = prints.select("doc_id", "_h", "id").join(parts, "id", "left").select("doc_id", "_h", F.coalesce("component", "id").alias("g"))
     # min over (id, hash) with nulls last; one row a group
-    first = group.groupBy("a", "b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("x")).select("x.doc_id", "x._h")
+    first = group.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("x")).select("x.doc_id", "x._h")
     first = written(first.groupBy("doc_id", "_h").agg(F.count("*").alias("n")), "near-kept").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"))
     kept = docs.withColumn("_h", F.xxhash64("text")).join(first.hint("merge"), (F.col("_h") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")))
     # repeated rows agree in id and text
