@@ -82,3 +82,12 @@ def test_tiles(spark):
             a, b = label[u], label[v]
             label = [min(a, b) if x in (a, b) else x for x in label]
         assert sorted(set(label)) == groups_kept(texts)
+
+
+def test_short_texts(spark):
+    base = [words(n) for n in (4, 5, 7, 8, 13, 18, 19, 19)]
+    texts = [" ".join(w) for w in base]
+    texts += [" ".join([*w, "2024"]) for w in base] + [" ".join([*w[:-1], "other"]) for w in base] + ["", " ", "!"]
+    kept = [r.doc_id for r in simhash.keep_one(frame(spark, list(enumerate(texts)))).collect()]
+    want = groups_kept([" ".join(t.split()) for t in texts])
+    assert sorted(kept) == want and len(want) < len(texts) - 8

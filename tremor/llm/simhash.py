@@ -155,17 +155,10 @@ def simhash_components(prints: DataFrame, radius: int = 2, blocks: int = 4) -> D
     return prints.join(fps.join(ids, "component").select("fp", "component", "component_id"), "fp", "left")
 
 
-#: Least words of ``keep_one``.
-NEAR_WORDS = 20
-
-
-def keep_one(docs: DataFrame, least: float = near_copies.LEAST, least_words: int = NEAR_WORDS) -> DataFrame:
-    """One row of each group of near-duplicates, texts of ``least`` Jaccard similarity in five-word shingles: the least doc_id, then the least text.
-
-    Texts under ``least_words`` words are only grouped with those of equal words.
-    """
+def keep_one(docs: DataFrame, least: float = near_copies.LEAST) -> DataFrame:
+    """One row of each group of near-duplicates, texts of ``least`` Jaccard similarity in five-word shingles: the least doc_id, then the least text."""
     prints = written(near_copies.signatures(docs.withColumn("_h", F.xxhash64("text")), also=("_h",)), "near-docs")
-    parts = connected_components(near_copies.links(prints.filter(F.col("n_words") >= least_words), least)).select(F.col("node").alias("id"), "component")
+    parts = connected_components(near_copies.links(prints, least)).select(F.col("node").alias("id"), "component")
     group = prints.select("doc_id", "_h", "id").join(parts, "id", "left").select("doc_id", "_h", F.coalesce("component", "id").alias("g"))
     # min over (id, hash) with nulls last; one row a group
     first = group.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("x")).select("x.doc_id", "x._h")
