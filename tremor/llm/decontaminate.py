@@ -4,7 +4,8 @@ Words become a template: numbers, units that follow them and names inside a sent
 is lower-cased without outer punctuation. Windows of ``window`` template words are hashed and met with those of
 the benchmark items; matching windows on one diagonal (document place less item place) are an alignment. An alignment counts
 as a leak where it covers ``cover`` of the item or a run of ``run`` words, and its slots are consistent: one value
-of the item stands for one value of the document, in ``consistent`` of the cases. So a question that was asked anew with other
+of the item stands for one value of the document, in ``consistent`` of the cases. Where over half of the covered words are slots,
+most of their values have to be equal as well. So a question that was asked anew with other
 numbers and names is found, and two texts that merely share a layout are not.
 
 The benchmark's windows are looked up in each task while the items stay under ``max_item_chars`` characters, which is checked;
@@ -154,9 +155,12 @@ class Items:
                 run = run + 1 if q in places else 0
                 longest = max(longest, run)
             plain = sum(self.kinds[of][q] == PLAIN for q in places)
-            if (len(places) < self.rule.cover * n and longest < self.rule.run) or 2 * plain < len(places):
+            if len(places) < self.rule.cover * n and longest < self.rule.run:
                 continue
             pairs = [(self.words[of][q].strip(_EDGE).lower(), words[q + shift].strip(_EDGE).lower()) for q in places if self.kinds[of][q] != PLAIN]
+            # mostly slots: a shared layout, unless most of their values are the same too
+            if 2 * plain < len(places) and 2 * sum(a != b for a, b in pairs) > len(pairs):
+                continue
             stands: dict[str, Counter] = defaultdict(Counter)
             for a, b in pairs:
                 stands[a][b] += 1
