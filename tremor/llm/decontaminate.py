@@ -2,7 +2,9 @@
 
 Words become a template: numbers, units that follow them and names inside a sentence turn into typed placeholders, the rest
 is lower-cased without outer punctuation. Windows of ``window`` template words are hashed and met with those of
-the benchmark items; matching windows on one diagonal (document place less item place) are an alignment. An alignment counts
+the benchmark items; matching windows on one diagonal (document place less item place) are an alignment, and so are stretches of diagonals up to ``shift`` apart that follow each other in both. Texts are read twice: word by word,
+and with runs of names, of number words and of a number and its unit in one placeholder each and every capitalised word a name, so a value may take
+another number of words and a name may begin a sentence. An alignment counts
 as a leak where it covers ``cover`` of the item or a run of ``run`` words, and its slots are consistent: one value
 of the item stands for one value of the document, in ``consistent`` of the cases. Where over half of the covered words are slots,
 most of their values have to be equal as well. So a question that was asked anew with other
@@ -33,13 +35,14 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 #: Words for numbers, and units that count after a number.
-NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fifteen twenty thirty forty fifty sixty hundred thousand million half dozen".split())
+NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half dozen".split())
 UNITS = frozenset("kg g mg km m cm mm mi ft in lb lbs oz l ml h hr hrs min mins s sec secs hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres kilometer kilometers mile miles inch inches foot feet gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres percent dollars dollar euros euro cents cent degrees mph kmh".split())
 _NUMBER = re.compile(r"[+\-−$€£]*\d[\d.,:/]*(%|[a-zµ°]{1,3})?\Z", re.IGNORECASE)
 _EDGE = "\"'“”‘’()[]{}<>«»*_.,;:!?…#|&%"
 PLAIN, NUMBER, NAME, UNIT = range(4)
 _MARKS = np.array([xxhash.xxh64_intdigest(f"slot {k}".encode()) for k in range(4)], np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
+_SUFFIX = re.compile(r"(.*\d)([a-zµ°%]{1,3})\Z", re.IGNORECASE)
 _ROOM = 200_000
 
 
@@ -49,33 +52,58 @@ class Rule:
     cover: float = 0.6
     run: int = 13
     consistent: float = 0.8
+    shift: int = 8
     max_item_chars: int = 20_000_000
 
 
+@dataclass
+class View:
+    """Template words of a text: hashes, kinds, and the word each begins with (and the end of the last)."""
+
+    hashes: np.ndarray
+    kinds: np.ndarray
+    starts: np.ndarray
+    joined: bool = False
+
+    def values(self, words: list[str], q: int) -> tuple[str, str]:
+        """The value of a slot, and its unit where the two are in one."""
+        run = [w.strip(_EDGE).lower() for w in words[self.starts[q] : self.starts[q + 1]]]
+        if self.kinds[q] != NUMBER or not self.joined:
+            return " ".join(run), ""
+        if len(run) > 1 and run[-1] in UNITS:
+            return " ".join(run[:-1]), run[-1]
+        m = _SUFFIX.match(run[-1])
+        return (" ".join([*run[:-1], m[1]]), m[2]) if m else (" ".join(run), "")
+
+
 class Templates:
     """Template words of texts, with the properties of a word remembered between texts."""
 
     def __init__(self):
         self.at: dict[str, int] = {}
         self.hash = np.zeros(_ROOM + 1, np.uint64)
-        self.flag = np.zeros(_ROOM + 1, np.uint8)  # 1 number, 2 capitalised, 4 unit, 8 ends a sentence
+        self.flag = np.zeros(_ROOM + 1, np.uint8)  # 1 number, 2 capitalised, 4 unit, 8 ends a sentence, 16 number without digits, 32 ends in a mark
 
     def _learn(self, word: str) -> int:
         i = self.at[word] = len(self.at)
         core = word.strip(_EDGE)
         low = core.lower()
         flag = 8 * (word.rstrip("\"'”’)").endswith((".", "!", "?", ":")))
-        if _NUMBER.match(core) or low in NUMBER_WORDS:
+        if _NUMBER.match(core):
             flag |= 1
+        elif low and all(part in NUMBER_WORDS for part in low.split("-")):
+            flag |= 17
         elif low in UNITS:
             flag |= 4
         if len(core) > 1 and core[0].isupper() and core[1:].islower():
             flag |= 2
+        if word[-1] in ",;:.!?":
+            flag |= 32
         self.hash[i], self.flag[i] = xxhash.xxh64_intdigest(low.encode()), flag
         return i
 
-    def __call__(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Words, their template hashes, and their kinds."""
+    def __call__(self, text: str | None) -> tuple[list[str], list[View]]:
+        """Words, and their two views: word by word, and with runs in one."""
         words = text.split() if text else []
         hashes, flags = np.empty(len(words), np.uint64), np.empty(len(words), np.uint8)
         for lo in range(0, len(words), 8192):
@@ -85,16 +113,24 @@ class Templates:
             at, learn = self.at, self._learn
             idx = [at[w] if w in at else learn(w) for w in part]
             hashes[lo : lo + len(part)], flags[lo : lo + len(part)] = self.hash[idx], self.flag[idx]
+        places = np.arange(len(words) + 1)
+        if not len(words):
+            none = View(hashes, np.zeros(0, np.int8), places)
+            return words, [none, none]
+        after = lambda x: np.concatenate([[False], x[:-1]])
+        number, name = flags & 1 == 1, flags & 2 == 2
+        unit = (flags & 4 == 4) & after(number)
         kinds = np.zeros(len(words), np.int8)
-        if len(words):
-            number = flags & 1 == 1
-            starts = np.concatenate([[True], flags[:-1] & 8 == 8])
-            kinds[(flags & 2 == 2) & ~starts] = NAME
-            kinds[(flags & 4 == 4) & np.concatenate([[False], number[:-1]])] = UNIT
-            kinds[number] = NUMBER
-            slot = kinds > 0
-            hashes[slot] = _MARKS[kinds[slot]]
-        return words, hashes, kinds
+        kinds[name & ~np.concatenate([[True], flags[:-1] & 8 == 8])] = NAME
+        kinds[unit] = UNIT
+        kinds[number] = NUMBER
+        slot = kinds > 0
+        single = View(np.where(slot, _MARKS[kinds], hashes), kinds, places)
+        kinds = np.where(number | unit, NUMBER, np.where(name, NAME, PLAIN)).astype(np.int8)
+        goes_on = unit | (~after(flags & 32 == 32) & (((kinds == NAME) & after(kinds == NAME)) | ((flags & 16 == 16) & after(number))))
+        starts = np.flatnonzero(~goes_on)
+        kinds = kinds[starts]
+        return words, [single, View(np.where(kinds > 0, _MARKS[kinds], hashes[starts]), kinds, np.append(starts, len(words)), joined=True)]
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -109,68 +145,130 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
         return out ^ (out >> np.uint64(29))
 
 
-class Items:
-    """Benchmark items ready to be met: sorted window hashes with their item and place."""
+class Table:
+    """Sorted window hashes of one view of the items, with their item and place."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], rule: Rule):
-        self.rule, self.t = rule, Templates()
-        self.ids = [i for i, _ in items]
-        self.words, self.kinds, parts, of, at = [], [], [], [], []
-        self.sizes = set()
-        for k, (_, text) in enumerate(items):
-            words, hashes, kinds = self.t(text)
-            self.words.append(words)
-            self.kinds.append(kinds)
-            w = windows(hashes, rule.window)
-            if len(w):
-                self.sizes.add(min(rule.window, len(words)))
-            parts.append(w)
-            of.append(np.full(len(w), k))
-            at.append(np.arange(len(w)))
-        empty = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        h, of, at = np.concatenate(parts or empty[0]), np.concatenate(of or empty[1]), np.concatenate(at or empty[1])
+    def __init__(self, views: list[View], window: int):
+        self.views = views
+        parts = [windows(v.hashes, window) for v in views]
+        self.sizes = {min(window, len(v.hashes)) for v in views if len(v.hashes)}
+        of = [np.full(len(w), k, np.int64) for k, w in enumerate(parts)]
+        at = [np.arange(len(w)) for w in parts]
+        h = np.concatenate([np.empty(0, np.uint64), *parts])
+        of, at = (np.concatenate([np.empty(0, np.int64), *x]) for x in (of, at))
         order = np.argsort(h, kind="stable")
         self.h, self.of, self.at = h[order], of[order].astype(np.int64), at[order].astype(np.int64)
         self.known = np.zeros(1 << 20, bool)
         self.known[(self.h >> np.uint64(44)).astype(np.int64)] = True
 
-    def leaks(self, text: str | None) -> list[tuple]:
-        """(item index, covered words, coverage, longest run, consistency, slots that differ) of each leaked item."""
-        words, hashes, kinds = self.t(text)
-        found: dict[tuple[int, int], set[int]] = defaultdict(set)  # item and diagonal: places in the item
+    def met(self, hashes: np.ndarray, window: int) -> dict[int, dict[int, set[int]]]:
+        """By item and diagonal, the places in the item."""
+        found: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for size in self.sizes:
-            if len(words) < size:
+            if len(hashes) < size:
                 continue
             h = windows(hashes, size)
             for p in np.flatnonzero(self.known[(h >> np.uint64(44)).astype(np.int64)]).tolist():
                 lo, hi = np.searchsorted(self.h, h[p], "left"), np.searchsorted(self.h, h[p], "right")
                 for of, at in zip(self.of[lo:hi].tolist(), self.at[lo:hi].tolist(), strict=True):
-                    n = len(self.words[of])
-                    if min(self.rule.window, n) == size:
-                        found[of, p - at].update(range(at, at + size))
+                    if min(window, len(self.views[of].hashes)) == size:
+                        found[of][p - at].update(range(at, at + size))
+        return found
+
+
+def chains(diagonals: dict[int, set[int]], shift: int) -> Iterator[dict[int, int]]:
+    """Alignments (place in the item to place in the document) over stretches of diagonals at most ``shift`` apart, in order in both."""
+    runs = []
+    for d, places in diagonals.items():
+        q = np.array(sorted(places))
+        runs += [(int(r[0]), int(r[-1]) + 1, d) for r in np.split(q, np.flatnonzero(np.diff(q) > 1) + 1)]
+    runs.sort(key=lambda r: (r[0] + r[2], r[0]))
+    top = max(r[1] for r in runs) + shift
+    best: list[int] = []
+    back: list[int | None] = []
+    last: set[int] = set(range(len(runs)))
+    for j, (a, b, d) in enumerate(runs):
+        score, prior = b - a, None
+        for i in range(j - 1, -1, -1):
+            a2, b2, d2 = runs[i]
+            if a + d - a2 - d2 > top:
+                break
+            if d2 != d and abs(d2 - d) <= shift and a2 < a and b2 < b and b2 + d2 < b + d:
+                gain = b - max(a, b2, b2 + d2 - d)
+                if best[i] + gain > score:
+                    score, prior = best[i] + gain, i
+        best.append(score)
+        back.append(prior)
+        last.discard(prior)
+    for j in last:
+        if back[j] is None:
+            continue
+        to: dict[int, int] = {}
+        k: int | None = j
+        steps = []
+        while k is not None:
+            steps.append(runs[k])
+            k = back[k]
+        done = end = -1
+        for a, b, d in reversed(steps):
+            for q in range(max(a, done, end - d), b):
+                to[q] = q + d
+            done, end = b, b + d
+        yield to
+
+
+class Items:
+    """Benchmark items ready to be met."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]], rule: Rule):
+        self.rule, self.t = rule, Templates()
+        self.ids = [i for i, _ in items]
+        read = [self.t(text) for _, text in items]
+        self.words = [words for words, _ in read]
+        self.tables = [Table([views[v] for _, views in read], rule.window) for v in range(2)]
+
+    def leaks(self, text: str | None) -> list[tuple]:
+        """(item index, covered words, coverage, longest run, consistency, slots that differ) of each leaked item."""
+        words, views = self.t(text)
         best: dict[int, tuple] = {}
-        for (of, shift), places in found.items():
-            n, run, longest = len(self.words[of]), 0, 0
-            for q in range(n):
-                run = run + 1 if q in places else 0
-                longest = max(longest, run)
-            plain = sum(self.kinds[of][q] == PLAIN for q in places)
-            if len(places) < self.rule.cover * n and longest < self.rule.run:
-                continue
-            pairs = [(self.words[of][q].strip(_EDGE).lower(), words[q + shift].strip(_EDGE).lower()) for q in places if self.kinds[of][q] != PLAIN]
-            # mostly slots: a shared layout, unless most of their values are the same too
-            if 2 * plain < len(places) and 2 * sum(a != b for a, b in pairs) > len(pairs):
-                continue
-            stands: dict[str, Counter] = defaultdict(Counter)
-            for a, b in pairs:
-                stands[a][b] += 1
-            even = sum(c.most_common(1)[0][1] for c in stands.values()) / len(pairs) if pairs else 1.0
-            if even >= self.rule.consistent:
-                row = (of, len(places), len(places) / n, longest, even, sum(a != b for a, b in pairs))
-                if of not in best or row[1:3] > best[of][1:3]:
-                    best[of] = row
+        for view, known in zip(views, self.tables, strict=True):
+            for of, diagonals in known.met(view.hashes, self.rule.window).items():
+                for shift, places in diagonals.items():
+                    self._score(best, of, known.views[of], words, view, {q: q + shift for q in places})
+                if len(diagonals) > 1:
+                    for to in chains(diagonals, self.rule.shift):
+                        self._score(best, of, known.views[of], words, view, to)
         return [best[k] for k in sorted(best)]
 
+    def _score(self, best: dict[int, tuple], of: int, item: View, words: list[str], view: View, to: dict[int, int]) -> None:
+        n = len(self.words[of])
+        covered = run = longest = plain = 0
+        for q in range(len(item.kinds)):
+            size = int(item.starts[q + 1] - item.starts[q])
+            run = run + size if q in to else 0
+            covered += size if q in to else 0
+            longest = max(longest, run)
+        if covered < self.rule.cover * n and longest < self.rule.run:
+            return
+        pairs = []
+        for q in sorted(to):
+            if item.kinds[q] == PLAIN:
+                plain += 1
+                continue
+            (a, u), (b, v) = item.values(self.words[of], q), view.values(words, to[q])
+            pairs += [(a, b), (u, v)] if u or v else [(a, b)]
+        # mostly slots: a shared layout, unless most of their values are the same too
+        if 2 * plain < len(to) and 2 * sum(a != b for a, b in pairs) > len(pairs):
+            return
+        stands: dict[str, Counter] = defaultdict(Counter)
+        for a, b in pairs:
+            stands[a][b] += 1
+        even = sum(c.most_common(1)[0][1] for c in stands.values()) / len(pairs) if pairs else 1.0
+        if even >= self.rule.consistent:
+            row = (of, covered, covered / n, longest, even, sum(a != b for a, b in pairs))
+            if of not in best or row[1:3] > best[of][1:3]:
+                best[of] = row
+
 
 _LEAKS = "doc_id long, text_hash long, item_id long, n_covered long, coverage double, longest_run long, consistency double, n_slots_changed long"
 
@@ -208,10 +306,10 @@ def _leaks_by_join(docs: DataFrame, items: DataFrame, rule: Rule) -> DataFrame:
             t = Templates()
             for b in batches:
                 for i, text in enumerate(b.column("text")):
-                    _, hashes, _ = t(text.as_py())
+                    views = [v.hashes for v in t(text.as_py())[1]]
                     sizes = range(1, rule.window + 1) if all_sizes else [rule.window]
                     # items below a window's length are met by windows of their own length
-                    w = np.unique(np.concatenate([windows(hashes, s) for s in sizes if len(hashes) >= s or not all_sizes] or [np.empty(0, np.uint64)]))
+                    w = np.unique(np.concatenate([windows(hashes, s) for hashes in views for s in sizes if len(hashes) >= s or not all_sizes] or [np.empty(0, np.uint64)]))
                     head = [pa.array([b.column(c)[i].as_py()] * len(w), b.column(c).type) for c in b.schema.names if c != "text"]
                     yield pa.RecordBatch.from_arrays([*head, pa.array(w.view(np.int64))], names=[*(c for c in b.schema.names if c != "text"), "w"])
 
