@@ -44,12 +44,16 @@ LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 CLASSES = (
     CharClass("entropy_hex", r"(?<![A-Za-z0-9+/_-])(?=[0-9A-F]*[0-9])(?=[0-9A-F]*[A-F])[0-9A-F]{24,}(?![A-Za-z0-9+/_-])", DIGITS + "ABCDEF", 24, 3.1),
     CharClass("entropy_base64", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}", LOWER + UPPER + DIGITS + "+/_-=", 20, 3.6),
+    # a letter past F tells the next two from hex
+    CharClass("entropy_base32", r"(?<![A-Za-z0-9+/_-])(?=[A-Z2-7]*[2-7])(?=[A-Z2-7]*[G-Z])[A-Z2-7]{24,}={0,6}(?![A-Za-z0-9+/_=-])", UPPER + "234567=", 24, 3.5),
+    CharClass("entropy_lower", r"(?<![A-Za-z0-9+/_-])(?=[a-z0-9]*[0-9])(?=[a-z0-9]*[g-z])[a-z0-9]{20,}(?![A-Za-z0-9+/_-])", LOWER + DIGITS, 20, 3.5),
 )
-#: Whole candidates that are known to be harmless: examples, paths, identifiers with a fixed layout.
+#: Whole candidates that are known to be harmless: examples, paths of names (no letter after a digit, no capital or small letter by itself
+#: within a name, as random keys have), identifiers with a fixed layout.
 ALLOW = (
     r"(?i)example|sample|placeholder|changeme|your[_-]",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"^(?:[A-Za-z0-9_.-]+/){2,}[A-Za-z0-9_.-]*$",
+    r"^(?!.*(?:[0-9][A-Za-z]|[a-z][A-Z](?![a-z]{2})|[A-Z][a-z](?![a-z]|[A-Z][a-z]{2})|[0-9]{5}))(?:[A-Za-z0-9_.-]+/){2,}[A-Za-z0-9_.-]*$",
     r"(?i)abcdefgh|01234567|qwertyui",
 )
 _SPAN = "struct<s:bigint,k:int,e:bigint>"
