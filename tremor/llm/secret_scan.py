@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and sliding-window Shannon entropy per character class over candidate strings.
 
 DataFrame functions only, all within a row. Patterns are cut out by ``split`` and ``regexp_extract_all`` over the same
-expression, so the places of matches are running sums of lengths. For the entropy of a candidate, a window moves over its
+expression, so the places of matches are running sums of lengths. The work for a text grows with its length, also where it is one
+candidate, and by the power 1.5 of its matches. For the entropy of a candidate, a window moves over its
 characters: one count goes up and one goes down at each step, and the sum of n log n follows from those two; no
 window is counted anew. A candidate whose best window reaches the threshold of its class is a span, unless the
 allow-list knows it or a pattern span covers it.
@@ -13,6 +14,7 @@ further columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -56,67 +58,77 @@ ALLOW = (
     r"^(?!.*(?:[0-9][A-Za-z]|[a-z][A-Z](?![a-z]{2})|[A-Z][a-z](?![a-z]|[A-Z][a-z]{2})|[0-9]{5}))(?:[A-Za-z0-9_.-]+/){2,}[A-Za-z0-9_.-]*$",
     r"(?i)abcdefgh|01234567|qwertyui",
 )
-_SPAN = "struct<s:bigint,k:int,e:bigint>"
+_SPAN = "struct<s:bigint,k:int,e:bigint,m:string>"
 _SPANS = f"array<{_SPAN}>"
+#: Elements that one step of a running sum copies at most.
+_BLOCK = 512
 
 
-def _none() -> Column:
-    return F.expr(f"cast(array() as {_SPANS})")
+def running(values: Column, zero: int, plus: Callable[[Column, Column], Column]) -> Column:
+    """What ``plus``, an associative function, makes of the elements before each one; block by block, so the cost is not quadratic."""
+    start = F.struct(F.lit(zero).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
+    step = lambda a, x: F.struct(plus(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    many = F.ceil(F.size(values) / F.lit(_BLOCK)).cast("int")
+    numbers = F.when(many > 0, F.sequence(F.lit(0), many - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    blocks = F.transform(numbers, lambda b: F.slice(values, b * _BLOCK + 1, _BLOCK))
+    totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(zero).cast("long"), plus))
+    placed = F.arrays_zip(blocks.alias("x"), F.aggregate(totals, start, step)["out"].alias("at"))
+    return F.flatten(F.transform(placed, lambda p: F.transform(F.aggregate(p["x"], start, step)["out"], lambda v: plus(p["at"], v))))
 
 
-def matches(text: Column, pattern: str, kind: int, keep=None) -> Column:
-    """Spans (start, kind, end) of all matches; ``keep`` gets the text and the index of a match."""
+def matches(text: Column, pattern: str, kind: int) -> Column:
+    """Spans (start, kind, end, text) of all matches."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    lengths = F.transform(F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g")), lambda x: F.struct(F.length(x["g"]).cast("long").alias("g"), F.length(x["m"]).cast("long").alias("m")))
-    run = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).cast("long").alias("at"), _none().alias("out")),
-        lambda a, x: F.struct((a["at"] + x["g"] + x["m"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("s"), F.lit(kind).alias("k"), (a["at"] + x["g"] + x["m"]).alias("e")))).alias("out")),
-    )["out"]
-    return F.when(text.rlike(pattern), run).otherwise(_none())
+    long = lambda x: F.length(x).cast("long")
+    parts = F.transform(F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g")), lambda x: F.struct(long(x["g"]).alias("g"), long(x["m"]).alias("n"), x["m"].alias("m")))
+    before = running(F.transform(parts, lambda x: x["g"] + x["n"]), 0, lambda a, x: a + x)
+    spans = F.zip_with(parts, before, lambda x, at: F.struct((at + x["g"]).alias("s"), F.lit(kind).alias("k"), (at + x["g"] + x["n"]).alias("e"), x["m"].alias("m")))
+    return F.when(text.rlike(pattern), spans).otherwise(F.expr(f"cast(array() as {_SPANS})"))
 
 
 def _entropy(candidate: Column, c: CharClass) -> Column:
-    """The highest entropy, in bits, of a window over ``candidate``; windows are as long as the candidate at most."""
+    """The highest entropy, in bits, of a window over ``candidate``; a shorter candidate has none.
+
+    The candidate is split into places in the alphabet once; each step reads the one that comes and the one that goes.
+    """
     n_of = {i: 0.0 if i < 2 else i * math.log2(i) for i in range(c.width + 2)}
     table_ = F.array(*(F.lit(v) for v in n_of.values()))
-    w = F.lit(c.width)
-    slot = lambda i: F.instr(F.lit(c.alphabet), F.substring(candidate, i, F.lit(1)))  # noqa: E731  1-based, 0: before the start
+    codes = F.transform(F.split(candidate, ""), lambda x: F.instr(F.lit(c.alphabet), x))  # from 1
+    steps = F.arrays_zip(codes.alias("came"), F.slice(F.concat(F.array_repeat(F.lit(0), c.width), codes), F.lit(1), F.size(codes)).alias("went"))
 
-    def step(a: Column, i: Column) -> Column:
-        came, went = slot(i), F.when(i > w, slot(i - w)).otherwise(F.lit(0))
+    def step(a: Column, x: Column) -> Column:
+        came, went, seen = x["came"], x["went"], a["i"] + 1
         counts = F.transform(a["n"], lambda n, j: n + F.when(j + 1 == came, 1).otherwise(0) - F.when(j + 1 == went, 1).otherwise(0))
         up, down = F.get(a["n"], came - 1), F.get(a["n"], went - 1)
         total = F.when(came == went, a["t"]).otherwise(
             a["t"] + F.get(table_, up + 1) - F.get(table_, up) + F.when(went > 0, F.get(table_, down - 1) - F.get(table_, down)).otherwise(F.lit(0.0))
         )
-        bits = F.when(i >= w, F.lit(math.log2(c.width)) - total / F.lit(float(c.width))).otherwise(F.lit(0.0))
-        return F.struct(counts.alias("n"), total.alias("t"), F.greatest(a["best"], bits).alias("best"))
+        bits = F.when(seen >= c.width, F.lit(math.log2(c.width)) - total / F.lit(float(c.width))).otherwise(F.lit(0.0))
+        return F.struct(seen.alias("i"), counts.alias("n"), total.alias("t"), F.greatest(a["best"], bits).alias("best"))
 
-    start = F.struct(F.array_repeat(F.lit(0), len(c.alphabet)).alias("n"), F.lit(0.0).alias("t"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), start, step)["best"]
+    start = F.struct(F.lit(0).alias("i"), F.array_repeat(F.lit(0), len(c.alphabet)).alias("n"), F.lit(0.0).alias("t"), F.lit(0.0).alias("best"))
+    return F.aggregate(steps, start, step)["best"]
 
 
 def _entropy_spans(text: Column, c: CharClass, kind: int) -> Column:
     allowed = lambda s: reduce(or_, [s.rlike(p) for p in ALLOW])
-    piece = lambda x: F.substring(text, (x["s"] + 1).cast("int"), (x["e"] - x["s"]).cast("int"))
-    return F.filter(matches(text, c.run, kind), lambda x: ~allowed(piece(x)) & (_entropy(piece(x), c) >= c.bits))
+    return F.filter(matches(text, c.run, kind), lambda x: ~allowed(x["m"]) & (_entropy(x["m"], c) >= c.bits))
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
     """doc_id, base (pattern spans) and spans (all), each an array of struct(s, k, e) in order; k is the place in KINDS."""
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     groups = F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2))
-    assign = F.filter(F.transform(matches(F.col("t"), ASSIGN, 0), lambda x, i: F.struct(x.alias("x"), F.length(F.get(groups, i)).alias("n"))), lambda y: y["n"] >= 12)
-    d = d.select(
-        "doc_id",
-        "t",
-        F.array_sort(F.concat(F.transform(assign, lambda y: y["x"]), matches(F.col("t"), _SCAN["access"], 1), matches(F.col("t"), _SCAN["hex"], 2))).alias("base"),
-    )
+    long_enough = F.filter(F.zip_with(matches(F.col("t"), ASSIGN, 0), F.transform(groups, F.length), lambda x, n: F.struct(x.alias("x"), n.alias("n"))), lambda y: y["n"] >= 12)
+    placed = lambda spans: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    base = F.concat(F.transform(long_enough, lambda y: y["x"]), matches(F.col("t"), _SCAN["access"], 1), matches(F.col("t"), _SCAN["hex"], 2))
     more = F.concat(*(_entropy_spans(F.col("t"), c, len(BASE) + i) for i, c in enumerate(CLASSES)))
-    d = d.select("doc_id", "base", more.alias("more"))
-    extra = F.filter("more", lambda x: ~F.exists("base", lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"])))
-    return d.select("doc_id", "base", F.array_sort(F.concat("base", extra)).alias("spans"))
+    d = d.select("doc_id", F.array_sort(placed(base)).alias("base"), placed(more).alias("more"))
+    # In order of starts, pattern spans first at equal ones, a span is covered where an earlier pattern span ends no sooner.
+    d = d.select("doc_id", "base", F.array_sort(F.concat("base", "more")).alias("all"))
+    ends = F.transform("all", lambda x: F.when(x["k"] < len(BASE), x["e"]).otherwise(F.lit(-1).cast("long")))
+    covered = F.zip_with("all", running(ends, -1, lambda a, x: F.greatest(a, x)), lambda x, end: F.struct(x.alias("x"), ((x["k"] >= len(BASE)) & (end >= x["e"])).alias("gone")))
+    return d.select("doc_id", "base", F.transform(F.filter(covered, lambda y: ~y["gone"]), lambda y: y["x"]).alias("spans"))
 
 
 KINDS = [k for k, *_ in BASE] + [c.kind for c in CLASSES]
