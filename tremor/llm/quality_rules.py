@@ -68,7 +68,7 @@ def measure(docs: DataFrame) -> DataFrame:
         _count(F.col("t"), r"[^#*$%&|<>]+").alias("n_symbols"),
         _count(F.col("t"), r"[^A-ZÀ-ÖØ-Þ]+").alias("n_upper"),
         F.filter("all_lines", lambda x: F.btrim(x, F.lit(WS)) != "").alias("lines"),
-        F.size(F.filter(words_of(F.col("t")), lambda x: x.endswith("!"))).cast("long").alias("n_exclaimed"),
+        F.size(F.filter("w", lambda x: x.endswith("!"))).cast("long").alias("n_exclaimed"),
         F.transform(
             F.when(F.size("w") >= 3, F.sequence(F.lit(0), F.size("w") - 3)).otherwise(F.array().cast("array<int>")),
             lambda i: F.struct(F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("h"), i.alias("i")),
