@@ -15,19 +15,28 @@ WS_RUN = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage, survives lost executors, and its size is known to the planner."""
+def written_path(df: DataFrame, label: str) -> str:
+    """The path of ``df`` as a table in the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts lineage, survives lost executors, and its size is known to the planner."""
+    return df.sparkSession.read.schema(df.schema).parquet(written_path(df, label))
+
+
+def forget_path(spark: SparkSession, path: str) -> None:
+    """Deletes the files of a table; nothing may read it later."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table that ``written`` made; nothing may read it later."""
-    spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        forget_path(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,28 +1,34 @@
 """Exact substring dedup by a logarithmic family of sparse suffix arrays.
 
-Which suffixes are indexed: among the ``GRAM``-byte grams of any ``LENGTH``-byte string the one with the least hash is its
-anchor. Equal strings have equal anchors at equal places, so suffixes at anchors (about one in a hundred) find every
+Strings are made of bytes, and beside that of words (runs without white space): bytes of ``BYTES.length``-byte strings that start
+twice are removed, and runs of ``WORDS.length`` words that stand in another document too are reported as passages.
+
+Which suffixes are indexed: among the ``gram``-unit grams of any ``length``-unit string the one with the least hash is its
+anchor. Equal strings have equal anchors at equal places, so suffixes at anchors (about one in 140 bytes, one in 18 words) find every
 long match; a full array would cost eight bytes for each byte of text. The stretch of string starts that share an anchor is its
 context; a suffix-array row is the anchor's fingerprint (which orders the array: a scan only asks for equality to a depth), the
 fingerprint of the whole context, how often it was seen and where first.
 
 Family: a batch of documents becomes a sorted array, is merge-scanned (a sort-merge join) against each level for anchors that
 were seen before, and is added as a level; two levels of one size merge into the next, so each row is rewritten a
-logarithmic number of times. Copies of a context collapse before any shuffle.
+logarithmic number of times. Copies of a context collapse before any shuffle. A family can be saved and loaded, and meets
+new batches later.
 
-Extension: a context seen twice repeats at every start. Where an anchor stands in several contexts, the bytes of one sample
+Extension: a context seen twice repeats at every start. Where an anchor stands in several contexts, the text of one sample
 of each meet by anchor, and their strings are sorted by fingerprint to find the starts that repeat; anchors with more than
-``MOST`` contexts send single strings instead, counted by Spark, so no task collects a hot anchor.
+``MOST`` contexts send single strings instead, counted by Spark, so no task collects a hot anchor. Joins by anchor, by string and by
+context are salted by ``SALTS``.
 
 Fingerprints have 128 bits in effect (anchor and context, or anchor and string). Defined results: null texts are empty; texts
-under ``LENGTH`` bytes keep all; repeated rows, with null ids too, are copies of each other; further columns are ignored; an
-empty table gives an empty result.
+under ``length`` bytes keep all; repeated rows, with null ids too, are copies of each other, and count as other documents; further
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -31,14 +37,50 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, table, written
+from .common import forget_path, table, written, written_path
 
-LENGTH, GRAM = 400, 200
 BATCHES = 4
-MOST = 4096
+MOST = 1024
+SALTS = 16
 _CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 24) - 1)
+#: Words that a task remembers between texts.
+_ROOM = 300_000
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _ROOM:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What strings are made of. ``across``: a string repeats only where it stands in another document."""
+
+    number: int
+    length: int
+    gram: int
+    width: int  # bytes that hold one
+    across: bool
+
+    def raw(self, text: str | None, known: _Hashes) -> bytes:
+        data = text.encode() if text else b""
+        if self.width == 1:
+            return data
+        words = data.split()
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words)).tobytes() if len(words) >= self.length else b""
+
+    def values(self, raw: bytes) -> np.ndarray:
+        return _bytes_table()[np.frombuffer(raw, np.uint8)] if self.width == 1 else np.frombuffer(raw, np.uint64)
+
+
+BYTES = Unit(0, length=400, gram=128, width=1, across=False)
+WORDS = Unit(1, length=51, gram=16, width=8, across=True)
+UNITS = (BYTES, WORDS)
 
 
 @cache
@@ -58,15 +100,15 @@ def _bytes_table() -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(bytes([b]), 42) | 1 for b in range(256)], np.uint64)
 
 
-def grams(data: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit fingerprint of each ``size``-byte string in ``data``."""
-    n = len(data)
+def grams(values: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit fingerprint of each ``size``-unit string in ``values``."""
+    n = len(values)
     if n < size:
         return np.empty(0, np.uint64)
     room = 1 << max(18, int(n).bit_length())
     up, down = _powers(room)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_bytes_table()[data] * up[:n], out=sums[1:])
+    np.cumsum(values * up[:n], out=sums[1:])
     h = (sums[size:] - sums[:-size]) * down[: n - size + 1]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -76,12 +118,12 @@ def grams(data: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def contexts(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[list[int], list[int], list[int], list[int]]]:
+def contexts(raw: bytes, unit: Unit = BYTES) -> Iterator[tuple[list[int], list[int], list[int], list[int]]]:
     """Anchor and context fingerprints (signed), first start and number of starts, chunk by chunk of string starts."""
-    view = np.frombuffer(data, np.uint8)
-    for at in range(0, len(data) - length + 1, _CHUNK):
-        h = grams(view[at : at + _CHUNK + length - 1], gram)
-        window = length - gram + 1
+    length, width = unit.length, unit.width
+    window = length - unit.gram + 1
+    for at in range(0, len(raw) // width - length + 1, _CHUNK):
+        h = grams(unit.values(raw[at * width : (at + _CHUNK + length - 1) * width]), unit.gram)
         # place in the low bits: the least value names its place, the first one where hashes tie
         low = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
         w = 1
@@ -95,23 +137,25 @@ def contexts(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tu
         first, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(place)]])
         keys = h[place[first]].view(np.int64).tolist()
         starts, counts = (first + at).tolist(), (end - first).tolist()
-        whole = [xxhash.xxh3_64_intdigest(data[s : s + c + length - 1]) for s, c in zip(starts, counts, strict=True)]
+        whole = [xxhash.xxh3_64_intdigest(raw[s * width : (s + c + length - 1) * width]) for s, c in zip(starts, counts, strict=True)]
         yield keys, np.array(whole, np.uint64).view(np.int64).tolist(), starts, counts
 
 
-def repeated_starts(samples: list[bytes], groups: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each sample of a context, which of its strings stand elsewhere among the samples of its group."""
-    sizes = np.array([len(s) for s in samples])
+def repeated_starts(samples: list[bytes], groups: np.ndarray, owners: np.ndarray, unit: Unit = BYTES) -> list[np.ndarray]:
+    """For each sample of a context, which of its strings repeat among the samples of its group: at another start, or with another owner."""
+    sizes = np.array([len(s) // unit.width for s in samples])
     ends = np.cumsum(sizes)
-    h = grams(np.frombuffer(b"".join(samples), np.uint8), length)
-    n_starts = sizes - length + 1
+    h = grams(unit.values(b"".join(samples)), unit.length)
+    n_starts = sizes - unit.length + 1
     at = np.concatenate([np.arange(e - s, e - s + n) for s, e, n in zip(sizes, ends, n_starts, strict=True)])
     h, g = h[at], np.repeat(groups, n_starts)
-    order = np.lexsort((h, g))
-    same = (h[order][1:] == h[order][:-1]) & (g[order][1:] == g[order][:-1])
+    o = np.repeat(owners, n_starts) if unit.across else np.arange(len(h))
+    order = np.lexsort((o, h, g))
+    h, g, o = h[order], g[order], o[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
+    n = np.diff(np.append(first, len(h)))
     out = np.zeros(len(h), bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
+    out[order] = np.repeat(o[first] != o[first + n - 1], n)
     return np.split(out, np.cumsum(n_starts)[:-1])
 
 
@@ -121,127 +165,164 @@ def intervals(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-_ROWS = "doc_id long, h long, key long, ctx long, start long, count long"
-_PER_LEVEL = ("key", "ctx", "n", "doc_id", "h", "start", "count")
+_ROWS = "doc_id long, h long, unit byte, key long, ctx long, n long, start long, count long"
+_LEVEL = "key long, ctx long, n long, unit byte, doc_id long, h long, start long, count long"
 
 
-def suffix_rows(docs: DataFrame) -> DataFrame:
-    """One row for each anchored suffix of ``docs`` (doc_id, h, text)."""
+def suffix_rows(docs: DataFrame, units: tuple[Unit, ...] = UNITS) -> DataFrame:
+    """One row for each anchored suffix of ``docs`` (doc_id, h, text); ``n`` counts it, words once for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
         for b in batches:
             for lo in range(0, b.num_rows, 512):
-                cols: list[list] = [[] for _ in range(6)]
+                cols: list[list] = [[] for _ in range(8)]
                 part = b.slice(lo, 512)
                 for doc_id, h, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                    for got in contexts((text.as_py() or "").encode()):
-                        cols[0] += [doc_id] * len(got[0])
-                        cols[1] += [h] * len(got[0])
-                        for c, v in zip(cols[2:], got, strict=True):
-                            c += v
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[c.split()[0] for c in _ROWS.split(", ")])
+                    for unit in units:
+                        seen: set[tuple[int, int]] = set()
+                        for keys, ctx, starts, counts in contexts(unit.raw(text.as_py(), known), unit):
+                            n = [1] * len(keys)
+                            if unit.across:
+                                for i, got in enumerate(zip(keys, ctx, strict=True)):
+                                    n[i] = int(got not in seen)
+                                    seen.add(got)
+                            for c, v in zip(cols, ([doc_id] * len(n), [h] * len(n), [unit.number] * len(n), keys, ctx, n, starts, counts), strict=True):
+                                c += v
+                types = [pa.int8() if k == 2 else pa.int64() for k in range(8)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in _ROWS.split(", ")])
 
     return docs.select("doc_id", "h", "text").mapInArrow(run, _ROWS)
 
 
+def _salted(left: DataFrame, right: DataFrame, on: list[str], salt: str, how: str) -> DataFrame:
+    """A join by ``on`` in which a hot key of ``left`` goes to ``SALTS`` tasks, by the column ``salt``; ``right`` has each key once."""
+    right = right.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("_s", F.pmod(F.col(salt), F.lit(SALTS)).cast("int")).join(right.hint("merge"), [*on, "_s"], how).drop("_s")
+
+
 class SuffixFamily:
-    """Levels of suffix arrays; ``repeats`` are the anchors that merge-scans have met twice."""
+    """Levels of suffix arrays; ``repeats`` are the anchors that merge-scans have met twice. Both are tables, by path."""
+
+    def __init__(self, spark: SparkSession, levels: list[tuple[int, str]] = (), repeats: list[str] = ()):
+        self.spark, self.levels, self.repeats = spark, [tuple(x) for x in levels], list(repeats)
 
-    def __init__(self):
-        self.levels: list[tuple[int, DataFrame]] = []
-        self.repeats: list[DataFrame] = []
+    def saved(self) -> dict:
+        """What ``SuffixFamily(spark, **saved)`` needs to go on; as long as the tables are there."""
+        return {"levels": self.levels, "repeats": self.repeats}
+
+    def level(self, path: str) -> DataFrame:
+        return self.spark.read.schema(_LEVEL).parquet(path)
 
     @staticmethod
     def _array(rows: DataFrame) -> DataFrame:
-        one = [F.first(c).alias(c) for c in ("doc_id", "h", "start", "count")]
-        return rows.groupBy("key", "ctx").agg(F.sum("n").alias("n"), *one).select(*_PER_LEVEL).sortWithinPartitions("key", "ctx")
+        names = [c.split()[0] for c in _LEVEL.split(", ")]
+        one = [F.first(c).alias(c) for c in names[3:]]
+        return rows.groupBy("key", "ctx").agg(F.sum("n").alias("n"), *one).select(*names).sortWithinPartitions("key", "ctx")
 
     def add(self, rows: DataFrame) -> None:
         """A batch of ``suffix_rows``: array, merge-scan, carry."""
-        new = written(self._array(rows.withColumn("n", F.lit(1).cast("long"))), "suffix-level")
-        seen = new.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
-        for _, level in self.levels:
-            seen = seen.unionByName(new.select("key").hint("merge").join(level.select("key"), "key", "left_semi"))
-        self.repeats.append(written(seen.distinct(), "suffix-repeats"))
+        path = written_path(self._array(rows), "suffix-level")
+        new = self.level(path)
+        # each side has an anchor once, so a hot one is not a hot key
+        mine = new.groupBy("key").agg(F.sum("n").alias("n"))
+        seen = mine.filter("n > 1").select("key")
+        for _, other in self.levels:
+            seen = seen.unionByName(mine.select("key").hint("merge").join(self.level(other).select("key").distinct(), "key", "left_semi"))
+        self.repeats.append(written_path(seen.distinct(), "suffix-repeats"))
         size = 0
         while self.levels and self.levels[-1][0] == size:
             old = self.levels.pop()[1]
-            merged = written(self._array(new.unionByName(old)), "suffix-level")
-            forget(new)
-            forget(old)
-            new, size = merged, size + 1
-        self.levels.append((size, new))
+            merged = written_path(self._array(self.level(path).unionByName(self.level(old))), "suffix-level")
+            forget_path(self.spark, path)
+            forget_path(self.spark, old)
+            path, size = merged, size + 1
+        self.levels.append((size, path))
 
     def repeated(self) -> DataFrame:
         """Level rows of all anchors that occur more than once, each context once."""
-        keys = self.repeats[0]
-        for r in self.repeats[1:]:
-            keys = keys.unionByName(r)
-        rows = self.levels[0][1]
-        for _, level in self.levels[1:]:
-            rows = rows.unionByName(level)
-        met = rows.join(keys.distinct().hint("merge"), "key", "left_semi")
+        keys = self.spark.read.schema("key long").parquet(*self.repeats).distinct()
+        rows = self.spark.read.schema(_LEVEL).parquet(*(path for _, path in self.levels))
+        met = _salted(rows, keys, ["key"], "ctx", "left_semi")
         return met if len(self.levels) == 1 else self._array(met)
 
+    def forget(self) -> None:
+        for path in [p for _, p in self.levels] + self.repeats:
+            forget_path(self.spark, path)
+        self.levels, self.repeats = [], []
+
 
 _FOUND = "key long, ctx long, runs array<struct<lo:long,hi:long>>"
 _RUNS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+_SAMPLE = "key long, ctx long, data binary, wide boolean, unit byte, owner long"
 
 
-def _partly(docs: DataFrame, several: DataFrame, most: int) -> DataFrame:
+def _partly(docs: DataFrame, several: DataFrame) -> DataFrame:
     """For contexts of anchors that have several: the runs of starts, from the first of the context, that repeat."""
-    here = several.groupBy("doc_id", "h").agg(F.collect_list(F.struct("key", "ctx", "start", "count", "wide")).alias("at")).hint("merge")
+    units = {u.number: u for u in UNITS}
+    # A context seen in one document belongs to that document, one seen in several to none.
+    owner = F.when(F.col("n") > 1, F.xxhash64(F.lit("many"), "key", "ctx")).otherwise(F.xxhash64("doc_id", "h"))
+    several = several.withColumn("owner", owner)
+    here = several.groupBy("doc_id", "h").agg(F.collect_list(F.struct("key", "ctx", "start", "count", "wide", "unit", "owner")).alias("at")).hint("merge")
     there = docs.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), "text")
     texts = here.join(there, F.expr("h = h2 and doc_id <=> d2")).select("text", "at")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 rows = []
                 part = b.slice(lo, 256)
                 for text, at in zip(part.column(0), part.column(1).to_pylist(), strict=True):
-                    data = text.as_py().encode()
-                    rows += [(x["key"], x["ctx"], data[x["start"] : x["start"] + x["count"] + LENGTH - 1], x["wide"]) for x in at]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.bool_()))], names=["key", "ctx", "data", "wide"])
+                    raw = {k: units[k].raw(text.as_py(), known) for k in {x["unit"] for x in at}}
+                    for x in at:
+                        u = units[x["unit"]]
+                        rows.append((x["key"], x["ctx"], raw[x["unit"]][x["start"] * u.width : (x["start"] + x["count"] + u.length - 1) * u.width], x["wide"], x["unit"], x["owner"]))
+                types = (pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int8(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[c.split()[0] for c in _SAMPLE.split(", ")])
 
-    samples = written(texts.mapInArrow(cut, "key long, ctx long, data binary, wide boolean").dropDuplicates(["key", "ctx"]), "suffix-samples")
+    samples = written(texts.mapInArrow(cut, _SAMPLE).dropDuplicates(["key", "ctx"]), "suffix-samples")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: list[tuple]) -> pa.RecordBatch:
-            found = repeated_starts([r[2] for r in rows], np.array([r[0] for r in rows]))
-            kept = [(r[0], r[1], [{"lo": lo, "hi": hi} for lo, hi in intervals(f)]) for r, f in zip(rows, found, strict=True) if f.any()]
-            return pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], t) for i, t in enumerate((pa.int64(), pa.int64(), _RUNS))], names=["key", "ctx", "runs"])
+        def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for u in UNITS:
+                if mine := [r for r in rows if r[3] == u.number]:
+                    found = repeated_starts([r[2] for r in mine], np.array([r[0] for r in mine]), np.array([r[4] for r in mine]), u)
+                    kept = [(r[0], r[1], [{"lo": lo, "hi": hi} for lo, hi in intervals(f)]) for r, f in zip(mine, found, strict=True) if f.any()]
+                    yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], t) for i, t in enumerate((pa.int64(), pa.int64(), _RUNS))], names=["key", "ctx", "runs"])
 
         held, size = [], 0
         for b in batches:  # sorted by key
-            for row in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 if size > 4 << 20 and held[-1][0] != row[0]:
-                    yield done(held)
+                    yield from done(held)
                     held, size = [], 0
                 held.append(row)
                 size += len(row[2])
         if held:
-            yield done(held)
+            yield from done(held)
 
-    met = samples.filter("not wide").select("key", "ctx", "data").repartition("key").sortWithinPartitions("key").mapInArrow(meet, _FOUND)
+    met = samples.filter("not wide").select("key", "ctx", "data", "unit", "owner").repartition("key").sortWithinPartitions("key").mapInArrow(meet, _FOUND)
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, ctx, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                h = grams(np.frombuffer(data, np.uint8), LENGTH)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(h)), pa.array([ctx] * len(h)), pa.array(np.arange(len(h))), pa.array(h.view(np.int64))], names=["key", "ctx", "i", "s"])
-
-    strings = samples.filter("wide").select("key", "ctx", "data").mapInArrow(single, "key long, ctx long, i long, s long")
-    twice = strings.groupBy("key", "s").agg(F.count("*").alias("n")).filter("n > 1").select("key", "s")
-    alone = strings.join(twice, ["key", "s"], "left_semi").groupBy("key", "ctx")
+            for key, ctx, data, unit, of in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                u = units[unit]
+                h = grams(u.values(data), u.length).view(np.int64)
+                o = np.full(len(h), of) if u.across else h * 0 + ctx + np.arange(len(h))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(h)), pa.array([ctx] * len(h)), pa.array(np.arange(len(h))), pa.array(h), pa.array(o)], names=["key", "ctx", "i", "s", "o"])
+
+    strings = samples.filter("wide").select("key", "ctx", "data", "unit", "owner").mapInArrow(single, "key long, ctx long, i long, s long, o long")
+    twice = strings.groupBy("key", "s").agg(F.min("o").alias("o1"), F.max("o").alias("o2")).filter("o1 <> o2").select("key", "s")
+    alone = _salted(strings, twice, ["key", "s"], "ctx", "left_semi").groupBy("key", "ctx")
     runs = alone.agg(F.transform(F.collect_list("i"), lambda i: F.struct(i.alias("lo"), (i + 1).alias("hi"))).alias("runs"))
     return met.unionByName(runs)
 
 
-def _union(runs: list[dict], n: int) -> list[tuple[int, int]]:
-    """Byte runs covered by the strings that start in ``runs``, joined where they touch."""
+def _union(runs: list[dict], length: int) -> list[tuple[int, int]]:
+    """Runs of units covered by the strings that start in ``runs``, joined where they touch."""
     out: list[tuple[int, int]] = []
-    for lo, hi in sorted((r["lo"], min(n, r["hi"] - 1 + LENGTH)) for r in runs):
+    for lo, hi in sorted((r["lo"], r["hi"] - 1 + length) for r in runs):
         if out and lo <= out[-1][1]:
             out[-1] = (out[-1][0], max(hi, out[-1][1]))
         else:
@@ -249,48 +330,72 @@ def _union(runs: list[dict], n: int) -> list[tuple[int, int]]:
     return out
 
 
-def substring_dedup(docs: DataFrame, batches: int = BATCHES, most: int = MOST, keep_bytes: bool = False) -> DataFrame:
-    """Removes every byte that a ``LENGTH``-byte string covers which starts anywhere else too.
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and h, a hash that tells texts of one id apart."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on demand, kept (binary: a cut may part a character).
+
+def repeats_in(docs: DataFrame, rows: DataFrame, family: SuffixFamily, most: int = MOST) -> DataFrame:
+    """doc_id, h, and the runs of repeated string starts, in bytes and in words, of the documents that ``rows`` are of.
+
+    ``docs`` are all documents that the family was told of: it keeps places, and their texts are read again.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
-    rows = written(suffix_rows(docs), "suffix-rows")
-    family = SuffixFamily()
-    for k in range(batches):
-        family.add(rows.filter(F.pmod("h", F.lit(batches)) == k))
     known = written(family.repeated(), "suffix-known")
-    for _, level in family.levels:
-        forget(level)
     per_key = known.groupBy("key").agg(F.count("*").alias("n_ctx")).filter("n_ctx > 1")
-    several = known.join(per_key.hint("merge"), "key").withColumn("wide", F.col("n_ctx") > most)
-    partly = _partly(docs, several, most)
+    several = _salted(known, per_key, ["key"], "ctx", "inner").withColumn("wide", F.col("n_ctx") > most)
+    partly = _partly(docs, several)
     whole = known.filter("n > 1").select("key", "ctx", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("count").alias("hi"))).alias("runs"))
     # A context that repeats as a whole needs nothing else.
     runs = written(whole.unionByName(partly.join(whole.select("key", "ctx").hint("merge"), ["key", "ctx"], "left_anti")), "suffix-runs")
-    hit = rows.join(runs.hint("merge"), ["key", "ctx"]).select(
-        "doc_id", "h", F.transform("runs", lambda r: F.struct((r["lo"] + F.col("start")).alias("lo"), (r["hi"] + F.col("start")).alias("hi"))).alias("runs")
-    )
-    per_doc = hit.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    per_doc = per_doc.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), "runs").hint("merge")
+    shifted = F.transform("runs", lambda r: F.struct((r["lo"] + F.col("start")).alias("lo"), (r["hi"] + F.col("start")).alias("hi")))
+    hit = _salted(rows, runs, ["key", "ctx"], "h", "inner").select("doc_id", "h", "unit", shifted.alias("runs"))
+    # sets: repeated rows have equal runs
+    of = lambda u: F.flatten(F.collect_set(F.when(F.col("unit") == u.number, F.col("runs"))))
+    return hit.groupBy("doc_id", "h").agg(of(BYTES).alias("runs"), of(WORDS).alias("word_runs"))
+
+
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long"
+
+
+def removed(docs: DataFrame, found: DataFrame, keep_bytes: bool = False) -> DataFrame:
+    """``docs`` without the bytes of the runs that ``found`` names (see ``repeats_in``)."""
+    found = found.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), "runs", "word_runs").hint("merge")
+    schema = _RESULT + (", kept binary" if keep_bytes else "")
 
     def finish(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
             out = []
-            for doc_id, text, runs in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            for doc_id, text, runs, word_runs in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), strict=True):
                 data = (text.as_py() or "").encode()
-                spans, kept, at = _union(runs.as_py() or [], len(data)), [], 0
+                spans, kept, at = _union(runs.as_py() or [], BYTES.length), [], 0
                 for lo, hi in spans:
                     kept.append(data[at:lo])
                     at = hi
                 left = b"".join([*kept, data[at:]])
-                out.append((doc_id, len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), *([left] if keep_bytes else [])))
-            types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * keep_bytes
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names[: len(types)])
+                passages = _union(word_runs.as_py() or [], WORDS.length)
+                row = (doc_id, len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), len(passages), sum(hi - lo for lo, hi in passages))
+                out.append((*row, left) if keep_bytes else row)
+            types = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 2 + [pa.binary()] * keep_bytes
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=[c.split()[0] for c in schema.split(", ")])
 
-    joined = docs.join(per_doc, F.expr("h = h2 and doc_id <=> d2"), "left").select("doc_id", "text", "runs")
-    return joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_bytes else ""))
+    joined = docs.join(found, F.expr("h = h2 and doc_id <=> d2"), "left").select("doc_id", "text", "runs", "word_runs")
+    return joined.mapInArrow(finish, schema)
+
+
+def substring_dedup(docs: DataFrame, batches: int = BATCHES, most: int = MOST, keep_bytes: bool = False) -> DataFrame:
+    """Removes every byte that a ``BYTES.length``-byte string covers which starts anywhere else too.
+
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages and n_passage_words (maximal runs of words, and words in them, of which
+    each ``WORDS.length`` in a row stand in another document) and, on demand, kept (binary: a cut may part a character).
+    """
+    docs = keyed(docs)
+    rows = written(suffix_rows(docs), "suffix-rows")
+    family = SuffixFamily(docs.sparkSession)
+    for k in range(batches):
+        family.add(rows.filter(F.pmod("h", F.lit(batches)) == k))
+    found = repeats_in(docs, rows, family, most)
+    family.forget()
+    return removed(docs, found, keep_bytes)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
