@@ -4,10 +4,10 @@ Strings are made of bytes, and beside that of words (runs without white space):
 twice are removed, and runs of ``WORDS.length`` words that stand in another document too are reported as passages.
 
 Which suffixes are indexed: among the ``gram``-unit grams of any ``length``-unit string the one with the least hash is its
-anchor. Equal strings have equal anchors at equal places, so suffixes at anchors (about one in 140 bytes, one in 18 words) find every
+anchor. Equal strings have equal anchors at equal places, so suffixes at anchors (about one in 160 bytes, one in 20 words) find every
 long match; a full array would cost eight bytes for each byte of text. The stretch of string starts that share an anchor is its
 context; a suffix-array row is the anchor's fingerprint (which orders the array: a scan only asks for equality to a depth), the
-fingerprint of the whole context, how often it was seen and where first.
+fingerprint of the whole context, and how often it was seen.
 
 Family: a batch of documents becomes a sorted array, is merge-scanned (a sort-merge join) against each level for anchors that
 were seen before, and is added as a level; two levels of one size merge into the next, so each row is rewritten a
@@ -16,8 +16,8 @@ new batches later.
 
 Extension: a context seen twice repeats at every start. Where an anchor stands in several contexts, the text of one sample
 of each meet by anchor, and their strings are sorted by fingerprint to find the starts that repeat; anchors with more than
-``MOST`` contexts send single strings instead, counted by Spark, so no task collects a hot anchor. Joins by anchor, by string and by
-context are salted by ``SALTS``.
+``MOST`` contexts send single strings instead, counted by Spark, so no task collects a hot anchor. Joins by anchor and by string
+are salted by ``SALTS``.
 
 Fingerprints have 128 bits in effect (anchor and context, or anchor and string). Defined results: null texts are empty; texts
 under ``length`` bytes keep all; repeated rows, with null ids too, are copies of each other, and count as other documents; further
@@ -37,11 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget_path, table, written, written_path
+from .common import forget, forget_path, release, table, written, written_path
 
-BATCHES = 4
+BATCHES = 2
 MOST = 1024
-SALTS = 16
+SALTS = 8
 _CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 24) - 1)
@@ -78,8 +78,8 @@ class Unit:
         return _bytes_table()[np.frombuffer(raw, np.uint8)] if self.width == 1 else np.frombuffer(raw, np.uint64)
 
 
-BYTES = Unit(0, length=400, gram=128, width=1, across=False)
-WORDS = Unit(1, length=51, gram=16, width=8, across=True)
+BYTES = Unit(0, length=400, gram=80, width=1, across=False)
+WORDS = Unit(1, length=51, gram=10, width=8, across=True)
 UNITS = (BYTES, WORDS)
 
 
@@ -165,42 +165,45 @@ def intervals(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-_ROWS = "doc_id long, h long, unit byte, key long, ctx long, n long, start long, count long"
-_LEVEL = "key long, ctx long, n long, unit byte, doc_id long, h long, start long, count long"
+_ROWS = "doc_id long, h long, key long, ctx long, place long"
+_LEVEL = "key long, ctx long, n long"
+_REPEATS = "key long, c long"
+
+
+def _place(start: int, count: int, counts: int, unit: int) -> int:
+    """Where a context is, in one number: first start, number of starts, whether it counts, and the unit."""
+    return start << 22 | count << 2 | counts << 1 | unit
+
+
+START, COUNT, COUNTS, UNIT = "shiftright(place, 22)", "shiftright(place, 2) & 1048575", "shiftright(place, 1) & 1", "place & 1"
 
 
 def suffix_rows(docs: DataFrame, units: tuple[Unit, ...] = UNITS) -> DataFrame:
-    """One row for each anchored suffix of ``docs`` (doc_id, h, text); ``n`` counts it, words once for each document."""
+    """One row for each anchored suffix of ``docs`` (doc_id, h, text). A context of words counts once in a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for b in batches:
             for lo in range(0, b.num_rows, 512):
-                cols: list[list] = [[] for _ in range(8)]
+                cols: list[list] = [[] for _ in range(5)]
                 part = b.slice(lo, 512)
                 for doc_id, h, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
                     for unit in units:
                         seen: set[tuple[int, int]] = set()
                         for keys, ctx, starts, counts in contexts(unit.raw(text.as_py(), known), unit):
-                            n = [1] * len(keys)
+                            one = [1] * len(keys)
                             if unit.across:
                                 for i, got in enumerate(zip(keys, ctx, strict=True)):
-                                    n[i] = int(got not in seen)
+                                    one[i] = int(got not in seen)
                                     seen.add(got)
-                            for c, v in zip(cols, ([doc_id] * len(n), [h] * len(n), [unit.number] * len(n), keys, ctx, n, starts, counts), strict=True):
-                                c += v
-                types = [pa.int8() if k == 2 else pa.int64() for k in range(8)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in _ROWS.split(", ")])
+                            places = [_place(s, c, n, unit.number) for s, c, n in zip(starts, counts, one, strict=True)]
+                            for col, v in zip(cols, ([doc_id] * len(keys), [h] * len(keys), keys, ctx, places), strict=True):
+                                col += v
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[c.split()[0] for c in _ROWS.split(", ")])
 
     return docs.select("doc_id", "h", "text").mapInArrow(run, _ROWS)
 
 
-def _salted(left: DataFrame, right: DataFrame, on: list[str], salt: str, how: str) -> DataFrame:
-    """A join by ``on`` in which a hot key of ``left`` goes to ``SALTS`` tasks, by the column ``salt``; ``right`` has each key once."""
-    right = right.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("_s", F.pmod(F.col(salt), F.lit(SALTS)).cast("int")).join(right.hint("merge"), [*on, "_s"], how).drop("_s")
-
-
 class SuffixFamily:
     """Levels of suffix arrays; ``repeats`` are the anchors that merge-scans have met twice. Both are tables, by path."""
 
@@ -216,20 +219,18 @@ class SuffixFamily:
 
     @staticmethod
     def _array(rows: DataFrame) -> DataFrame:
-        names = [c.split()[0] for c in _LEVEL.split(", ")]
-        one = [F.first(c).alias(c) for c in names[3:]]
-        return rows.groupBy("key", "ctx").agg(F.sum("n").alias("n"), *one).select(*names).sortWithinPartitions("key", "ctx")
+        return rows.groupBy("key", "ctx").agg(F.sum("n").alias("n")).sortWithinPartitions("key", "ctx")
 
     def add(self, rows: DataFrame) -> None:
         """A batch of ``suffix_rows``: array, merge-scan, carry."""
-        path = written_path(self._array(rows), "suffix-level")
-        new = self.level(path)
-        # each side has an anchor once, so a hot one is not a hot key
-        mine = new.groupBy("key").agg(F.sum("n").alias("n"))
-        seen = mine.filter("n > 1").select("key")
+        path = written_path(self._array(rows.select("key", "ctx", F.expr(COUNTS).alias("n"))), "suffix-level")
+        # each side has an anchor once, with its contexts, so a hot one is not a hot key
+        by_key = lambda p: self.level(p).groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("c"))
+        seen = by_key(path).filter("n > 1").select("key", "c")
         for _, other in self.levels:
-            seen = seen.unionByName(mine.select("key").hint("merge").join(self.level(other).select("key").distinct(), "key", "left_semi"))
-        self.repeats.append(written_path(seen.distinct(), "suffix-repeats"))
+            met = by_key(path).alias("a").hint("merge").join(by_key(other).alias("b"), "key")
+            seen = seen.unionByName(met.select("key", F.expr("a.c + b.c").alias("c")))
+        self.repeats.append(written_path(seen, "suffix-repeats"))
         size = 0
         while self.levels and self.levels[-1][0] == size:
             old = self.levels.pop()[1]
@@ -238,13 +239,18 @@ class SuffixFamily:
             forget_path(self.spark, old)
             path, size = merged, size + 1
         self.levels.append((size, path))
+        release(self.spark)
 
     def repeated(self) -> DataFrame:
-        """Level rows of all anchors that occur more than once, each context once."""
-        keys = self.spark.read.schema("key long").parquet(*self.repeats).distinct()
+        """Level rows (key, ctx, n) of all anchors that occur more than once, each context once; ``c``: contexts of the anchor, at most.
+
+        A hot anchor goes to ``SALTS`` tasks, by its contexts.
+        """
+        keys = self.spark.read.schema(_REPEATS).parquet(*self.repeats).groupBy("key").agg(F.sum("c").alias("c"))
+        keys = keys.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
         rows = self.spark.read.schema(_LEVEL).parquet(*(path for _, path in self.levels))
-        met = _salted(rows, keys, ["key"], "ctx", "left_semi")
-        return met if len(self.levels) == 1 else self._array(met)
+        met = rows.withColumn("s", F.pmod("ctx", F.lit(SALTS)).cast("int")).join(keys, ["key", "s"]).drop("s")
+        return met if len(self.levels) == 1 else met.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.max("c").alias("c"))
 
     def forget(self) -> None:
         for path in [p for _, p in self.levels] + self.repeats:
@@ -257,13 +263,14 @@ _RUNS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 _SAMPLE = "key long, ctx long, data binary, wide boolean, unit byte, owner long"
 
 
-def _partly(docs: DataFrame, several: DataFrame) -> DataFrame:
+def _partly(docs: DataFrame, hits: DataFrame, most: int) -> DataFrame:
     """For contexts of anchors that have several: the runs of starts, from the first of the context, that repeat."""
     units = {u.number: u for u in UNITS}
+    several = hits.filter("c > 1").groupBy("key", "ctx").agg(*(F.first(c).alias(c) for c in ("doc_id", "h", "place", "n", "c")))
     # A context seen in one document belongs to that document, one seen in several to none.
     owner = F.when(F.col("n") > 1, F.xxhash64(F.lit("many"), "key", "ctx")).otherwise(F.xxhash64("doc_id", "h"))
-    several = several.withColumn("owner", owner)
-    here = several.groupBy("doc_id", "h").agg(F.collect_list(F.struct("key", "ctx", "start", "count", "wide", "unit", "owner")).alias("at")).hint("merge")
+    cols = [F.col("key"), F.col("ctx"), F.expr(START).alias("start"), F.expr(COUNT).alias("count"), (F.col("c") > most).alias("wide"), F.expr(UNIT).alias("unit"), owner.alias("owner")]
+    here = several.groupBy("doc_id", "h").agg(F.collect_list(F.struct(*cols)).alias("at")).hint("merge")
     there = docs.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), "text")
     texts = here.join(there, F.expr("h = h2 and doc_id <=> d2")).select("text", "at")
 
@@ -314,7 +321,8 @@ def _partly(docs: DataFrame, several: DataFrame) -> DataFrame:
 
     strings = samples.filter("wide").select("key", "ctx", "data", "unit", "owner").mapInArrow(single, "key long, ctx long, i long, s long, o long")
     twice = strings.groupBy("key", "s").agg(F.min("o").alias("o1"), F.max("o").alias("o2")).filter("o1 <> o2").select("key", "s")
-    alone = _salted(strings, twice, ["key", "s"], "ctx", "left_semi").groupBy("key", "ctx")
+    twice = twice.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    alone = strings.withColumn("g", F.pmod("ctx", F.lit(SALTS)).cast("int")).join(twice, ["key", "s", "g"], "left_semi").groupBy("key", "ctx")
     runs = alone.agg(F.transform(F.collect_list("i"), lambda i: F.struct(i.alias("lo"), (i + 1).alias("hi"))).alias("runs"))
     return met.unionByName(runs)
 
@@ -338,20 +346,21 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeats_in(docs: DataFrame, rows: DataFrame, family: SuffixFamily, most: int = MOST) -> DataFrame:
     """doc_id, h, and the runs of repeated string starts, in bytes and in words, of the documents that ``rows`` are of.
 
-    ``docs`` are all documents that the family was told of: it keeps places, and their texts are read again.
+    ``docs`` are all documents that the family was told of, of which ``rows`` are the suffixes, or of a part of them that has
+    every repeat in itself; the family keeps no texts.
     """
     known = written(family.repeated(), "suffix-known")
-    per_key = known.groupBy("key").agg(F.count("*").alias("n_ctx")).filter("n_ctx > 1")
-    several = _salted(known, per_key, ["key"], "ctx", "inner").withColumn("wide", F.col("n_ctx") > most)
-    partly = _partly(docs, several)
-    whole = known.filter("n > 1").select("key", "ctx", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("count").alias("hi"))).alias("runs"))
+    # The copies of one context meet here; Spark's skew handling splits them, as the other side is a row.
+    hits = written(rows.join(known.hint("merge"), ["key", "ctx"]).filter("n > 1 or c > 1"), "suffix-hits")
+    release(docs.sparkSession)
+    partly = _partly(docs, hits, most)
     # A context that repeats as a whole needs nothing else.
-    runs = written(whole.unionByName(partly.join(whole.select("key", "ctx").hint("merge"), ["key", "ctx"], "left_anti")), "suffix-runs")
-    shifted = F.transform("runs", lambda r: F.struct((r["lo"] + F.col("start")).alias("lo"), (r["hi"] + F.col("start")).alias("hi")))
-    hit = _salted(rows, runs, ["key", "ctx"], "h", "inner").select("doc_id", "h", "unit", shifted.alias("runs"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.expr(COUNT).alias("hi")))
+    found = hits.filter("n > 1").withColumn("runs", whole).unionByName(hits.filter("n <= 1").join(partly.hint("merge"), ["key", "ctx"]))
+    shifted = F.transform("runs", lambda r: F.struct((r["lo"] + F.expr(START)).alias("lo"), (r["hi"] + F.expr(START)).alias("hi")))
     # sets: repeated rows have equal runs
-    of = lambda u: F.flatten(F.collect_set(F.when(F.col("unit") == u.number, F.col("runs"))))
-    return hit.groupBy("doc_id", "h").agg(of(BYTES).alias("runs"), of(WORDS).alias("word_runs"))
+    of = lambda u: F.flatten(F.collect_set(F.when(F.expr(UNIT) == u.number, shifted)))
+    return found.groupBy("doc_id", "h").agg(of(BYTES).alias("runs"), of(WORDS).alias("word_runs"))
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long"
@@ -393,8 +402,10 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, most: int = MOST, k
     family = SuffixFamily(docs.sparkSession)
     for k in range(batches):
         family.add(rows.filter(F.pmod("h", F.lit(batches)) == k))
-    found = repeats_in(docs, rows, family, most)
+    found = written(repeats_in(docs, rows, family, most), "suffix-found")
+    forget(rows)
     family.forget()
+    release(docs.sparkSession)
     return removed(docs, found, keep_bytes)
 
 
