@@ -10,17 +10,23 @@ of the item stands for one value of the document, in ``consistent`` of the cases
 most of their values have to be equal as well. So a question that was asked anew with other
 numbers and names is found, and two texts that merely share a layout are not.
 
+Which items a text has to be aligned with: a leak matches a number of windows of the item at least, which follows from ``cover``,
+``run`` and the most words that a window of it spans. One fewer of them, those that most items share, name no candidates; at least one
+other window of a leak does. So phrases that a whole benchmark shares cost nothing, and no leak is lost.
+
 The benchmark's windows are looked up in each task while the items stay under ``max_item_chars`` characters, which is checked;
-beyond it, windows of documents and items meet in a shuffled join, which names the items of each document, and the same
-scoring follows.
+beyond it, the same windows of documents and items meet in a shuffled join, which names the candidates of each document, and the same
+scoring follows: both give the same rows.
 
 Defined results: null and empty texts match nothing; items shorter than a window match as a whole; repeated rows of
-documents give repeated rows of leaks; repeated items are reported under each of their ids; null item ids are kept; further
+documents give repeated rows of leaks; an item row that is repeated counts once, equal items are reported under each of
+their ids; null item ids are kept; ties between alignments go to the greater coverage, then to the longer run; further
 columns are ignored; an empty benchmark or table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -29,7 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -145,34 +151,55 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
         return out ^ (out >> np.uint64(29))
 
 
+def spared(view: View, rule: Rule) -> int:
+    """So many windows of an item need not name it: a leak matches more."""
+    size = min(rule.window, len(view.hashes))
+    span = int((view.starts[size:] - view.starts[:-size]).max()) if size else 1
+    return max(0, min(math.ceil(rule.cover * int(view.starts[-1]) / span - 1e-9), math.ceil(rule.run / span)) - 1)
+
+
 class Table:
-    """Sorted window hashes of one view of the items, with their item and place."""
-
-    def __init__(self, views: list[View], window: int):
-        self.views = views
-        parts = [windows(v.hashes, window) for v in views]
-        self.sizes = {min(window, len(v.hashes)) for v in views if len(v.hashes)}
-        of = [np.full(len(w), k, np.int64) for k, w in enumerate(parts)]
-        at = [np.arange(len(w)) for w in parts]
-        h = np.concatenate([np.empty(0, np.uint64), *parts])
-        of, at = (np.concatenate([np.empty(0, np.int64), *x]) for x in (of, at))
-        order = np.argsort(h, kind="stable")
-        self.h, self.of, self.at = h[order], of[order].astype(np.int64), at[order].astype(np.int64)
+    """Windows of one view of the items: those that name an item, sorted, and all of each item."""
+
+    def __init__(self, views: list[View], rule: Rule):
+        self.views, self.window = views, rule.window
+        self.windows = [windows(v.hashes, rule.window) for v in views]
+        self.sizes = {min(rule.window, len(v.hashes)) for v in views if len(v.hashes)}
+        shared = Counter(h for w in self.windows for h in np.unique(w).tolist())
+        naming = []
+        for k, (v, w) in enumerate(zip(views, self.windows, strict=True)):
+            left = spared(v, rule)
+            for h, n in sorted(Counter(w.tolist()).items(), key=lambda x: (-shared[x[0]], x[0])):
+                left -= n
+                if left < 0:
+                    naming.append((h, k))
+        naming.sort()
+        self.h = np.array([h for h, _ in naming], np.uint64)
+        self.of = np.array([k for _, k in naming], np.int64)
         self.known = np.zeros(1 << 20, bool)
         self.known[(self.h >> np.uint64(44)).astype(np.int64)] = True
 
-    def met(self, hashes: np.ndarray, window: int) -> dict[int, dict[int, set[int]]]:
+    def met(self, hashes: np.ndarray) -> dict[int, dict[int, set[int]]]:
         """By item and diagonal, the places in the item."""
         found: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for size in self.sizes:
             if len(hashes) < size:
                 continue
             h = windows(hashes, size)
-            for p in np.flatnonzero(self.known[(h >> np.uint64(44)).astype(np.int64)]).tolist():
-                lo, hi = np.searchsorted(self.h, h[p], "left"), np.searchsorted(self.h, h[p], "right")
-                for of, at in zip(self.of[lo:hi].tolist(), self.at[lo:hi].tolist(), strict=True):
-                    if min(window, len(self.views[of].hashes)) == size:
-                        found[of][p - at].update(range(at, at + size))
+            some = h[self.known[(h >> np.uint64(44)).astype(np.int64)]]
+            if not len(some):
+                continue
+            lo, hi = np.searchsorted(self.h, some, "left"), np.searchsorted(self.h, some, "right")
+            named = {k for a, b in set(zip(lo.tolist(), hi.tolist(), strict=True)) for k in self.of[a:b].tolist() if min(self.window, len(self.views[k].hashes)) == size}
+            if not named:
+                continue
+            order = np.argsort(h, kind="stable")
+            ordered = h[order]
+            for k in named:
+                lo, hi = np.searchsorted(ordered, self.windows[k], "left"), np.searchsorted(ordered, self.windows[k], "right")
+                for at in np.flatnonzero(hi > lo).tolist():
+                    for p in order[lo[at] : hi[at]].tolist():
+                        found[k][p - at].update(range(at, at + size))
         return found
 
 
@@ -225,14 +252,14 @@ class Items:
         self.ids = [i for i, _ in items]
         read = [self.t(text) for _, text in items]
         self.words = [words for words, _ in read]
-        self.tables = [Table([views[v] for _, views in read], rule.window) for v in range(2)]
+        self.tables = [Table([views[v] for _, views in read], rule) for v in range(2)]
 
     def leaks(self, text: str | None) -> list[tuple]:
         """(item index, covered words, coverage, longest run, consistency, slots that differ) of each leaked item."""
         words, views = self.t(text)
         best: dict[int, tuple] = {}
         for view, known in zip(views, self.tables, strict=True):
-            for of, diagonals in known.met(view.hashes, self.rule.window).items():
+            for of, diagonals in known.met(view.hashes).items():
                 for shift, places in diagonals.items():
                     self._score(best, of, known.views[of], words, view, {q: q + shift for q in places})
                 if len(diagonals) > 1:
@@ -284,7 +311,7 @@ def _rows(b: pa.RecordBatch, of) -> pa.RecordBatch:
 def leaks(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """One row for each document and item it leaks; ``text_hash`` tells rows with one doc_id apart."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null")
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     if chars <= rule.max_item_chars:
         shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.orderBy("item_id", "text").collect()])
@@ -301,23 +328,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule()) -> DataFra
 def _leaks_by_join(docs: DataFrame, items: DataFrame, rule: Rule) -> DataFrame:
     """For benchmarks of any size: a shuffled join of window hashes names the items that a document has to be scored against."""
 
-    def spread(all_sizes: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = Templates()
-            for b in batches:
-                for i, text in enumerate(b.column("text")):
-                    views = [v.hashes for v in t(text.as_py())[1]]
-                    sizes = range(1, rule.window + 1) if all_sizes else [rule.window]
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = Templates()
+        for b in batches:
+            for doc_id, h, text in zip(*(b.column(c) for c in ("doc_id", "h", "text")), strict=True):
+                for v, view in enumerate(t(text.as_py())[1]):
                     # items below a window's length are met by windows of their own length
-                    w = np.unique(np.concatenate([windows(hashes, s) for hashes in views for s in sizes if len(hashes) >= s or not all_sizes] or [np.empty(0, np.uint64)]))
-                    head = [pa.array([b.column(c)[i].as_py()] * len(w), b.column(c).type) for c in b.schema.names if c != "text"]
-                    yield pa.RecordBatch.from_arrays([*head, pa.array(w.view(np.int64))], names=[*(c for c in b.schema.names if c != "text"), "w"])
+                    parts = [windows(view.hashes, s) for s in range(1, rule.window + 1) if len(view.hashes) >= s]
+                    w = np.unique(np.concatenate([np.empty(0, np.uint64), *parts])).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([x.as_py()] * len(w), pa.int64()) for x in (doc_id, h)] + [pa.array(np.full(len(w), v)), pa.array(w)], names=["doc_id", "h", "v", "w"])
 
-        return run
-
-    of_docs = docs.select("doc_id", "h", "text").mapInArrow(spread(True), "doc_id long, h long, w long")
-    of_items = items.select("item_id", "text").withColumn("ih", F.xxhash64("text")).mapInArrow(spread(False), "item_id long, ih long, w long")
-    met = of_docs.join(of_items, "w").select("doc_id", "h", "item_id", "ih").distinct()
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = Templates()
+        for b in batches:
+            rows = []
+            for item_id, ih, text in zip(*(b.column(c).to_pylist() for c in ("item_id", "ih", "text")), strict=True):
+                for v, view in enumerate(t(text)[1]):
+                    rows += [(item_id, ih, v, h, n, spared(view, rule)) for h, n in Counter(windows(view.hashes, rule.window).view(np.int64).tolist()).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], names=["item_id", "ih", "v", "w", "places", "spared"])
+
+    item_windows = items.withColumn("ih", F.xxhash64("text")).mapInArrow(of_items, "item_id long, ih long, v long, w long, places long, spared long")
+    item_windows = written(item_windows, "leak-windows")
+    shared = item_windows.groupBy("v", "w").agg(F.count("*").alias("n"))
+    common = Window.partitionBy("item_id", "ih", "v").orderBy(F.desc("n"), "w")
+    naming = item_windows.join(shared, ["v", "w"]).withColumn("before", F.sum("places").over(common)).filter("before > spared").select("item_id", "ih", "v", "w")
+    doc_windows = docs.select("doc_id", "h", "text").mapInArrow(of_docs, "doc_id long, h long, v long, w long")
+    met = doc_windows.join(naming, ["v", "w"]).select("doc_id", "h", "item_id", "ih").distinct()
     met = written(met, "leak-candidates")
     texts = items.withColumn("ih", F.xxhash64("text")).withColumnRenamed("text", "item_text").distinct()
     both = met.alias("m").join(texts.alias("i"), F.expr("m.item_id <=> i.item_id and m.ih = i.ih")).selectExpr("m.doc_id", "m.h", "i.item_id", "i.item_text")
