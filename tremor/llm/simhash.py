@@ -1,12 +1,15 @@
 """SimHash near-dedup with pivot distance tables.
 
-Distinct fingerprints go to tables so that two within ``radius`` bits share a bucket in one table at least: of ``blocks`` bit
-blocks, ``radius`` can differ, and each choice of the others is a table. A fingerprint carries its pivot row: its Hamming
-distances to many fixed reference fingerprints. Two fingerprints whose rows differ by more than the radius in
-any coordinate cannot be that close, so such pairs are discarded on the rows alone, in order of the first coordinate, and
-only survivors are compared bit by bit. A bucket answers with one edge a member (to the least member it is linked to), not with its
-pairs; edges then become components. Copies of a text are one fingerprint from the start, and buckets above
-``most`` fingerprints are dealt again by further bits, exactly.
+A fingerprint has a pivot row: its Hamming distances to ``PIVOTS`` fixed reference fingerprints. Two fingerprints whose rows
+differ by more than the radius in any coordinate cannot be that close, so pairs are discarded on their rows alone, in
+order of the first coordinate, and only survivors are compared bit by bit. That holds for every pair that is looked at.
+
+Pivot rows alone deal out too few pairs to be an index: distances of unlike fingerprints are all near 32, so a coordinate tells
+about a third of the pairs apart. So distinct fingerprints first go to tables such that two within ``radius`` bits share a
+bucket in one table at least: of ``blocks`` bit blocks, ``radius`` can differ, and each choice of the others is a table. A bucket answers
+with one edge a member (to the least member it is linked to), not with its pairs; edges then become components. Copies of a text are
+one fingerprint from the start. Buckets above ``most`` fingerprints are dealt again by further bits, and what is still above goes
+into tiles that together hold all its pairs, so a task never holds more than twice ``most``.
 
 Defined results: texts without words have fingerprint zero, linked like any other; with fewer words than a shingle the whole
 sequence is the shingle; repeated rows are in one component; null ids are ignored as component ids, a component
@@ -30,7 +33,7 @@ from . import near_copies
 from .common import table, written
 
 SEED = 42
-PIVOTS = 16
+PIVOTS = 48
 MOST = 16_384
 
 
@@ -132,17 +135,35 @@ def _in_buckets(members: DataFrame, by: list[str], radius: int) -> DataFrame:
     return members.groupBy(*by).agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(run, "u long, v long")
 
 
+def _close(u: Column, v: Column, radius: int) -> Column:
+    """Not discarded by any pivot, and within ``radius`` bits."""
+    out = F.lit(True)
+    for p in _pivots().view(np.int64).tolist():
+        out = out & (F.abs(F.bit_count(u.bitwiseXOR(F.lit(p))) - F.bit_count(v.bitwiseXOR(F.lit(p)))) <= radius)
+    return out & (F.bit_count(u.bitwiseXOR(v)) <= radius)
+
+
+def _sizes(members: DataFrame, by: list[str]) -> DataFrame:
+    return members.groupBy(*by).agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).filter("n > 1")
+
+
 def links(fps: DataFrame, radius: int, blocks: int, most: int = MOST) -> DataFrame:
     """Edges (u, v) that join any two of the distinct ``fp`` within ``radius`` bits by a path of such pairs."""
     dealt = fps.select("fp", _tables(_masks(radius, blocks)).alias("x")).select("fp", "x.t", "x.k")
-    sizes = written(dealt.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).filter("n > 1"), "simhash-buckets")
-    pairs = sizes.filter((F.col("n") == 2) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)).select("u", "v")
+    sizes = written(_sizes(dealt, ["t", "k"]), "simhash-buckets")
+    pairs = sizes.filter((F.col("n") == 2) & _close(F.col("u"), F.col("v"), radius)).select("u", "v")
     # The rest of the buckets, met once more by their key.
     members = written(dealt.join(sizes.filter("n > 2").select("t", "k", "n"), ["t", "k"]), "simhash-members")
     out = pairs.unionByName(_in_buckets(members.filter(F.col("n") <= most), ["t", "k"], radius))
-    piece = _tables(_masks(radius, radius + 1))
-    finer = members.filter(F.col("n") > most).select("t", "k", "fp", piece.alias("x")).select("t", "k", F.col("x.t").alias("t2"), F.col("x.k").alias("k2"), "fp")
-    return out.unionByName(_in_buckets(finer, ["t", "k", "t2", "k2"], radius)).distinct()
+    finer = members.filter(F.col("n") > most).select("t", "k", "fp", _tables(_masks(radius, radius + 1)).alias("x"))
+    finer = written(finer.select("t", "k", F.col("x.t").alias("t2"), F.col("x.k").alias("k2"), "fp"), "simhash-finer")
+    by = ["t", "k", "t2", "k2"]
+    finer = finer.join(_sizes(finer, by).select(*by, "n"), by)
+    tiles = F.ceil(F.col("n") / F.lit(most)).cast("int")
+    own = finer.withColumn("g", tiles).withColumn("c", F.pmod(F.xxhash64("fp", F.lit("tile")), F.col("g")).cast("int"))
+    own = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    own = own.select(*by, "fp", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"))
+    return out.unionByName(_in_buckets(own, [*by, "lo", "hi"], radius)).distinct()
 
 
 def simhash_components(prints: DataFrame, radius: int = 2, blocks: int = 4) -> DataFrame:
