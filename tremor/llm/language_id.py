@@ -37,11 +37,15 @@ def held_out() -> Column:
 
 
 def bounded_sample(df: DataFrame, rows: int, n: int | None = None) -> DataFrame:
-    """All rows, or about ``rows`` of them by a hash of the id: the same ones at every run."""
+    """All rows, or about ``rows`` of them by a hash of their columns and place: the same ones at every run over the same files.
+
+    The place counts, so rows that are alike in all columns are not all taken or all left.
+    """
     n = df.count() if n is None else n
     if n <= rows:
         return df
-    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
+    place = df.withColumn("_place", F.monotonically_increasing_id())
+    return place.filter(F.pmod(F.xxhash64(F.lit("sample"), *df.columns, "_place"), F.lit(1 << 30)) < int(rows / n * (1 << 30))).drop("_place")
 
 
 def grams_of(word: str, order: int) -> list[str]:
