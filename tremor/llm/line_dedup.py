@@ -1,9 +1,10 @@
 """Line dedup: hash normalised lines, count the documents of each hash, drop frequent lines, reassemble by position.
 
-DataFrame functions only. The text itself is shuffled once, to meet the places of its document's dropped lines; what is
-exploded carries 128 bits of hash and a place for each line. A document counts a hash once, at the first of its equal lines; hot
-lines pre-aggregate before the shuffle, and the frequent hashes are a written table, so the planner broadcasts them only
-below its size limit. The work within a text is that of sorting its lines.
+DataFrame functions only. The text itself is shuffled once, to meet its document's dropped hashes; what is
+exploded carries 128 bits of hash for each distinct line of a document. Hot lines pre-aggregate before the
+shuffle, and the frequent hashes are a written table, so the planner broadcasts them only below its size limit.
+A document's dropped hashes are dealt into as many groups as the root of their number, and a line looks into one: the work
+within a text grows with the power 1.5 of its lines at most.
 
 Defined results: a null or empty text is one empty line; lines whose key is shorter than ``min_chars`` never go; every row
 is a document of its own, so repeated rows, and rows that share an id, count each; null ids are kept; further columns are
@@ -35,19 +36,26 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: Se
     """
     # Rows of one id and one text lose the same lines, so these two tell apart what has to be.
     lines = docs.select("doc_id", *keep, F.xxhash64("text").alias("_t"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
-    places = F.transform("lines", lambda x, i: F.struct(_hash(line_key(x)).alias("h"), i.alias("i"), F.length(line_key(x)).alias("n")))
-    places = F.sort_array(F.filter(places, lambda p: p["n"] >= min_chars))
-    sorted_ = lines.select("doc_id", "_t", places.alias("p"))
-    # equal hashes are neighbours now, the first of them counts the document
-    keyed = sorted_.select("doc_id", "_t", F.explode(F.zip_with("p", F.slice(F.concat(F.array(F.lit(None)), "p"), 1, F.size("p")), _first_of_run)).alias("x")).select("doc_id", "_t", "x.*")
-    frequent = written(keyed.groupBy("h").agg(F.sum("one").alias("n")).filter(F.col("n") >= min_docs).select("h"), "frequent-lines")
-    hits = keyed.join(frequent, "h", "left_semi").groupBy("doc_id", "_t").agg(F.collect_set("i").alias("gone"))
-    hits = written(hits, "line-hits")
+    keyed = lines.select(
+        "doc_id",
+        "_t",
+        F.explode(
+            F.transform(
+                F.array_distinct(F.filter(F.transform("lines", line_key), lambda k: F.length(k) >= min_chars)), _hash
+            )
+        ).alias("h"),
+    )
+    frequent = written(keyed.groupBy("h").count().filter(F.col("count") >= min_docs).select("h"), "frequent-lines")
+    hits = keyed.join(frequent, "h", "left_semi").groupBy("doc_id", "_t").agg(F.collect_set("h").alias("gone"))
+    groups = F.ceil(F.sqrt(F.size("gone"))).cast("int")
+    dealt = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.filter("gone", lambda h: F.pmod(h["a"], groups) == g))
+    hits = written(hits.select("doc_id", "_t", dealt.alias("gone")), "line-hits")
     forget(frequent)
     # One plan at every size: the hits grow with the documents, so they are never broadcast.
     hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("_t").alias("hit_t"), "gone").hint("merge")
-    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get("lines", i))
-    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(stay)
+    hashed = F.transform("lines", lambda x: F.struct(x.alias("x"), _hash(line_key(x)).alias("h"), (F.length(line_key(x)) >= min_chars).alias("counts")))
+    stay = F.filter(hashed, lambda y: ~(y["counts"] & F.array_contains(F.get("gone", F.pmod(y["h"]["a"], F.size("gone")).cast("int")), y["h"])))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda y: y["x"]))
     joined = lines.join(hits, (F.col("_t") == F.col("hit_t")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select("doc_id", *keep, "lines", kept.alias("kept"))
     return joined.select(
         "doc_id",
@@ -58,11 +66,6 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: Se
     )
 
 
-def _first_of_run(p: Column, before: Column) -> Column:
-    new = before.isNull() | (before["h"] != p["h"])
-    return F.struct(p["h"].alias("h"), p["i"].alias("i"), new.cast("int").alias("one"))
-
-
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
