@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from .common import forget, forget_path, release, table, written, written_path
 
 BATCHES = 2
-MOST = 1024
-SALTS = 8
+MOST = 8192
+SALTS = 4
 _CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 24) - 1)
@@ -224,6 +224,7 @@ class SuffixFamily:
     def add(self, rows: DataFrame) -> None:
         """A batch of ``suffix_rows``: array, merge-scan, carry."""
         path = written_path(self._array(rows.select("key", "ctx", F.expr(COUNTS).alias("n"))), "suffix-level")
+        release(self.spark)
         # each side has an anchor once, with its contexts, so a hot one is not a hot key
         by_key = lambda p: self.level(p).groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("c"))
         seen = by_key(path).filter("n > 1").select("key", "c")
@@ -231,6 +232,7 @@ class SuffixFamily:
             met = by_key(path).alias("a").hint("merge").join(by_key(other).alias("b"), "key")
             seen = seen.unionByName(met.select("key", F.expr("a.c + b.c").alias("c")))
         self.repeats.append(written_path(seen, "suffix-repeats"))
+        release(self.spark)
         size = 0
         while self.levels and self.levels[-1][0] == size:
             old = self.levels.pop()[1]
@@ -238,8 +240,8 @@ class SuffixFamily:
             forget_path(self.spark, path)
             forget_path(self.spark, old)
             path, size = merged, size + 1
+            release(self.spark)
         self.levels.append((size, path))
-        release(self.spark)
 
     def repeated(self) -> DataFrame:
         """Level rows (key, ctx, n) of all anchors that occur more than once, each context once; ``c``: contexts of the anchor, at most.
@@ -263,8 +265,8 @@ _RUNS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 _SAMPLE = "key long, ctx long, data binary, wide boolean, unit byte, owner long"
 
 
-def _partly(docs: DataFrame, hits: DataFrame, most: int) -> DataFrame:
-    """For contexts of anchors that have several: the runs of starts, from the first of the context, that repeat."""
+def _samples(docs: DataFrame, hits: DataFrame, most: int) -> DataFrame:
+    """For contexts of anchors that have several: the text of one place of each."""
     units = {u.number: u for u in UNITS}
     several = hits.filter("c > 1").groupBy("key", "ctx").agg(*(F.first(c).alias(c) for c in ("doc_id", "h", "place", "n", "c")))
     # A context seen in one document belongs to that document, one seen in several to none.
@@ -288,7 +290,12 @@ def _partly(docs: DataFrame, hits: DataFrame, most: int) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int8(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[c.split()[0] for c in _SAMPLE.split(", ")])
 
-    samples = written(texts.mapInArrow(cut, _SAMPLE).dropDuplicates(["key", "ctx"]), "suffix-samples")
+    return texts.mapInArrow(cut, _SAMPLE).dropDuplicates(["key", "ctx"])
+
+
+def _partly(samples: DataFrame) -> DataFrame:
+    """The runs of starts, from the first of the context, that repeat."""
+    units = {u.number: u for u in UNITS}
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -349,18 +356,26 @@ def repeats_in(docs: DataFrame, rows: DataFrame, family: SuffixFamily, most: int
     ``docs`` are all documents that the family was told of, of which ``rows`` are the suffixes, or of a part of them that has
     every repeat in itself; the family keeps no texts.
     """
+    spark = docs.sparkSession
     known = written(family.repeated(), "suffix-known")
+    release(spark)
     # The copies of one context meet here; Spark's skew handling splits them, as the other side is a row.
     hits = written(rows.join(known.hint("merge"), ["key", "ctx"]).filter("n > 1 or c > 1"), "suffix-hits")
-    release(docs.sparkSession)
-    partly = _partly(docs, hits, most)
+    forget(known)
+    release(spark)
+    samples = written(_samples(docs, hits, most), "suffix-samples")
+    release(spark)
     # A context that repeats as a whole needs nothing else.
     whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.expr(COUNT).alias("hi")))
-    found = hits.filter("n > 1").withColumn("runs", whole).unionByName(hits.filter("n <= 1").join(partly.hint("merge"), ["key", "ctx"]))
+    found = hits.filter("n > 1").withColumn("runs", whole).unionByName(hits.filter("n <= 1").join(_partly(samples).hint("merge"), ["key", "ctx"]))
     shifted = F.transform("runs", lambda r: F.struct((r["lo"] + F.expr(START)).alias("lo"), (r["hi"] + F.expr(START)).alias("hi")))
     # sets: repeated rows have equal runs
     of = lambda u: F.flatten(F.collect_set(F.when(F.expr(UNIT) == u.number, shifted)))
-    return found.groupBy("doc_id", "h").agg(of(BYTES).alias("runs"), of(WORDS).alias("word_runs"))
+    found = written(found.groupBy("doc_id", "h").agg(of(BYTES).alias("runs"), of(WORDS).alias("word_runs")), "suffix-found")
+    for t in (hits, samples):
+        forget(t)
+    release(spark)
+    return found
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long"
@@ -402,10 +417,9 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, most: int = MOST, k
     family = SuffixFamily(docs.sparkSession)
     for k in range(batches):
         family.add(rows.filter(F.pmod("h", F.lit(batches)) == k))
-    found = written(repeats_in(docs, rows, family, most), "suffix-found")
+    found = repeats_in(docs, rows, family, most)
     forget(rows)
     family.forget()
-    release(docs.sparkSession)
     return removed(docs, found, keep_bytes)
 
 
