@@ -298,13 +298,25 @@ def test_toxicity(spark, none):
 
 
 def test_transducers_compose():
-    nxt, out, factor = toxicity.compose(toxicity.negation(), toxicity.reported(), toxicity.targeted())
-    run = lambda *symbols: _walk(nxt, out, factor, symbols)
-    assert run(toxicity.INSULT) == (toxicity.INSULT, 1.0)
-    assert run(toxicity.NEGATION, toxicity.INSULT) == (toxicity.INSULT, 0.5)
-    assert run(toxicity.TARGET, toxicity.INSULT) == (toxicity.INSULT, 1.25)
-    assert run(toxicity.THREAT)[0] == toxicity.OTHER and run(toxicity.THREAT, toxicity.TARGET)[0] == toxicity.THREAT
-    assert run(toxicity.REPORT, toxicity.INSULT) == (toxicity.INSULT, 0.7)
+    T = toxicity
+    run = lambda *symbols: _walk(*T.cascade(), symbols)
+    assert run(T.ABUSE) == (T.INSULT, 1.0)
+    assert run(T.ABUSE, T.ABUSE) == (T.INSULT, 1.1) and run(T.ABUSE, T.OTHER, T.OTHER, T.ABUSE) == (T.INSULT, 1.0)
+    assert run(T.NEGATION, T.ABUSE) == (T.INSULT, 0.5)
+    assert run(T.TARGET, T.ABUSE) == (T.INSULT, 1.25)
+    assert run(T.VIOLENCE)[0] == T.OTHER and run(T.VIOLENCE, T.OTHER, T.TARGET) == (T.THREAT, 1.0)
+    assert run(T.NEGATION, T.VIOLENCE, T.TARGET) == (T.THREAT, 0.5) and run(T.REPORT, T.VIOLENCE, T.TARGET) == (T.THREAT, 0.7)
+    assert run(T.REPORT, T.ABUSE) == (T.INSULT, 0.7)
+
+
+def test_learned_threats(spark):
+    plain = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    data = [(i, f"{plain(9)}. i will smoosh you {plain(3)}. {plain(8)}", 1) if i % 4 == 0 else (i, f"{plain(12)}. to you {plain(5)}. {plain(9)}", 0) for i in range(160)]
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert model.words["smoosh"][0] == toxicity.VIOLENCE
+    g = toxicity.Grammar(model)
+    assert g.score("i smoosh you") > 0.5 > g.score("i smoosh paper") and [s > 0 for _, s in g.clauses("i smoosh you, smoosh. you")] == [True, False, False]
 
 
 def _walk(nxt, out, factor, symbols):

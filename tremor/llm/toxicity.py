@@ -1,17 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A lexical transducer turns the words of a clause into symbols: insult, threat, target, negation, report, other. Insults are
-words and word beginnings that labelled texts teach, beside a short seed list. Four more transducers rewrite
-that string and weigh it: negation weakens an insult or threat that follows closely, reported speech weakens what follows it
-in the clause, a target makes insults heavier and is what turns a violent verb into a threat. They are composed into one table before any
-text is read. A clause scores the product of its weights with its heaviest match; a logistic curve over the
+A lexicon turns the words of a clause into symbols: abuse, violence, target, negation, report, other. Abuse and violence are words
+and word beginnings that labelled texts teach, beside a short seed list; a taught word that mostly aims at a target, as "kill" does at
+"you", is violence, any other abuse. Five transducers then read that string one after the other: *insult* marks abuse, heavier where it is heaped,
+*threat* marks violence that reaches a target, *target* makes insults heavier after one was named, *negation* weakens a mark that follows
+closely, and *reported speech* weakens what follows it in the clause. They are composed into one table before any
+text is read. A clause scores its heaviest mark: the weight of the word times the factors on the way. A logistic curve over the
 best clause, the sum of clauses and their density turns that into a probability.
 
-Fitting uses a bounded sample (``sample_rows`` labelled documents in expectation); the lexicon has at most ``max_terms`` terms.
+Fitting uses a bounded sample (``sample_rows`` labelled documents in expectation), which also bounds the lexicon: terms of three toxic texts of it.
 
 Defined results: null and empty texts score as texts without any match; repeated rows score alike; a document that
-labels names twice counts twice in fitting; with no labels at all the curve is a fixed prior; further columns are ignored; an
-empty table gives an empty result.
+labels names twice counts twice in fitting; of clauses that score alike the first is the top one; with no labels at all the curve is a fixed
+prior; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .language_id import bounded_sample, held_out
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, ABUSE, VIOLENCE, TARGET, NEGATION, REPORT, INSULT, THREAT = range(8)
 #: Seed words by symbol, for English, German, French and Spanish.
 SEEDS = {
-    INSULT: "idiot moron stupid pathetic worthless disgusting scum trash loser imbecile",
-    THREAT: "kill hurt destroy shoot stab strangle töten umbringen erschießen tuer frapper matar golpear",
+    ABUSE: "idiot moron stupid pathetic worthless disgusting scum trash loser imbecile",
+    VIOLENCE: "kill hurt destroy shoot stab strangle töten umbringen erschießen tuer frapper matar golpear",
     TARGET: "you your yours he him she her they them their these those people du dich dir ihr euch sie tu toi vous ils elles tú ti usted ustedes ellos ellas",
     NEGATION: "not no never neither nor nobody nicht kein keine niemals pas jamais aucun aucune nunca tampoco ningún",
     REPORT: "said says told wrote writes called quoted claims claimed reported sagte schrieb nannte behauptet dit écrit déclare dijo escribió llamó",
@@ -43,6 +44,9 @@ MIN_ODDS = 1.5
 _CLAUSE = re.compile(r"[.!?;:,\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = range(3, 8)
+_TARGETS = frozenset(SEEDS[TARGET].split())
+#: A target so many words after a term is what it aims at; a term is violence where that holds in this share of at least so many toxic texts.
+_AIM, AIMED, LEAST_AIMED = 3, 0.8, 10
 _ROOM = 200_000
 
 
@@ -57,7 +61,27 @@ class Transducer:
         return self.moves.get((state, symbol), (state, symbol, 1.0))
 
 
+def insult(reach: int = 2, heaped: float = 1.1) -> Transducer:
+    """Abuse becomes an insult; within ``reach`` words of another one it weighs more."""
+    t = Transducer(0)
+    for s in range(reach + 1):
+        for symbol in range(8):
+            t.moves[s, symbol] = (reach, INSULT, heaped if s else 1.0) if symbol == ABUSE else (max(0, s - 1), symbol, 1.0)
+    return t
+
+
+def threat() -> Transducer:
+    """Violence waits (state 1) for a target, which then completes a threat."""
+    return Transducer(0, {(0, VIOLENCE): (1, OTHER, 1.0), (1, VIOLENCE): (1, OTHER, 1.0), (1, TARGET): (0, THREAT, 1.0)})
+
+
+def target(factor: float = 1.25) -> Transducer:
+    """Insults after a target (state 1) weigh more."""
+    return Transducer(0, {(0, TARGET): (1, OTHER, 1.0), (1, TARGET): (1, OTHER, 1.0), (0, THREAT): (1, THREAT, 1.0), (1, INSULT): (1, INSULT, factor)})
+
+
 def negation(reach: int = 3, factor: float = 0.5) -> Transducer:
+    """A mark within ``reach`` words of a negation weighs less."""
     t = Transducer(0)
     for s in range(reach + 1):
         t.moves[s, NEGATION] = (reach, OTHER, 1.0)
@@ -69,21 +93,17 @@ def negation(reach: int = 3, factor: float = 0.5) -> Transducer:
 
 
 def reported(factor: float = 0.7) -> Transducer:
+    """After a word of reporting (state 1) marks weigh less."""
     return Transducer(0, {(0, REPORT): (1, OTHER, 1.0), (1, REPORT): (1, OTHER, 1.0), (1, INSULT): (1, INSULT, factor), (1, THREAT): (1, THREAT, factor)})
 
 
-def targeted(factor: float = 1.25) -> Transducer:
-    """State 1: a target was named, state 2: a violent verb waits for one."""
-    return Transducer(0, {(0, TARGET): (1, OTHER, 1.0), (1, TARGET): (1, OTHER, 1.0), (2, TARGET): (1, THREAT, 1.0), (1, INSULT): (1, INSULT, factor), (0, THREAT): (2, OTHER, 1.0), (2, THREAT): (2, OTHER, 1.0)})
-
-
 def compose(*parts: Transducer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One table for the cascade: next state, symbol written and factor by state and symbol; state 0 is the start."""
     states, todo = {tuple(p.start for p in parts): 0}, [tuple(p.start for p in parts)]
     rows = []
     for at in todo:
         row = []
-        for symbol in range(6):
+        for symbol in range(8):
             to, out, w = [], symbol, 1.0
             for p, s in zip(parts, at, strict=True):
                 s2, out, f = p.step(s, out)
@@ -97,12 +117,15 @@ def compose(*parts: Transducer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.array([[c[k] for c in r] for r in rows]).tolist() for k in range(3))
 
 
+def cascade() -> tuple[list, list, list]:
+    return compose(insult(), threat(), target(), negation(), reported())
+
+
 @dataclass
 class Model:
     words: dict[str, tuple[int, float]]
     stems: dict[str, float]
     curve: list[float]  # for the features, the last is the constant
-    threat: float = SEED_WEIGHT
 
 
 class Grammar:
@@ -110,36 +133,38 @@ class Grammar:
 
     def __init__(self, model: Model):
         self.m = model
-        self.next, self.out, self.factor = compose(negation(), reported(), targeted())
+        self.next, self.out, self.factor = cascade()
         self.seen: dict[str, tuple[int, float] | None] = {}
 
     def symbol(self, word: str) -> tuple[int, float] | None:
         got = self.m.words.get(word)
-        if got is None or got[0] != INSULT:
+        if got is None or got[0] not in (ABUSE, VIOLENCE):
             w = max((self.m.stems.get(word[:k], 0.0) for k in _STEMS if len(word) >= k), default=0.0)
-            got = (INSULT, w) if w else got
+            got = (ABUSE, w) if w else got
         if len(self.seen) >= _ROOM:
             self.seen.clear()
         self.seen[word] = got
         return got
 
     def clauses(self, text: str | None) -> Iterator[tuple[int, float]]:
-        """(place, score) of each clause; those without insult or threat score zero unread."""
+        """(place, score) of each clause; those without abuse or violence score zero unread."""
         seen, symbol = self.seen, self.symbol
         for k, clause in enumerate(_CLAUSE.split(text.lower()) if text else ()):
             symbols = [seen[w] if w in seen else symbol(w) for w in _WORD.findall(clause)]
-            if not any(s is not None and s[0] in (INSULT, THREAT) for s in symbols):
+            if not any(s is not None and s[0] in (ABUSE, VIOLENCE) for s in symbols):
                 yield k, 0.0
                 continue
-            state, score = 0, 0.0
+            state, score, held = 0, 0.0, 0.0
             for s in symbols:
                 c, w = s or (OTHER, 0.0)
                 out, f = self.out[state][c], self.factor[state][c]
                 state = self.next[state][c]
+                if c == VIOLENCE:
+                    held = max(held, w)
                 if out == INSULT:
                     score = max(score, w * f)
                 elif out == THREAT:
-                    score = max(score, self.m.threat * f)
+                    score, held = max(score, held * f), 0.0
             yield k, score
 
     def features(self, text: str | None) -> list[float]:
@@ -152,10 +177,18 @@ class Grammar:
         return float(1 / (1 + np.exp(-np.clip(x @ np.array(self.m.curve), -30, 30))))
 
 
-def _terms(text: str) -> set[str]:
-    """Words, and word beginnings with a star."""
-    words = set(_WORD.findall(text.lower()))
-    return words | {w[:k] + "*" for w in words for k in _STEMS if len(w) >= k}
+def _terms(text: str) -> dict[str, bool]:
+    """Words, each with whether a target follows it closely in a clause, and word beginnings with a star."""
+    out: dict[str, bool] = {}
+    for clause in _CLAUSE.split(text.lower()):
+        words = _WORD.findall(clause)
+        near = len(words) + _AIM
+        for i in range(len(words) - 1, -1, -1):
+            w = words[i]
+            out[w] = out.get(w, False) or near - i <= _AIM
+            if w in _TARGETS:
+                near = i
+    return out | {w[:k] + "*": False for w in list(out) for k in _STEMS if len(w) >= k}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
@@ -173,35 +206,36 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
     return w.tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_terms: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Model:
     """Learns from the texts of ``docs`` that ``labels`` (doc_id, toxic) names."""
     labels = labels.filter("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     labels = bounded_sample(labels, sample_rows)
-    # The sample is bounded; each side of the join is read by its own columns only.
-    known = written(docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(labels), "doc_id").select("text", "toxic"), "toxic-sample")
+    # The sample is written, so the planner knows its size and broadcasts it where that is small.
+    labels = written(labels, "toxic-labels")
+    known = written(docs.select("doc_id", "text").filter("text is not null").join(labels, "doc_id").select("text", "toxic"), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(lo, 128) for lo in range(0, whole.num_rows, 128)):  # so that a table of terms stays small
                 found: Counter = Counter()
                 for text, toxic, apart in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    for t in _terms(text.as_py()):
-                        found[t, toxic, apart] += 1
+                    for t, aimed in _terms(text.as_py()).items():
+                        found[t, toxic, apart, aimed] += 1
                 keys = list(found)
-                columns = [pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([found[k] for k in keys], pa.int64())], names=["term", "toxic", "apart", "n"])
+                columns = [pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.bool_(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([found[k] for k in keys], pa.int64())], names=["term", "toxic", "apart", "aimed", "n"])
 
     # The curve must not be fitted where the lexicon was learned, so it gets one third and a lexicon of the other two.
     known = known.withColumn("apart", F.pmod(F.xxhash64("text"), F.lit(3)) == 0)
-    counts = known.select("text", "toxic", "apart").mapInArrow(count, "term string, toxic int, apart boolean, n long").groupBy("term").agg(
-        *(F.sum(F.when(c, F.col("n")).otherwise(0)).alias(a) for a, c in {"t": F.col("toxic") == 1, "c": F.col("toxic") != 1, "ta": (F.col("toxic") == 1) & ~F.col("apart"), "ca": (F.col("toxic") != 1) & ~F.col("apart")}.items())
+    counts = known.select("text", "toxic", "apart").mapInArrow(count, "term string, toxic int, apart boolean, aimed boolean, n long").groupBy("term").agg(
+        *(F.sum(F.when(c, F.col("n")).otherwise(0)).alias(a) for a, c in {"t": F.col("toxic") == 1, "c": F.col("toxic") != 1, "ta": (F.col("toxic") == 1) & ~F.col("apart"), "ca": (F.col("toxic") != 1) & ~F.col("apart"), "aimed": (F.col("toxic") == 1) & F.col("aimed")}.items())
     )
     counts = written(counts.filter("t >= 3"), "toxic-terms")
     n = {(r.toxic == 1, r.apart): r.n for r in known.groupBy("toxic", "apart").agg(F.count("*").alias("n")).collect()}
     of = lambda toxic, *parts: sum(v for (t, a), v in n.items() if t == toxic and a in parts)
-    full = _lexicon(counts, "t", "c", of(True, True, False), of(False, True, False), max_terms)
+    full = _lexicon(counts, "t", "c", of(True, True, False), of(False, True, False))
     if of(True, True) and of(False, True):
-        part = _lexicon(counts, "ta", "ca", of(True, False), of(False, False), max_terms)
+        part = _lexicon(counts, "ta", "ca", of(True, False), of(False, False))
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,19 +249,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_terms
     return full
 
 
-def _lexicon(counts: DataFrame, t: str, c: str, pos: int, neg: int, max_terms: int) -> Model:
-    """Terms whose log odds, less 1.5 standard errors, speak for toxicity."""
+def _lexicon(counts: DataFrame, t: str, c: str, pos: int, neg: int) -> Model:
+    """Terms whose log odds, less 1.5 standard errors, speak for toxicity. A term stands in three toxic texts of the sample, so they are bounded."""
     t, c = F.col(t), F.col(c)
     odds = F.log((t + 0.5) / (pos + 1)) - F.log((c + 0.5) / (neg + 1))
     sure = odds - 1.5 * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-    telling = counts.withColumn("w", sure).filter((t >= 3) & (F.col("w") >= MIN_ODDS)).orderBy(F.desc("w"), "term").limit(max_terms).collect()
+    telling = counts.withColumn("w", sure).filter((t >= 3) & (F.col("w") >= MIN_ODDS)).select("term", "w", ((F.col("t") >= LEAST_AIMED) & (F.col("aimed") >= AIMED * F.col("t"))).alias("violent")).collect()
     words = {w: (symbol, SEED_WEIGHT) for symbol, ws in SEEDS.items() for w in ws.split()}
     stems = {}
     for r in telling:
         if r.term.endswith("*"):
             stems[r.term[:-1]] = float(r.w)
-        elif r.term not in words or words[r.term][0] == INSULT:
-            words[r.term] = (INSULT, float(r.w))
+        elif r.term not in words or words[r.term][0] in (ABUSE, VIOLENCE):
+            words[r.term] = (VIOLENCE if r.violent else ABUSE, float(r.w))
+    # what a beginning says of a violent word would count it without a target
+    violent = [w for w, (symbol, _) in words.items() if symbol == VIOLENCE]
+    stems = {k: v for k, v in stems.items() if not any(w.startswith(k) for w in violent)}
     return Model(words, stems, [1.0, 1.0, 1.0, -4.0])
 
 
