@@ -2,8 +2,9 @@
 
 A word that the model knows adds its log frequency in each language; an unknown word adds the mean over its character
 n-grams, of the longest order of which the model knows any, down to single letters. The model is fitted on a
-bounded sample (``sample_rows`` documents in expectation, drawn by a hash of the id) and holds at most ``max_words`` words and
-``max_grams`` n-grams, so what goes to the driver and to every task has a fixed bound. Scoring reads whole texts.
+bounded sample (``sample_rows`` documents in expectation), which bounds what goes to the driver and to every task: it holds every
+word and n-gram that the sample has twice, up to ``max_words`` and ``max_grams`` of them, and every label that ``min_docs`` documents of it have.
+Scoring reads whole texts.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter, and for all texts where nothing could be
 learned; ties go to the language that sorts first; a null id counts as the empty text in the split, which holds it out;
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,10 +63,16 @@ class Model:
     rows: np.ndarray  # log probabilities, a column for each language
 
 
-def fit(docs: DataFrame, sample_rows: int = 20_000, max_words: int = 60_000, max_grams: int = 120_000) -> Model:
+def fit(docs: DataFrame, sample_rows: int = 20_000, max_words: int = 200_000, max_grams: int = 200_000, min_docs: int = 2) -> Model:
     """Learns from text and lang of ``docs``, of which it takes the rows with both."""
     known = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
-    known = bounded_sample(known, sample_rows, docs.filter("lang is not null").count())
+    known = written(bounded_sample(known, sample_rows, docs.filter("lang is not null").count()), "lang-sample")
+    langs = sorted(r.lang for r in known.groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("lang").collect())
+    at = {lang: i for i, lang in enumerate(langs)}
+    if len(langs):
+        known = known.join(known.sparkSession.createDataFrame([(lang,) for lang in langs], "lang string"), "lang")
+    else:
+        known = known.limit(0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -92,15 +100,13 @@ def fit(docs: DataFrame, sample_rows: int = 20_000, max_words: int = 60_000, max
     grams = written(grams.groupBy("o", "word", "lang").agg(F.sum("n").alias("n")), "lang-grams")
 
     words = words.withColumn("o", F.lit(0))
-    langs = sorted(r.lang for r in words.select("lang").distinct().collect())
-    at = {lang: i for i, lang in enumerate(langs)}
     totals = np.zeros((max(ORDERS) + 1, max(1, len(langs))))
     for r in words.unionByName(grams).groupBy("o", "lang").agg(F.sum("n").alias("n")).collect():
         totals[r.o, at[r.lang]] = r.n
+
     def most(df: DataFrame, limit: int) -> pa.Table:
-        """Of the most frequent entries, a count for each language; as columns, which the driver holds in little memory."""
-        counts = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
-        by = df.groupBy("o", "word").agg(F.sum("n").alias("total"), *counts)
+        """The most frequent entries, each with its counts by language; as columns, which the driver holds in little memory."""
+        by = df.groupBy("o", "word").agg(F.sum("n").alias("total"), F.collect_list("lang").alias("langs"), F.collect_list("n").alias("ns"))
         return by.filter("total >= 2").orderBy(F.desc("total"), "o", "word").limit(limit).drop("total").toArrow()
 
     model = Model(langs, {}, [{} for _ in ORDERS], np.zeros((0, len(langs))))
@@ -110,7 +116,10 @@ def fit(docs: DataFrame, sample_rows: int = 20_000, max_words: int = 60_000, max
         order = got.column("o").to_numpy()
         for i, (o, word) in enumerate(zip(order.tolist(), got.column("word").to_pylist(), strict=True)):
             (model.words if o == 0 else model.grams[ORDERS.index(o)])[word] = base + i
-        n = np.column_stack([got.column(f"n{i}").to_numpy() for i in range(len(langs))]) if got.num_rows else np.zeros((0, len(langs)))
+        n = np.zeros((got.num_rows, len(langs)))
+        each = got.column("langs").combine_chunks()
+        of = np.repeat(np.arange(got.num_rows), pa.compute.list_value_length(each).to_numpy(zero_copy_only=False))
+        n[of, [at[lang] for lang in each.flatten().to_pylist()]] = got.column("ns").combine_chunks().flatten().to_numpy()
         rows.append(np.log((n + _SMOOTH) / (totals[order] + 1)))
     if rows:
         model.rows = np.concatenate(rows)
