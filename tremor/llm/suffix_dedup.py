@@ -266,7 +266,7 @@ _SAMPLE = "key long, ctx long, data binary, wide boolean, unit byte, owner long"
 
 
 def _samples(docs: DataFrame, hits: DataFrame, most: int) -> DataFrame:
-    """For contexts of anchors that have several: the text of one place of each."""
+    """For contexts of anchors that have several: the text of one place of each, as often as its document is repeated."""
     units = {u.number: u for u in UNITS}
     several = hits.filter("c > 1").groupBy("key", "ctx").agg(*(F.first(c).alias(c) for c in ("doc_id", "h", "place", "n", "c")))
     # A context seen in one document belongs to that document, one seen in several to none.
@@ -290,7 +290,7 @@ def _samples(docs: DataFrame, hits: DataFrame, most: int) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int8(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[c.split()[0] for c in _SAMPLE.split(", ")])
 
-    return texts.mapInArrow(cut, _SAMPLE).dropDuplicates(["key", "ctx"])
+    return texts.mapInArrow(cut, _SAMPLE)
 
 
 def _partly(samples: DataFrame) -> DataFrame:
@@ -306,8 +306,10 @@ def _partly(samples: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], t) for i, t in enumerate((pa.int64(), pa.int64(), _RUNS))], names=["key", "ctx", "runs"])
 
         held, size = [], 0
-        for b in batches:  # sorted by key
+        for b in batches:  # sorted by key and context
             for row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                if held and held[-1][:2] == row[:2]:
+                    continue
                 if size > 4 << 20 and held[-1][0] != row[0]:
                     yield from done(held)
                     held, size = [], 0
@@ -316,7 +318,7 @@ def _partly(samples: DataFrame) -> DataFrame:
         if held:
             yield from done(held)
 
-    met = samples.filter("not wide").select("key", "ctx", "data", "unit", "owner").repartition("key").sortWithinPartitions("key").mapInArrow(meet, _FOUND)
+    met = samples.filter("not wide").select("key", "ctx", "data", "unit", "owner").repartition("key").sortWithinPartitions("key", "ctx").mapInArrow(meet, _FOUND)
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -330,7 +332,7 @@ def _partly(samples: DataFrame) -> DataFrame:
     twice = strings.groupBy("key", "s").agg(F.min("o").alias("o1"), F.max("o").alias("o2")).filter("o1 <> o2").select("key", "s")
     twice = twice.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     alone = strings.withColumn("g", F.pmod("ctx", F.lit(SALTS)).cast("int")).join(twice, ["key", "s", "g"], "left_semi").groupBy("key", "ctx")
-    runs = alone.agg(F.transform(F.collect_list("i"), lambda i: F.struct(i.alias("lo"), (i + 1).alias("hi"))).alias("runs"))
+    runs = alone.agg(F.transform(F.collect_set("i"), lambda i: F.struct(i.alias("lo"), (i + 1).alias("hi"))).alias("runs"))
     return met.unionByName(runs)
 
 
@@ -350,18 +352,22 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
 
 
-def repeats_in(docs: DataFrame, rows: DataFrame, family: SuffixFamily, most: int = MOST) -> DataFrame:
-    """doc_id, h, and the runs of repeated string starts, in bytes and in words, of the documents that ``rows`` are of.
+def repeats_in(docs: DataFrame, rows: DataFrame, family: SuffixFamily, most: int = MOST, last: bool = False) -> DataFrame:
+    """doc_id, h, and the runs of repeated string starts, in bytes and in words, of the documents that ``rows`` (a written table) are of.
 
     ``docs`` are all documents that the family was told of, of which ``rows`` are the suffixes, or of a part of them that has
-    every repeat in itself; the family keeps no texts.
+    every repeat in itself; the family keeps no texts. With ``last``, rows and family are deleted once they have been read.
     """
     spark = docs.sparkSession
     known = written(family.repeated(), "suffix-known")
+    if last:
+        family.forget()
     release(spark)
     # The copies of one context meet here; Spark's skew handling splits them, as the other side is a row.
     hits = written(rows.join(known.hint("merge"), ["key", "ctx"]).filter("n > 1 or c > 1"), "suffix-hits")
     forget(known)
+    if last:
+        forget(rows)
     release(spark)
     samples = written(_samples(docs, hits, most), "suffix-samples")
     release(spark)
@@ -417,9 +423,7 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, most: int = MOST, k
     family = SuffixFamily(docs.sparkSession)
     for k in range(batches):
         family.add(rows.filter(F.pmod("h", F.lit(batches)) == k))
-    found = repeats_in(docs, rows, family, most)
-    forget(rows)
-    family.forget()
+    found = repeats_in(docs, rows, family, most, last=True)
     return removed(docs, found, keep_bytes)
 
 
