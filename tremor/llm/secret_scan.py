@@ -64,26 +64,41 @@ _SPANS = f"array<{_SPAN}>"
 _BLOCK = 512
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def running(values: Column, zero: int, plus: Callable[[Column, Column], Column]) -> Column:
     """What ``plus``, an associative function, makes of the elements before each one; block by block, so the cost is not quadratic."""
     start = F.struct(F.lit(zero).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
     step = lambda a, x: F.struct(plus(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
-    many = F.ceil(F.size(values) / F.lit(_BLOCK)).cast("int")
-    numbers = F.when(many > 0, F.sequence(F.lit(0), many - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    blocks = F.transform(numbers, lambda b: F.slice(values, b * _BLOCK + 1, _BLOCK))
-    totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(zero).cast("long"), plus))
-    placed = F.arrays_zip(blocks.alias("x"), F.aggregate(totals, start, step)["out"].alias("at"))
-    return F.flatten(F.transform(placed, lambda p: F.transform(F.aggregate(p["x"], start, step)["out"], lambda v: plus(p["at"], v))))
+
+    def in_blocks(v: Column) -> Column:
+        many = F.ceil(F.size(v) / F.lit(_BLOCK)).cast("int")
+        numbers = F.when(many > 0, F.sequence(F.lit(0), many - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.transform(numbers, lambda b: F.slice(v, b * _BLOCK + 1, _BLOCK))
+
+    def placed(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(zero).cast("long"), plus))
+        before = F.arrays_zip(blocks.alias("x"), F.aggregate(totals, start, step)["out"].alias("at"))
+        return F.flatten(F.transform(before, lambda p: F.transform(F.aggregate(p["x"], start, step)["out"], lambda v: plus(p["at"], v))))
+
+    return let(let(values, in_blocks), placed)
 
 
 def matches(text: Column, pattern: str, kind: int) -> Column:
     """Spans (start, kind, end, text) of all matches."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     long = lambda x: F.length(x).cast("long")
-    parts = F.transform(F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g")), lambda x: F.struct(long(x["g"]).alias("g"), long(x["m"]).alias("n"), x["m"].alias("m")))
-    before = running(F.transform(parts, lambda x: x["g"] + x["n"]), 0, lambda a, x: a + x)
-    spans = F.zip_with(parts, before, lambda x, at: F.struct((at + x["g"]).alias("s"), F.lit(kind).alias("k"), (at + x["g"] + x["n"]).alias("e"), x["m"].alias("m")))
-    return F.when(text.rlike(pattern), spans).otherwise(F.expr(f"cast(array() as {_SPANS})"))
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    # one gap more than matches: zipping leaves it without a match
+    parts = F.filter(F.zip_with(found, gaps, lambda m, g: F.struct(long(g).alias("g"), long(m).alias("n"), m.alias("m"))), lambda x: x["m"].isNotNull())
+
+    def spans(parts: Column) -> Column:
+        before = running(F.transform(parts, lambda x: x["g"] + x["n"]), 0, lambda a, x: a + x)
+        return F.zip_with(parts, before, lambda x, at: F.struct((at + x["g"]).alias("s"), F.lit(kind).alias("k"), (at + x["g"] + x["n"]).alias("e"), x["m"].alias("m")))
+
+    return F.when(text.rlike(pattern), let(parts, spans)).otherwise(F.expr(f"cast(array() as {_SPANS})"))
 
 
 def _entropy(candidate: Column, c: CharClass) -> Column:
@@ -94,7 +109,8 @@ def _entropy(candidate: Column, c: CharClass) -> Column:
     n_of = {i: 0.0 if i < 2 else i * math.log2(i) for i in range(c.width + 2)}
     table_ = F.array(*(F.lit(v) for v in n_of.values()))
     codes = F.transform(F.split(candidate, ""), lambda x: F.instr(F.lit(c.alphabet), x))  # from 1
-    steps = F.arrays_zip(codes.alias("came"), F.slice(F.concat(F.array_repeat(F.lit(0), c.width), codes), F.lit(1), F.size(codes)).alias("went"))
+    lagged = lambda x: F.arrays_zip(x.alias("came"), F.slice(F.concat(F.array_repeat(F.lit(0), c.width), x), F.lit(1), F.size(x)).alias("went"))
+    steps = let(codes, lagged)
 
     def step(a: Column, x: Column) -> Column:
         came, went, seen = x["came"], x["went"], a["i"] + 1
