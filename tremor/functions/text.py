@@ -6,8 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Where a name in mixed case is cut, in this order.
+CUTS = (r"(.)([A-Z][a-z]+)", r"([a-z0-9])([A-Z])")
+
+
 def snake_case(c: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(c, r"(.)([A-Z][a-z]+)", "$1_$2"), r"([a-z0-9])([A-Z])", "$1_$2"))
+    for cut in CUTS:
+        c = F.regexp_replace(c, cut, "$1_$2")
+    return F.lower(c)
 
 
 def title_case(c: Column) -> Column:

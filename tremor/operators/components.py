@@ -1,16 +1,19 @@
 """Connected components of an edge list, by alternating large and small stars.
 
-Each round is two joins of the edges with per-node minima, so no task ever holds the neighbours of a node, and a hub only
-meets its own minimum. Rounds are logarithmic in the size of a component. Every round is a written table in
-the shared folder: lineage is cut, and a lost executor costs one stage.
+Each round is two joins of the edges with per-node minima, so no task ever holds the neighbours of a node; a hub meets its
+own minimum in ``SALTS`` tasks. Rounds are logarithmic in the size of a component. Every round is a written table in
+the shared folder: lineage is cut, and a lost executor costs one stage. What a round has changed is observed while it is
+written, and the round before is deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tremor.sources.shared import written
+from tremor.sources.shared import delete, written
+
+SALTS = 8
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,7 +22,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if not large:
         both = both.filter("v < u")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    met = both.join(least, "u")
+    spread = least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = both.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(spread, ["u", "s"])
     if large:
         out = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -27,7 +31,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def _round(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` as a table, with its count and checksum."""
+    seen = Observation()
+    table = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "components")
+    return table, (seen.get["n"], seen.get["sum"])
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v: of one orderable type); component is the least node reachable.
 
     Self-loops make their node known. Null ends are ignored; an empty list gives no rows.
@@ -35,14 +46,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     edges = edges.select("u", "v").filter("u is not null and v is not null")
     nodes = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
     kind = edges.schema["u"].dataType
-    stars = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
+    stars, now = _round(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(max_rounds):
-        seen = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == before or seen[0] == 0:
-            break
-        before, stars = seen, written(_star(_star(stars, True), False), "components")
-    else:
-        raise RuntimeError("components did not settle")
+    while now != before and now[0]:
+        old, before = stars, now
+        stars, now = _round(_star(_star(stars, True), False))
+        for path in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
+            delete(edges.sparkSession, path)
     found = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").cast(kind).alias("component"))
