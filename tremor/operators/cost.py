@@ -6,12 +6,16 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremor.functions.text import approx_tokens, cache_key
 
 
+#: Ranges of time that are counted at once to find what to evict.
+_BUCKETS = 1024
+
+
 @dataclass(frozen=True)
 class Prices:
     embedding_per_million: float = 0.02
@@ -84,17 +88,28 @@ def cached_embed(docs: DataFrame, cache: DataFrame, embed: Callable[[list[str]],
 
 
 def evict(cache: DataFrame, most: int) -> DataFrame:
-    """The ``most`` entries used last; equal times go by key. A threshold by rank, found without sending rows to one task.
+    """The ``most`` entries used last; equal times go by key.
 
-    Times are counted first (a small table); only the entries of the time at the border need an order.
+    The border is found by counting: ``_BUCKETS`` ranges of time a pass, then ranges within the range of the border, so no task orders the
+    whole cache. Only entries of the time at the border need an order, and a top-k gives it.
     """
-    by_time = cache.groupBy("last_used").agg(F.count("*").alias("n"))
-    after = by_time.withColumn("newer", F.sum("n").over(Window.orderBy(F.desc("last_used"))) - F.col("n"))
-    marked = cache.join(after, "last_used")
-    whole = marked.filter(F.col("newer") + F.col("n") <= most)
-    edge = marked.filter((F.col("newer") < most) & (F.col("newer") + F.col("n") > most))
-    edge = edge.withColumn("rn", F.row_number().over(Window.partitionBy("last_used").orderBy("key"))).filter(F.col("newer") + F.col("rn") <= most)
-    return whole.select(*cache.columns).unionByName(edge.select(*cache.columns))
+    if most <= 0:
+        return cache.limit(0)
+    ends = cache.agg(F.min("last_used"), F.max("last_used"), F.count("*")).first()
+    if ends[2] <= most:
+        return cache
+    lo, hi, room = ends[0], ends[1], most
+    while lo < hi:
+        width = -(-(hi - lo + 1) // _BUCKETS)
+        inside = cache.filter((F.col("last_used") >= lo) & (F.col("last_used") <= hi))
+        counts = dict(inside.groupBy(F.floor((F.col("last_used") - lo) / width).alias("b")).agg(F.count("*").alias("n")).collect())
+        at = max(counts)
+        while counts.get(at, 0) <= room:
+            room -= counts.get(at, 0)
+            at -= 1
+        lo, hi = lo + at * width, min(hi, lo + (at + 1) * width - 1)
+    edge = cache.filter(F.col("last_used") == lo).orderBy("key").limit(room)
+    return cache.filter(F.col("last_used") > lo).unionByName(edge)
 
 
 def cache_stats(docs: DataFrame, cache: DataFrame, model: str, text: str = "text") -> DataFrame:

@@ -4,17 +4,27 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.operators import graph, traverse
 from tremor.operators.graph import GraphTables
+from tremor.sources.shared import write_text
 
 
-def problems(g: GraphTables) -> list[str]:
-    """What forbids a compile: no components, no edges; and components that are named like their id."""
-    out = [] if not g.components.isEmpty() else ["no components"]
-    out += [] if not g.edges.isEmpty() else ["no edges"]
-    return out + [f"{r.id}: name equals id" for r in g.components.filter("name = id").orderBy("id").collect()]
+def problem_rows(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row (problem) for each thing that forbids a compile: no components, no edges, and components that are named like their id."""
+    spark = components.sparkSession
+    none = lambda df, what: spark.range(1).select(F.lit(what).alias("problem")).join(df.limit(1).select(F.lit(True).alias("_x")), F.lit(True), "left_anti")
+    same = components.filter("name is null or name = '' or name = id").select(F.concat("id", F.lit(": name equals id")).alias("problem"))
+    return none(components, "no components").unionByName(none(edges, "no edges")).unionByName(same)
+
+
+def problems(g: GraphTables, most: int = 100) -> list[str]:
+    """The first of them, for a report."""
+    found = problem_rows(g.components, g.edges)
+    rank = F.when(F.col("problem") == "no components", 0).when(F.col("problem") == "no edges", 1).otherwise(2)
+    return [r[0] for r in found.orderBy(rank, "problem").limit(most).collect()]
 
 
 @dataclass(frozen=True)
@@ -80,3 +90,7 @@ def to_pytest(cases: list[Case]) -> str:
     head = '"""Generated."""\n\nimport pytest\n\nfrom tremor.plans.validation import observe\n\n'
     rows = ",\n".join(f"    ({c.category!r}, {c.name!r}, {c.kind!r}, {c.arg!r}, {c.expected!r})" for c in cases)
     return f"{head}CASES = [\n{rows},\n]\n\n\n@pytest.mark.parametrize(\"category,name,kind,arg,expected\", CASES)\ndef test_graph(graph, category, name, kind, arg, expected):\n    assert observe(graph, kind, arg) == expected\n"
+
+
+def write_pytest(spark: SparkSession, cases: list[Case], path: str) -> str:
+    return write_text(spark, path, to_pytest(cases))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremor.operators.graph import COMPONENT_SCHEMA, VARIANT_SCHEMA
+from tremor.sources.shared import qualified
 
 
 def _component(d: dict) -> dict:
@@ -60,12 +61,13 @@ def read_definitions(spark: SparkSession, folder: str, kind: str, tolerant: bool
 def write_definitions(df: DataFrame, folder: str) -> None:
     """One YAML file a row, named by id, keys in a fixed order, written by the executors."""
     keys = [c for c in df.columns if c != "load_ord"]
+    uri = qualified(df.sparkSession, folder)
 
     def write(rows) -> None:
         import pyarrow.fs as pafs
         import yaml
 
-        fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        fs, root = pafs.FileSystem.from_uri(uri)
         fs.create_dir(root, recursive=True)
         for r in rows:
             d = r.asDict(recursive=True)
@@ -79,21 +81,19 @@ def write_definitions(df: DataFrame, folder: str) -> None:
     df.foreachPartition(write)
 
 
-def backup(spark: SparkSession, folder: str, to: str) -> str:
-    """Copies a folder of definitions beside others, by the file system of Spark; returns the new folder."""
-    stamp = datetime.now(UTC).strftime("%Y%m%dT%H%M%S%fZ")
+def copy_folder(spark: SparkSession, folder: str, to: str) -> str:
+    """Copies a folder by the file system of Spark; returns the new one."""
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    src, dst = hadoop.Path(folder), hadoop.Path(f"{to}/backup_{stamp}")
-    hadoop.FileUtil.copy(src.getFileSystem(conf), src, dst.getFileSystem(conf), dst, False, conf)
+    src, dst = hadoop.Path(folder), hadoop.Path(to)
+    fs = dst.getFileSystem(conf)
+    fs.mkdirs(dst.getParent())
+    hadoop.FileUtil.copy(src.getFileSystem(conf), src, fs, dst, False, conf)
     return dst.toString()
 
 
-def manifest(summary: DataFrame, version: str, quality: dict | None = None) -> DataFrame:
-    """One JSON value: version, graph summary, time and, on demand, quality."""
-    parts = [F.lit(version).alias("version"), F.struct(*summary.columns).alias("graph"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("compiled_at")]
-    if quality is not None:
-        parts.append(F.struct(*(F.lit(v).alias(k) for k, v in quality.items())).alias("quality"))
-    return summary.select(F.to_json(F.struct(*parts)).alias("value"))
+def backup(spark: SparkSession, folder: str, to: str) -> str:
+    """A copy of a folder of definitions beside others, named by the time; returns the new folder."""
+    return copy_folder(spark, folder, f"{to}/backup_{datetime.now(UTC).strftime('%Y%m%dT%H%M%S%fZ')}")
 
 
 def snapshot(components: DataFrame, variants: DataFrame, summary: DataFrame, folder: str) -> None:
@@ -103,7 +103,7 @@ def snapshot(components: DataFrame, variants: DataFrame, summary: DataFrame, fol
 
 
 def recompiled_config(config: dict, summary: dict, now: str) -> dict:
-    """Stamps the counts; larger graphs are searched deeper."""
+    """Stamps the counts; larger graphs are searched less deep."""
     out = {k: dict(v) if isinstance(v, dict) else v for k, v in config.items()}
     out["recompilation"] = {"timestamp": now, **{k: summary[k] for k in ("component_count", "module_count", "edge_count", "variant_count", "shared_module_count")}}
     n = summary["component_count"]
