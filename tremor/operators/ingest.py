@@ -43,12 +43,13 @@ def class_components(parsed: DataFrame, min_methods: int, private: bool, confide
 def boundary_components(bounds: DataFrame, parsed: DataFrame) -> DataFrame:
     lead = parsed.filter("docstring <> ''").select("docstring", "ord", F.explode(_above(F.col("path"))).alias("root_dir"))
     lead = lead.groupBy("root_dir").agg(F.min_by("docstring", "ord").alias("doc"))
-    b = bounds.join(lead, "root_dir", "left")
+    # the place of a boundary is its folder in path order; boundaries of one tree are few
+    b = bounds.join(lead, "root_dir", "left").withColumn("place", F.row_number().over(Window.orderBy("root_dir")))
     ident = snake_case(slug(F.col("name")))
     return b.select(
         ident.alias("id"), title_case(ident).alias("name"), F.coalesce(_doc_line(F.col("doc")), F.concat(F.lit("Service: "), "name")).alias("description"),
         F.when(F.col("root_dir") == "", ".").otherwise(F.col("root_dir")).alias("source_file"), F.lit("python").alias("language"), F.lit(CONFIDENCE["boundary"]).alias("confidence"),
-        F.expr(_EMPTY).alias("classes"), F.expr(_EMPTY).alias("api_surface"), F.lit(0).alias("phase"), F.struct(F.lit(0).alias("ord"), F.hash("root_dir").alias("pos")).alias("ord"),
+        F.expr(_EMPTY).alias("classes"), F.expr(_EMPTY).alias("api_surface"), F.lit(0).alias("phase"), F.struct(F.col("place").alias("ord"), F.lit(0).alias("pos")).alias("ord"),
     )
 
 
@@ -146,7 +147,7 @@ def merge_manifests(components: DataFrame, manifests: DataFrame) -> tuple[DataFr
     fresh = manifests.join(taken, "id", "left_anti")
     fresh = fresh.groupBy("id").agg(F.min_by(F.struct(*(c for c in fresh.columns if c != "id")), "path").alias("r")).select("id", "r.*")
     warnings = manifests.join(taken, "id", "left_semi").select(F.format_string("manifest %s: component id '%s' is taken", "path", "id").alias("warning"))
-    rows = fresh.select("id", "name", "description", F.col("path").alias("source_file"), "language", "confidence", "api_surface", "modules")
+    rows = fresh.select("id", "name", "description", F.col("path").alias("source_file"), "language", "confidence", "api_surface", "modules", "team_owner")
     return components.select(*rows.columns).unionByName(rows), warnings
 
 
@@ -199,7 +200,7 @@ def combine(defined: DataFrame, detected: DataFrame) -> DataFrame:
     fresh = detected.join(defined.select("id"), "id", "left_anti")
     last = defined.agg(F.coalesce(F.max("load_ord"), F.lit(0)).alias("last"))
     fresh = fresh.crossJoin(last).withColumn("load_ord", (F.col("last") + F.row_number().over(Window.orderBy("id"))).cast("int")).drop("last")
-    return defined.unionByName(fresh.select("id", "name", "description", F.lit("").alias("team_owner"), F.lit("medium").alias("criticality"), "modules", "api_surface", "load_ord"))
+    return defined.unionByName(fresh.select("id", "name", "description", F.coalesce("team_owner", F.lit("")).alias("team_owner"), F.lit("medium").alias("criticality"), "modules", "api_surface", "load_ord"))
 
 
 def warnings(components: DataFrame, users: DataFrame) -> DataFrame:
@@ -212,4 +213,5 @@ def warnings(components: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def summary(components: DataFrame) -> DataFrame:
+    """Per language: components, mean confidence and module uses."""
     return components.groupBy("language").agg(F.count("*").alias("n_components"), F.avg("confidence").alias("avg_confidence"), F.sum(F.size("modules")).alias("n_modules"))

@@ -1,7 +1,7 @@
 """Exact vector retrieval: top-k by cosine, filters before and after it, grouping by entity, batches of queries.
 
 A single query is a projection and a top-k that each task cuts to k before anything moves. A batch of queries is held against all
-rows in blocks: queries are few by contract (a request), their size is checked, and each task keeps k rows a query.
+rows in blocks of a checked size, and each task keeps k rows a query.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 MAX_QUERY_FLOATS = 16_000_000
 
@@ -46,17 +47,18 @@ def after_threshold(near: DataFrame, threshold: float, entity: str = "component_
     return out.filter(~F.coalesce(F.col(entity).isin(*exclude), F.lit(False))) if exclude else out
 
 
-def by_entity(near: DataFrame, entity: str = "component_id", id_col: str = "vec_id", extra: tuple = ()) -> DataFrame:
-    """Per entity: best_score, match_count, avg_score, documents best first, and ``extra`` columns of the best one."""
+def by_entity(near: DataFrame, entity: str = "component_id", id_col: str = "vec_id", extra: tuple = (), per: tuple = ()) -> DataFrame:
+    """Per entity: best_score, match_count, avg_score, documents best first, and ``extra`` columns of the best one; ``per``: of each query."""
     order = F.struct(F.col("distance"), F.col(id_col))
+    text = F.col("text") if "text" in near.columns else F.lit(None).cast("string")
     return (
         near.filter(F.col(entity).isNotNull() & (F.col(entity).cast("string") != ""))
-        .groupBy(entity)
+        .groupBy(*per, entity)
         .agg(
             F.max("similarity").alias("best_score"),
             F.count("*").alias("match_count"),
             F.coalesce(F.avg("similarity"), F.lit(0.0)).alias("avg_score"),
-            F.sort_array(F.collect_list(F.struct(F.col("distance"), F.col(id_col).alias("id")))).alias("docs"),
+            F.sort_array(F.collect_list(F.struct(F.col("distance"), F.col(id_col).alias("id"), text.alias("text")))).alias("docs"),
             *(F.min_by(c, order).alias(c) for c in extra),
         )
     )
@@ -66,19 +68,31 @@ def rerank(groups: DataFrame, k: int, *ties: str) -> DataFrame:
     return groups.orderBy(F.desc("best_score"), *ties).limit(k)
 
 
-def batch_knn(store: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", query_col: str = "query_id", exclude_same: str | None = None) -> DataFrame:
+def batch_knn(store: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", query_col: str = "query_id", block_floats: int = MAX_QUERY_FLOATS) -> DataFrame:
     """query_id, vec_id, distance, rank for the k nearest rows of each query; equal distances go by id.
 
-    ``queries``: query_id, embedding. Their size is checked; each task holds a block of rows against all of them.
+    ``queries``: query_id, embedding; a null or zero vector has no distances. Each task holds a block of rows against a block of queries of
+    ``block_floats`` values at most; more queries take more blocks, and each block reads the store once.
     """
-    rows = queries.select(query_col, "embedding").orderBy(query_col)
-    n = queries.agg(F.sum(F.size("embedding"))).first()[0] or 0
-    if n > MAX_QUERY_FLOATS:
-        raise ValueError(f"{n} query values: split the request")
-    got = rows.collect()
-    ids = [r[0] for r in got]
-    q = np.array([r[1] for r in got], np.float64).reshape(len(got), -1) if got else np.zeros((0, 0))
-    shared = store.sparkSession.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if got else q))
+    asked = queries.select(F.col(query_col).cast("long").alias("query_id"), "embedding").filter("embedding is not null")
+    size = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    blocks = max(1, -(-(size[0] * (size[1] or 0)) // block_floats))
+    rows = store.select(F.col(id_col).alias("vec_id"), "embedding").filter("embedding is not null")
+    near = None
+    for block in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else asked
+        found = _block(rows, part.orderBy("query_id").collect(), k)
+        near = found if near is None else near.unionByName(found)
+    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _block(rows: DataFrame, queries: list, k: int) -> DataFrame:
+    """For each task and query, the k nearest rows of the task."""
+    kind = rows.schema["vec_id"].dataType
+    ids = to_arrow_type(kind)
+    q = np.array([r[1] for r in queries], np.float64).reshape(len(queries), -1)
+    shared = rows.sparkSession.sparkContext.broadcast(([r[0] for r in queries], q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qs, unit = shared.value
@@ -86,7 +100,7 @@ def batch_knn(store: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
         for b in batches:
             if not qs or not b.num_rows:
                 continue
-            own = np.array(b.column(0).to_pylist())
+            own = b.column(0).to_pylist()
             v = np.array(b.column(1).to_pylist(), np.float64)
             norm = np.linalg.norm(v, axis=1)
             d = 1 - (v / np.where(norm == 0, np.nan, norm)[:, None]) @ unit.T
@@ -94,13 +108,11 @@ def batch_knn(store: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
                 col = np.where(np.isnan(d[:, j]), np.inf, d[:, j])
                 cut = np.argpartition(col, min(k, len(col) - 1))[: k + 1] if len(col) > k else np.arange(len(col))
                 ties = np.flatnonzero(col <= col[cut].max()) if len(col) > k else cut
-                best[j] = sorted([*best[j], *((float(col[i]), int(own[i])) for i in ties)])[:k]
+                best[j] = sorted([*best[j], *((float(col[i]), own[i]) for i in ties)])[:k]
         out = [(qs[j], i, d) for j, rows in enumerate(best) for d, i in rows]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], names=["query_id", "vec_id", "distance"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], ids), pa.array([r[2] for r in out], pa.float64())], names=["query_id", "vec_id", "distance"])
 
-    near = store.select(F.col(id_col).cast("long").alias("vec_id"), "embedding").mapInArrow(run, "query_id long, vec_id long, distance double")
-    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return rows.mapInArrow(run, f"query_id long, vec_id {kind.simpleString()}, distance double")
 
 
 def best_per_component(matches: DataFrame, entity: str = "component_id", order: str = "query_ord") -> DataFrame:
@@ -137,11 +149,23 @@ def embed_documents(docs: DataFrame, embed: Callable[[list[str]], list[list[floa
     return docs.mapInArrow(run, docs.limit(0).withColumn("embedding", F.expr("cast(null as array<float>)")).schema)
 
 
-def upsert(store: DataFrame, rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows replace those of the store with their key; of equal new keys, any one stays."""
-    fresh = rows.dropDuplicates([key])
+def upsert(store: DataFrame, rows: DataFrame, key: str = "doc_id", order: str | None = None) -> DataFrame:
+    """Rows replace those of the store with their key. Of equal new keys the last by ``order`` stays; without one, the greatest row."""
+    rest = F.struct(*(c for c in rows.columns if c != key))
+    by = F.struct(order, rest) if order else rest
+    fresh = rows.groupBy(key).agg(F.max_by(rest, by).alias("_r")).select(key, "_r.*").select(*rows.columns)
     return store.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
 def by_metadata(store: DataFrame, column: str, value) -> DataFrame:
     return store.filter(F.col(column) == value).withColumn("distance", F.lit(0.0))
+
+
+def count(store: DataFrame) -> int:
+    return store.count()
+
+
+def search_modules(store: DataFrame, query: list[float] | str, k: int, embed: Callable[[list[str]], list[list[float]]] | None = None, id_col: str = "doc_id") -> DataFrame:
+    """The nearest documents about the use of a module, one row each: what is asked for are modules, so they are not grouped."""
+    vector = embed([query])[0] if isinstance(query, str) else query
+    return knn(store, vector, k, where={"doc_type": "module_usage"}, id_col=id_col)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremor.operators import gaps, graph, redact, retrieve, score, traverse
@@ -23,48 +24,81 @@ class Analysis:
     llm_used: bool
 
 
+#: What an explanation is asked with.
+EXPLAIN = {
+    "system": "You assess the risk of software changes. Use only the evidence given, name the paths you rely on, and say so where evidence is thin.",
+    "temperature": 0.2,
+    "max_tokens": 512,
+}
+_MATCHES = "component_id string, best_score double, criticality string"
+
+
 def semantic_matches(g: GraphTables, vectors: DataFrame, ids: list[str], embed: Callable, k: int = 10, threshold: float = 0.7, top: int = 5) -> DataFrame:
-    """Best match of every component over the descriptions of the changed ones; their own documents use up places."""
-    out = None
+    """Best match of every component over the descriptions of the changed ones; their own documents use up places.
+
+    One scan of the store for all of them: the queries are a batch.
+    """
+    spark = g.components.sparkSession
     told = {r.id: r.description for r in g.components.filter(F.col("id").isin(ids)).select("id", "description").collect()}
-    for i, c in enumerate(ids):
-        if c not in told:
-            continue
-        near = retrieve.knn(vectors, embed([told[c]])[0], k, id_col="doc_id")
-        kept = retrieve.after_threshold(near, threshold, exclude=(c,))
-        found = retrieve.rerank(retrieve.by_entity(kept, id_col="doc_id", extra=("component_name", "criticality")), top, "component_id").withColumn("query_ord", F.lit(i))
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return g.components.sparkSession.createDataFrame([], "component_id string, best_score double, criticality string")
-    return retrieve.best_per_component(out.filter(~F.col("component_id").isin(ids)))
-
-
-def analyze(g: GraphTables, ids: list[str], vectors: DataFrame | None = None, embed: Callable | None = None, ask: Callable[[str], str] | None = None, max_depth: int = 5, weak: bool = True, **retrieval) -> Analysis:
-    """Traversal, retrieval, merge, risk and, on demand, an explanation for each affected variant; a failing ``ask`` only costs that."""
+    asked = [(i, c) for i, c in enumerate(ids) if c in told]
+    if not asked:
+        return spark.createDataFrame([], _MATCHES)
+    rows = [(i, c, [float(x) for x in v]) for (i, c), v in zip(asked, embed([told[c] for _, c in asked]), strict=True)]
+    queries = spark.createDataFrame(rows, "query_id long, query_component string, embedding array<double>")
+    near = retrieve.batch_knn(vectors, queries, k, id_col="doc_id").withColumnRenamed("vec_id", "doc_id")
+    near = near.join(vectors.drop("embedding"), "doc_id").join(queries.drop("embedding"), "query_id").withColumn("similarity", 1 - F.col("distance"))
+    kept = retrieve.after_threshold(near, threshold).filter(~F.col("component_id").eqNullSafe(F.col("query_component")))
+    found = retrieve.by_entity(kept, id_col="doc_id", extra=("component_name", "criticality"), per=("query_id",))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("best_score"), "component_id"))
+    found = found.withColumn("_n", place).filter(F.col("_n") <= top).drop("_n").withColumnRenamed("query_id", "query_ord")
+    return retrieve.best_per_component(found.filter(~F.col("component_id").isin(ids)))
+
+
+def analyze(g: GraphTables, ids: list[str], vectors: DataFrame | None = None, embed: Callable | None = None, ask: Callable[..., str] | None = None, max_depth: int = 5, weak: bool = True, options: dict | None = None, **retrieval) -> Analysis:
+    """Traversal, retrieval, merge, risk and, on demand, an explanation for each affected variant; a failing ``ask`` only costs that.
+
+    ``ask`` gets the prompt and ``options`` (such as ``EXPLAIN``) by name.
+    """
     impacts, variants, changed = traverse.impact_of(g, ids, max_depth, weak)
-    semantic = semantic_matches(g, vectors, ids, embed, **retrieval) if vectors is not None else g.components.sparkSession.createDataFrame([], "component_id string, best_score double, criticality string")
+    semantic = semantic_matches(g, vectors, ids, embed, **retrieval) if vectors is not None else g.components.sparkSession.createDataFrame([], _MATCHES)
+    semantic = written(semantic, "semantic")
     scored = written(score.scored_impacts(impacts, semantic), "scored")
     risks = score.variant_risks(g.variant_components, changed, scored, g.components)
     said, used = {}, False
     if ask is not None:
         try:
-            text = prompt(ids, impacts, semantic)
+            hit = {r.variant_id: set(r.affected_components) for r in variants.collect()}
+            facts = {r.id: r for r in g.variants.filter(F.col("id").isin(list(hit))).select("id", "name", "tier", "region").collect()}
             for r in risks.orderBy(F.desc("risk_score"), "variant_id").collect():
-                said[r.variant_id] = ask(f"{text}\nExplain the risk for variant {r.variant_id} (level {r.risk_level}).")
+                said[r.variant_id] = ask(prompt(ids, impacts, semantic, hit.get(r.variant_id), facts.get(r.variant_id), r.risk_level), **(options or {}))
             used = True
         except Exception:  # noqa: BLE001  an explanation is an extra; the caller's service may raise anything
             said, used = {}, False
     return Analysis(changed, impacts, scored, risks, said, used)
 
 
-def prompt(ids: list[str], impacts: DataFrame, semantic: DataFrame, lines: int = 30) -> str:
-    """Evidence, bounded: the first impacts with their paths, and three matches."""
-    rows = traverse.in_order(impacts).limit(lines).collect()
-    out = [f"Changed: {', '.join(ids)}"]
-    out += [f"- {r.component_id} ({r.criticality}): {' → '.join(r.chain)} [{r.min_coupling}]" for r in rows][: lines - 1]
-    columns = set(semantic.columns)
-    for r in semantic.orderBy(F.desc("best_score"), "component_id").limit(3).collect():
-        out.append(f"~ {r.component_id} ({r.best_score:.2f})" + (f": {r.docs[0].id[:120]}" if "docs" in columns and r.docs else ""))
+def prompt(ids: list[str], impacts: DataFrame, semantic: DataFrame, affected: set[str] | None = None, variant=None, level: str | None = None, lines: int = 30) -> str:
+    """Evidence in sections, bounded: ``lines`` impacts with path and shared modules, and three matches with the start of their text.
+
+    With ``affected``, only what concerns these components.
+    """
+    mine = lambda df: df if affected is None else df.filter(F.col("component_id").isin(sorted(affected)))
+    out = ["## Change", f"Changed: {', '.join(ids)}"]
+    if variant is not None:
+        out.append(f"Variant: {variant.name} ({variant.tier or '-'}, {variant.region or '-'})")
+    out += ["", "## Paths in the dependency graph"]
+    for r in traverse.in_order(mine(impacts)).limit(lines).collect():
+        out.append(f"- {r.component_id} ({r.criticality}): {' → '.join(r.chain)} [{r.min_coupling}]")
+        if r.shared_modules:
+            out.append(f"  shares {', '.join(r.shared_modules)}")
+    near = mine(semantic).orderBy(F.desc("best_score"), "component_id").limit(3).collect()
+    if near:
+        out += ["", "## Similar descriptions"]
+    for r in near:
+        text = r.docs[0].text if "docs" in semantic.columns and r.docs else None
+        out.append(f"~ {r.component_id} ({r.best_score:.2f})" + (f": {text[:120]}" if text else ""))
+    if variant is not None:
+        out += ["", "## Task", f"Explain the risk for {variant.name}" + (f" (level {level})" if level else "") + ", what is affected only indirectly, and what would lower it."]
     return "\n".join(out)
 
 
@@ -88,6 +122,38 @@ def markdown(rep: dict) -> str:
     return "\n".join(out) + "\n"
 
 
+def terminal(rep: dict, changed: list[str] = (), width: int = 60) -> str:
+    """The report as plain text for a console."""
+    rule = "=" * width
+    out = [rule, "Change impact".center(width).rstrip(), rule, f"Changed: {', '.join(changed)}"]
+    for title in ("direct", "indirect"):
+        out += ["", f"{title.capitalize()} impacts", "-" * width]
+        for r in rep[title]:
+            out += [f"  {r['component_id']}  {r['score']:.2f}  {r['coupling']}, {r['criticality']}, depth {r['depth']}", *([f"    {r['path']}"] if r["path"] else [])]
+        out += [] if rep[title] else ["  none"]
+    out += ["", "Variants", "-" * width]
+    for r in rep["variants"]:
+        out += [f"  {r['variant_id']}  {r['risk_level']} ({r['risk_score']:.2f}), {r['direct_count']} direct, {r['indirect_count']} indirect", *([f"    {r['explanation']}"] if r.get("explanation") else [])]
+    out += [] if rep["variants"] else ["  none"]
+    return "\n".join([*out, "", "Summary", "-" * width, *(f"  {k}: {v}" for k, v in rep["summary"].items())]) + "\n"
+
+
+def listing(g: GraphTables, modules: bool = False, variants: bool = False, connectivity: bool = False) -> str:
+    """What a person asks about a graph at a prompt: counts and, on demand, shared modules, variants with members, and connectivity."""
+    out = [f"{k}: {v}" for k, v in graph.graph_summary(g.components, g.edges, g.variants).first().asDict().items()]
+    if modules:
+        out += ["", "shared modules", *(f"  {r.module_id}: {', '.join(r.components)}" for r in graph.shared_module_lists(graph.bipartite(g)).orderBy("module_id").collect())]
+    if variants:
+        out += ["", "variants"]
+        members = {r.variant_id: [x.component_id for x in r.m] for r in g.variant_components.groupBy("variant_id").agg(F.sort_array(F.collect_list(F.struct("ord", "component_id"))).alias("m")).collect()}
+        for v in g.variants.orderBy("load_ord").collect():
+            out += [f"  {v.name} ({v.id}): {len(members.get(v.id, []))} components", *(f"    {c}" for c in members.get(v.id, []))]
+    if connectivity:
+        parts = graph.connectivity(g.edges).groupBy("component").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("node")).alias("nodes")).orderBy(F.desc("n"), "component").collect()
+        out += ["", "connected" if len(parts) <= 1 else f"{len(parts)} parts", *([] if len(parts) <= 1 else (f"  {', '.join(p.nodes)}" for p in parts))]
+    return "\n".join(out) + "\n"
+
+
 class NotFound(LookupError):
     status = 404
 
@@ -99,8 +165,19 @@ class BadRequest(ValueError):
 class Service:
     """The calls of a web surface as plain methods; a web framework only has to route to them."""
 
-    def __init__(self, g: GraphTables, vectors: DataFrame | None = None, embed: Callable | None = None, ask: Callable | None = None):
-        self.g, self.vectors, self.embed, self.ask, self.session = g, vectors, embed, ask, None
+    def __init__(self, g: GraphTables | None = None, vectors: DataFrame | None = None, embed: Callable | None = None, ask: Callable | None = None, guard=None, cache=None):
+        self.graph, self.vectors, self.embed, self.ask, self.session, self.guard, self.cache = g, vectors, embed, ask, None, guard, cache
+        self.parsed: DataFrame | None = None
+
+    @property
+    def g(self) -> GraphTables:
+        if self.graph is None:
+            raise NotFound("no graph is loaded")
+        return self.graph
+
+    @g.setter
+    def g(self, graph: GraphTables) -> None:
+        self.graph = graph
 
     def health(self) -> dict:
         return {"status": "ok"}
@@ -139,20 +216,88 @@ class Service:
         return {"summary": traverse.result_summary(changed, impacts, variants).first().asDict(), "impacts": [r.asDict(True) for r in traverse.in_order(impacts).collect()], "variants": [r.asDict(True) for r in variants.orderBy("variant_id").collect()], "semantic": matches}
 
     def rebuild_vectors(self) -> int:
-        from tremor.operators.documents import prepare_documents
+        from tremor.plans.compilation import embed_and_store
 
         if self.embed is None:
             raise BadRequest("no embedding function")
-        self.vectors = written(retrieve.embed_documents(prepare_documents(self.g.components), self.embed), "vectors")
-        return self.vectors.count()
+        rows, n = embed_and_store(self.g, self.embed)
+        self.vectors = written(rows, "vectors")
+        return n
+
+    def ingest(self, root: str, detection: str = "auto", granularity: str = "manifest", embed: bool = False) -> dict:
+        """Reads a source tree; its graph is the current one from now on."""
+        from tremor.operators import ingest
+        from tremor.plans import ingestion
+
+        try:
+            got = ingestion.ingest_tree(self._spark(), root, detection, granularity)
+        except (ValueError, Py4JJavaError) as e:
+            raise BadRequest(str(e).splitlines()[0]) from e
+        self.graph, self.session, self.parsed = got.graph, None, ingestion.as_parsed(got)
+        by_language = [r.asDict() for r in ingest.summary(got.components).orderBy("language").collect()]
+        return {"summary": self.summary(), "languages": by_language, "warnings": [r[0] for r in got.warnings.orderBy("warning").collect()], "documents_embedded": self.rebuild_vectors() if embed else 0}
+
+    def ingest_yaml(self, components: str, variants: str, embed: bool = False) -> dict:
+        from tremor.plans import ingestion
+
+        self.graph, self.session, self.parsed = ingestion.ingest_yaml(self._spark(), components, variants), None, None
+        return {"summary": self.summary(), "documents_embedded": self.rebuild_vectors() if embed else 0}
+
+    def estimate(self, root: str, embeddings: bool = True, suggestions: bool = True) -> dict:
+        """What an ingestion of ``root`` would cost; nothing is sent, and what the cache holds is free."""
+        from tremor.operators import cost
+        from tremor.operators.documents import prepare_documents
+        from tremor.plans import ingestion
+
+        got = ingestion.ingest_tree(self._spark(), root)
+        found = gaps.detect(got.graph, ingestion.as_parsed(got))
+        known = {"cache": self.cache.entries} if self.cache is not None and self.cache.enabled else {}
+        return cost.estimate(prepare_documents(got.graph.components), found.count(), got.graph.components.count(), embeddings, suggestions, **known)
+
+    def _spark(self):
+        return SparkSession.getActiveSession() if self.graph is None else self.graph.components.sparkSession
+
+    def compile(self, root: str, config: str | None = None, embed: bool = False, backup: bool = True) -> dict:
+        from tremor.plans.compilation import compile_graph
+
+        if embed and self.embed is None:
+            raise BadRequest("no embedding function")
+        found = None if self.session is None else self.session.gaps
+        return compile_graph(self.g, root, config, self.embed if embed else None, f"{root}/data/vectors" if embed else None, found, backup).summary()
+
+    def generate_tests(self, path: str) -> dict:
+        """Writes a test module of the graph as it is; returns how many cases it has, by category."""
+        from tremor.plans import validation
+
+        cases = validation.generate(self.g)
+        by = {c.category: sum(x.category == c.category for x in cases) for c in cases}
+        return {"tests_generated": len(cases), "test_file": validation.write_pytest(self.g.components.sparkSession, cases, path), "summary": by}
+
+    def status(self) -> dict:
+        out = {"graph_loaded": self.graph is not None, "vectors_loaded": self.vectors is not None, "llm_available": self.ask is not None, "session_active": self.session is not None}
+        if self.graph is not None:
+            out["graph"] = self.summary()
+        if self.session is not None:
+            out["session"] = {"iteration": self.session.iteration, "complete": self.session.complete, "open": len(self.session.pending)}
+        if self.guard is not None:
+            out["privacy"] = self.guard.status()
+        return out
+
+    def privacy(self) -> dict:
+        """Settings of the guard, and its log: hashes of texts are not needed there, lengths and categories are."""
+        if self.guard is None:
+            return {"enabled": False, "log": []}
+        p = self.guard.privacy
+        limits = {"max_prompt": p.max_prompt, "max_embedding": p.max_embedding, "max_batch": p.max_batch, "blocked_patterns": len(p.blocked)}
+        return {"enabled": True, **limits, **self.guard.status(), "log": [r.asDict() for r in self.guard.audit().collect()]}
 
     def detect_gaps(self) -> list[dict]:
-        return [r.asDict() for r in gaps.in_order(gaps.detect(self.g)).collect()]
+        return [r.asDict() for r in gaps.in_order(gaps.detect(self.g, self.parsed)).collect()]
 
     def start_session(self) -> dict:
         from tremor.operators import session
 
-        self.session = session.start(self.g, ask=self.ask)
+        self.session = session.start(self.g, self.parsed, ask=self.ask)
         return self.questions()
 
     def questions(self) -> dict:
@@ -165,7 +310,7 @@ class Service:
 
         if self.session is None:
             raise NotFound("no session")
-        self.session = session.answer(self.session, [session.Answer(**a) for a in answers])
+        self.session = session.answer(self.session, [session.Answer(**a) for a in answers], self.parsed)
         self.g = self.session.graph
         return self.questions()
 

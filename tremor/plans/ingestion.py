@@ -33,7 +33,7 @@ def ingest_tree(spark: SparkSession, root: str, detection: str = "auto", granula
     files = repository.classified(raw)
     bounds = repository.boundaries(raw)
     parsed = written(repository.ordered(code.python_files(files)), "parsed")
-    found = ingest.detect(parsed, bounds.filter(F.col("marker").isin(*repository.MARKERS)), detection, min_methods)
+    found = ingest.detect(parsed, bounds.filter(F.col("marker").isin(*repository.MARKERS)), detection, min_methods).withColumn("team_owner", F.lit(""))
     imports = ingest.import_graph(parsed)
     modules = ingest.shared_modules(found, imports, parsed)
     found = ingest.with_api_surface(ingest.wire(found, modules), parsed)
@@ -43,7 +43,8 @@ def ingest_tree(spark: SparkSession, root: str, detection: str = "auto", granula
     defined = [_defined(spark, root, kind, files) for kind in ("components", "variants")]
     graph = build_graph(ingest.combine(defined[0], components), defined[1])
     users = ingest.module_users(components)
-    return Ingested(graph, components, users, warned.unionByName(ingest.warnings(components, users)), files)
+    unread = code.sln_warnings(files, code.csproj(files))
+    return Ingested(graph, components, users, warned.unionByName(ingest.warnings(components, users)).unionByName(unread), files)
 
 
 def _defined(spark: SparkSession, root: str, kind: str, files: DataFrame) -> DataFrame:
@@ -54,3 +55,9 @@ def _defined(spark: SparkSession, root: str, kind: str, files: DataFrame) -> Dat
 
 def ingest_yaml(spark: SparkSession, components: str, variants: str) -> GraphTables:
     return build_graph(definitions.read_definitions(spark, components, "components", True), definitions.read_definitions(spark, variants, "variants", True))
+
+
+def as_parsed(got: Ingested) -> DataFrame:
+    """What gap detection asks of an ingestion: id, name, source_file, confidence, ord."""
+    place = F.xxhash64("id")
+    return got.components.select("id", "name", "source_file", "confidence", place.alias("ord"))

@@ -92,13 +92,14 @@ def package_json(files: DataFrame) -> DataFrame:
         usage = lambda v: F.when(is_internal_npm_dep(v), F.concat(F.lit("internal "), v)).otherwise(v)
         return F.transform(F.coalesce(F.map_entries(f"j.{col}"), F.expr("cast(array() as array<struct<key:string,value:string>>)")), lambda e: F.struct(npm_id(e["key"]).alias("module_id"), F.lit(coupling).alias("coupling"), usage(F.coalesce(e["value"], F.lit(""))).alias("usage")))
 
+    told = F.nullif(F.btrim(F.col("j.description")), F.lit(""))
     ws = F.coalesce(F.from_json(g("$.workspaces.packages"), "array<string>"), F.from_json(g("$.workspaces"), "array<string>"), F.expr("cast(array() as array<string>)"))
     rows = f.withColumn("dir", folder).join(ts, "dir", "left")
     return rows.select(
         "path", npm_id(name).alias("id"), name.alias("name"),
-        F.coalesce(F.nullif(F.col("j.description"), F.lit("")), F.concat(name, F.lit(" npm package"))).alias("description"), who.alias("team_owner"),
+        F.substring(F.element_at(F.split(F.coalesce(told, F.concat(name, F.lit(" npm package"))), "\n"), 1), 1, 500).alias("description"), who.alias("team_owner"),
         F.when(F.col("ts") | (F.coalesce("j.types", "j.typings", F.lit("")) != ""), "typescript").otherwise("javascript").alias("language"),
-        F.lit(0.5).alias("confidence"), F.array_sort(F.array_distinct(F.coalesce("j.keywords", F.expr("cast(array() as array<string>)")))).alias("api_surface"),
+        F.when(told.isNull(), 0.5).otherwise(1.0).alias("confidence"), F.array_sort(F.array_distinct(F.coalesce("j.keywords", F.expr("cast(array() as array<string>)")))).alias("api_surface"),
         F.concat(deps("dependencies", "tight"), deps("devDependencies", "loose")).alias("modules"), ws.alias("workspaces"),
     )
 
@@ -123,7 +124,7 @@ def parse_csproj(path: str, source: bytes) -> dict | None:
         elif ref and tag(e) == "PackageReference":
             modules.append({"module_id": slug(ref), "coupling": "tight", "usage": f"package {e.attrib.get('Version', '') or next((c.text or '' for c in e if tag(c) == 'Version'), '')}".strip()})
     tags = sorted({t for t in re.split(r"[;,\s]+", text("PackageTags")) if t})
-    return {"path": path, "id": slug(name), "name": name, "description": text("Description") or f"{name} .NET project", "team_owner": text("Authors", "Company"), "language": "csharp", "confidence": 0.5, "api_surface": tags, "modules": modules, "workspaces": []}
+    return {"path": path, "id": slug(name), "name": name, "description": (text("Description") or f"{name} .NET project").split("\n")[0][:500], "team_owner": text("Authors").split(",")[0].strip(), "language": "csharp", "confidence": 1.0 if text("Description") else 0.5, "api_surface": tags, "modules": modules, "workspaces": []}
 
 
 def csproj(files: DataFrame) -> DataFrame:
@@ -136,6 +137,7 @@ def csproj(files: DataFrame) -> DataFrame:
     return files.filter("manifest = 'csproj'").select("path", "content").mapInPandas(run, MANIFEST)
 
 
+#: Fixed value: a project entry of a solution file.
 SLN = r'(?m)^\s*Project\("\{[0-9A-Fa-f-]+\}"\)\s*=\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"\{[0-9A-Fa-f-]+\}"'
 
 
@@ -147,6 +149,13 @@ def sln_projects(files: DataFrame) -> DataFrame:
     return out.filter(F.lower("project").endswith(".csproj")).withColumn("id", csproj_id(F.col("name")))
 
 
+def sln_warnings(files: DataFrame, projects: DataFrame) -> DataFrame:
+    """One row for each solution entry whose project file is not among those that were read."""
+    entries = sln_projects(files).withColumn("at", F.concat_ws("/", F.nullif(dir_of(F.col("path")), F.lit("")), "project"))
+    lost = entries.join(projects.select(F.col("path").alias("at")), "at", "left_anti")
+    return lost.select(F.format_string("solution %s: project '%s' was not found", "path", "project").alias("warning"))
+
+
 def manifests(files: DataFrame, languages: tuple[str, ...] = ("typescript", "javascript", "csharp")) -> DataFrame:
     """Components of all manifests in an allowed language."""
     return package_json(files).unionByName(csproj(files)).filter(F.col("language").isin(*languages))

@@ -9,6 +9,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tremor.sources.shared import qualified, written
+
 #: Fixed values.
 PYTHON_EXTS = (".py",)
 CONFIG_EXTS = (".yaml", ".yml", ".toml", ".json", ".ini", ".cfg", ".env")
@@ -18,23 +20,41 @@ IGNORED = (".git", "__pycache__", "node_modules", ".venv", "venv", ".tox", ".myp
 MAX_BYTES = 5_000_000
 
 
-def scan(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
-    """path (below the root), length, content: every file. Spark's readers pass over names that begin with a dot or an underscore,
-    which are part of a source tree; so the driver lists names and sizes, and executors read what they are given."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    p = hadoop.Path(root)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    base = fs.makeQualified(p).toString().rstrip("/")
-    rows, found = [], fs.listFiles(p, True)
-    while found.hasNext():
-        f = found.next()
-        rows.append((f.getPath().toString()[len(base) + 1 :], f.getLen()))
-    files = spark.createDataFrame(sorted(rows), "path string, length long")
+def scan(spark: SparkSession, root: str, content: bool = True, names: tuple[str, ...] = IGNORED) -> DataFrame:
+    """path (below the root), length, content: every file outside ignored folders. Spark's readers pass over names that begin with a dot
+    or an underscore, which are part of a source tree; so executors list the tree, a level of folders at a time, and then read it.
+
+    Ignored folders are neither entered nor read. The driver holds the folders of one level, never files.
+    """
+    base = qualified(spark, root).rstrip("/")
+    exact, ends = {n for n in names if not n.startswith("*")}, tuple(n[1:] for n in names if n.startswith("*"))
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, at = pafs.FileSystem.from_uri(base)
+        for f in frames:
+            rows = []
+            for folder in f["path"]:
+                for info in fs.get_file_info(pafs.FileSelector(f"{at}/{folder}".rstrip("/"))):
+                    is_dir, name = info.type == pafs.FileType.Directory, info.base_name
+                    if is_dir and (name in exact or bool(ends) and name.endswith(ends)):
+                        continue
+                    rows.append((f"{folder}/{name}" if folder else name, None if is_dir else info.size))
+            yield pd.DataFrame({"path": [r[0] for r in rows], "length": pd.array([r[1] for r in rows], "Int64")})
+
+    todo, levels = [("",)], []
+    while todo:
+        folders = spark.createDataFrame(todo, "path string")
+        found = written(folders.repartition(max(1, min(200, len(todo))), "path").mapInPandas(listed, "path string, length long"), "scan-level")
+        levels.append(found.filter("length is not null"))
+        todo = [(r.path,) for r in found.filter("length is null").select("path").collect()]
+    files = levels[0]
+    for level in levels[1:]:
+        files = files.unionByName(level)
     if not content:
         return files
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, at = pafs.FileSystem.from_uri(base if "://" in base else base.replace("file:", "file://", 1))
+        fs, at = pafs.FileSystem.from_uri(base)
         for f in frames:
             data = []
             for path, n in zip(f["path"], f["length"], strict=True):
