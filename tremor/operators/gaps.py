@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremor.functions.ordinals import SEVERITY, lookup
 from tremor.operators.graph import GraphTables, bipartite
+from tremor.sources.shared import written
 
 #: Fixed values.
 GENERIC_PREFIXES = ("Service:", "Class ", "Directory module:")
@@ -42,10 +43,34 @@ def no_variant_assignment(components: DataFrame, members: DataFrame, variants: D
     return components.join(members.select(F.col("component_id").alias("id")), "id", "left_anti").crossJoin(some).drop("_some")
 
 
-def potential_missing_links(located: DataFrame, edges: DataFrame) -> DataFrame:
+def missing_link_counts(located: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per component with modules: parent, siblings (others there with modules), linked (siblings that share a module) and missing, the rest.
+
+    ``located``: component_id, parent, ord. Pairs are counted, never listed: a hub module of a large parent only adds to sums. Components of one
+    parent with equal module sets form a class with a size; classes are what meets by module.
+    """
+    sets = _classes(located, edges)
+    size = sets.groupBy("parent", "class").agg(F.count("*").alias("n"), F.first("modules").alias("modules"))
+    size = written(size, "link-classes")
+    mods = size.select("parent", "class", "n", F.explode("modules").alias("m"))
+    x, y = mods.select("parent", "m", F.col("class").alias("a")), mods.select("parent", "m", F.col("class").alias("b"), "n")
+    met = x.join(y, ["parent", "m"]).groupBy("parent", "a", "b").agg(F.first("n").alias("n")).groupBy("parent", "a").agg(F.sum("n").alias("linked"))
+    total = size.groupBy("parent").agg(F.sum("n").alias("siblings"))
+    per = met.join(total, "parent").select("parent", F.col("a").alias("class"), (F.col("siblings") - 1).alias("siblings"), (F.col("linked") - 1).alias("linked"))
+    return sets.select("component_id", "parent", "class", "ord").join(per, ["parent", "class"]).select("parent", "component_id", "siblings", "linked", (F.col("siblings") - F.col("linked")).alias("missing"), "ord")
+
+
+def _classes(located: DataFrame, edges: DataFrame) -> DataFrame:
+    """component_id, parent, ord, its sorted modules, and the class that these make in the parent."""
+    sets = edges.groupBy("component_id").agg(F.sort_array(F.collect_set("module_id")).alias("modules"))
+    return located.join(sets, "component_id").withColumn("class", F.struct(F.xxhash64("modules").alias("a"), F.hash("modules").alias("b")))
+
+
+def potential_missing_links(located: DataFrame, edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """Pairs (c1 before c2 by ord) of one parent whose module sets are not empty and have nothing in common.
 
-    ``located``: component_id, parent, ord. The pairs of a parent are the result itself; what they share is found by a join
+    ``located``: component_id, parent, ord; ``of`` (component_id): only pairs with one of these. The pairs of a parent are as many as its members
+    squared, so over whole tables ``missing_link_counts`` answers; what pairs share is found by a join
     on modules inside the parent, and taken away.
     """
     has = located.join(edges.select("component_id").distinct(), "component_id", "left_semi")
@@ -54,8 +79,24 @@ def potential_missing_links(located: DataFrame, edges: DataFrame) -> DataFrame:
     used = has.join(edges.select("component_id", "module_id").distinct(), "component_id")
     x = used.select(F.col("component_id").alias("c1"), "parent", "module_id")
     y = used.select(F.col("component_id").alias("c2"), "parent", "module_id")
+    if of is not None:
+        asked = of.select(F.col("component_id").alias("c1")).distinct()
+        a, x = a.join(asked, "c1", "left_semi"), x.join(asked, "c1", "left_semi")
     sharing = x.join(y, ["parent", "module_id"]).select("parent", "c1", "c2").distinct()
-    return a.join(b, "parent").filter("o1 < o2").join(sharing, ["parent", "c1", "c2"], "left_anti").select("parent", "c1", "c2", "o1", "o2")
+    pairs = a.join(b, "parent").filter("o1 <> o2" if of is not None else "o1 < o2").join(sharing, ["parent", "c1", "c2"], "left_anti")
+    if of is None:
+        return pairs.select("parent", "c1", "c2", "o1", "o2")
+    back = F.col("o1") > F.col("o2")
+    first = [F.when(back, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("c2", "c1", "c1"), ("c1", "c2", "c2"), ("o2", "o1", "o1"), ("o1", "o2", "o2"))]
+    return pairs.select("parent", *first).distinct()
+
+
+def no_api_surface(components: DataFrame) -> DataFrame:
+    return components.filter(F.coalesce(F.size("api_surface"), F.lit(0)) <= 0)
+
+
+def low_confidence(parsed: DataFrame, least: float = 0.5) -> DataFrame:
+    return parsed.filter(F.col("confidence") < least)
 
 
 def parent_dir(path: Column) -> Column:
@@ -72,46 +113,46 @@ def _gap(df: DataFrame, no: int, kind: str, severity: str, entity: Column, name:
 
 
 def detect(g: GraphTables, parsed: DataFrame | None = None) -> DataFrame:
-    """All gaps; order by severity, check_no, row_no. ``parsed`` (id, name, source_file, confidence, ord) adds two rules."""
+    """All gaps; order by severity, check_no, row_no (a pair that compares). ``parsed`` (id, name, source_file, confidence, ord) adds two rules."""
     c, edges = g.components, bipartite(g)
     L, fs, col = F.lit, F.format_string, F.col
     by_load = [col("load_ord").cast("long"), L("")]
     parts = [
         _gap(orphan_components(c, edges), 0, "orphan_component", "critical", col("id"), col("name"),
-             fs("Component '%s' has no module connections. It cannot participate in impact analysis.", "name"),
-             fs("Component '%s' appears isolated. Which shared modules or services does it depend on?", "name"), by_load),
+             fs("'%s' uses no module, so no change can be traced to it or from it.", "name"),
+             fs("Which modules or services does '%s' use?", "name"), by_load),
         _gap(isolated_modules(edges), 1, "isolated_module", "medium", col("module_id"), col("module_id"),
-             fs("Module '%s' is only used by %s. It won't create cross-component impact paths.", "module_id", "component_id"),
-             fs("Module '%s' is only linked to '%s'. Do other components use it?", "module_id", "component_id"), [L(0).cast("long"), col("module_id")]),
+             fs("Nothing but %2$s uses module '%1$s': no path leads through it.", "module_id", "component_id"),
+             fs("Is '%2$s' the only user of module '%1$s'?", "module_id", "component_id"), [L(0).cast("long"), col("module_id")]),
         _gap(c.filter(missing_description(col("description"))), 2, "missing_description", "high", col("id"), col("name"),
-             fs("Component '%s' has a missing or auto-generated description. This weakens semantic search accuracy.", "name"),
-             fs("What does '%s' do? Please describe its purpose in one or two sentences.", "name"), by_load),
+             fs("'%s' is described by nothing, or by a generated line; searches by meaning will miss it.", "name"),
+             fs("In a sentence or two: what is '%s' for?", "name"), by_load),
         _gap(c.join(coupling_ambiguity(edges).withColumnRenamed("component_id", "id"), "id"), 3, "coupling_ambiguity", "medium", col("id"), col("name"),
-             fs("All %d modules for '%s' are marked as 'tight' coupling. This may be a default from auto-detection.", "n_modules", "name"),
-             fs("For each module of '%s': is the coupling 'tight', 'loose' or 'optional'? (%s)", "name", F.array_join(F.transform("modules", lambda m: m["module_id"]), ", ")), by_load),
-        _gap(c.filter(F.size("api_surface") == 0), 4, "no_api_surface", "low", col("id"), col("name"),
-             fs("Component '%s' has no documented API endpoints. This reduces search specificity.", "name"),
-             fs("Which endpoints or interfaces does '%s' expose?", "name"), by_load),
+             fs("'%2$s' is tied tightly to each of its %1$d modules, which looks like a default.", "n_modules", "name"),
+             fs("How close is '%s' to each of these: tight, loose or optional? %s", "name", F.array_join(F.transform("modules", lambda m: m["module_id"]), ", ")), by_load),
+        _gap(no_api_surface(c), 4, "no_api_surface", "low", col("id"), col("name"),
+             fs("No interface is known for '%s', so searches for one cannot find it.", "name"),
+             fs("What interface does '%s' offer?", "name"), by_load),
         _gap(no_variant_assignment(c, g.variant_components, g.variants), 5, "no_variant_assignment", "medium", col("id"), col("name"),
-             fs("Component '%s' is not included in any product variant.", "name"),
-             fs("Which product variants include '%s'?", "name"), by_load),
+             fs("No variant ships '%s'.", "name"),
+             fs("Which variants ship '%s'?", "name"), by_load),
     ]
     if parsed is not None:
         located = parsed.select(col("id").alias("component_id"), parent_dir(col("source_file")).alias("parent"), "ord")
         pairs = potential_missing_links(located, edges)
         parts += [
             _gap(pairs, 6, "potential_missing_link", "low", F.concat("c1", L(":"), "c2"), F.concat("c1", L(" <-> "), "c2"),
-                 fs("Components '%s' and '%s' are in the same directory (%s) but share no modules.", "c1", "c2", "parent"),
-                 fs("Components '%s' and '%s' coexist in %s. Do they share dependencies or events?", "c1", "c2", "parent"), [col("o1").cast("long"), F.format_string("%012d", col("o2").cast("long"))]),
-            _gap(parsed.filter("confidence < 0.5"), 7, "low_confidence", "high", col("id"), col("name"),
-                 fs("Component '%s' was detected with low confidence (%s%%). It may not be a real component.", "name", F.round(col("confidence") * 100).cast("int")),
-                 fs("Is '%s' (from %s) a real component? If so, what does it do?", "name", "source_file"), [col("ord").cast("long"), L("")]),
+                 fs("'%s' and '%s' lie side by side in %s without a module in common.", "c1", "c2", "parent"),
+                 fs("Is anything common to '%s' and '%s', both in %s?", "c1", "c2", "parent"), [col("o1").cast("long"), F.format_string("%012d", col("o2").cast("long"))]),
+            _gap(low_confidence(parsed), 7, "low_confidence", "high", col("id"), col("name"),
+                 fs("'%s' was recognised with %s%% confidence only; it may be no component at all.", "name", F.round(col("confidence") * 100).cast("int")),
+                 fs("Should '%s' (from %s) count as a component, and what is it for?", "name", "source_file"), [col("ord").cast("long"), L("")]),
         ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    w = Window.partitionBy("check_no").orderBy("_o0", "_o1")
-    return out.withColumn("row_no", F.row_number().over(w)).select(*COLUMNS)
+    # An order by the columns themselves: a row number would bring all gaps of a rule to one task.
+    return out.withColumn("row_no", F.struct("_o0", "_o1")).select(*COLUMNS)
 
 
 def in_order(gaps: DataFrame) -> DataFrame:

@@ -82,12 +82,24 @@ def bipartite(g: GraphTables) -> DataFrame:
     return g.edges.join(g.components.select(F.col("id").alias("module_id")), "module_id", "left_anti")
 
 
+def modules_of(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of component_id, mod_ord, module_id, coupling (and usage) for the components of ``asked`` (component_id)."""
+    return edges.join(asked.select("component_id").distinct(), "component_id", "left_semi").drop("comp_ord")
+
+
+def users_of(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of module_id, comp_ord, component_id for the modules of ``asked`` (module_id): a hub's users are rows, not a list."""
+    return edges.join(asked.select("module_id").distinct(), "module_id", "left_semi").select("module_id", "comp_ord", "component_id")
+
+
 def component_modules(g: GraphTables, component_id: str) -> DataFrame:
-    return bipartite(g).filter(F.col("component_id") == component_id).orderBy("mod_ord").select("module_id", "coupling", "usage")
+    asked = g.edges.sparkSession.createDataFrame([(component_id,)], "component_id string")
+    return modules_of(bipartite(g), asked).orderBy("mod_ord").select("module_id", "coupling", "usage")
 
 
 def module_components(g: GraphTables, module_id: str) -> DataFrame:
-    return bipartite(g).filter(F.col("module_id") == module_id).orderBy("comp_ord").select("component_id")
+    asked = g.edges.sparkSession.createDataFrame([(module_id,)], "module_id string")
+    return users_of(bipartite(g), asked).orderBy("comp_ord").select("component_id")
 
 
 def component_variants(g: GraphTables, component_id: str) -> DataFrame:

@@ -1,66 +1,89 @@
-"""A component graph over the order tables: customers are components, parts are modules, nations are variants.
+"""A component graph over the whole order tables: orders are components, parts are modules, nations are variants.
 
-A customer and a part are linked where an urgent order returned the part at a discount; quantity is the coupling.
+An order and a part are linked by every line; the greatest quantity is the coupling. The request is that all orders of one customer change.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremor.functions.ordinals import coupling_name
-from tremor.sources.shared import written
+from tremor.sources.shared import exists, shared_dir
 
-MAX_DEPTH = 3
+MAX_DEPTH = 5
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: By session and folder, the table of edges that was written for it.
+_EDGES: dict[tuple[str, str], str] = {}
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """component_id, module_id, coupling, mod_ord, comp_ord; one written table, as traversals read it many times."""
-    line = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_discount >= 0.06").select("l_orderkey", "l_partkey", "l_quantity")
-    orders = read(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
+    """component_id, module_id, coupling, mod_ord, comp_ord; one written table, as traversals and queries read it many times."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    schema = "component_id long, module_id long, coupling string, mod_ord int, comp_ord int"
+    if key not in _EDGES or not exists(spark, _EDGES[key]):
+        path = f"{shared_dir(spark)}/graph-edges-{uuid.uuid4().hex}"
+        _edges(spark, sf_dir).write.parquet(path)
+        _EDGES[key] = path
+    return spark.read.schema(schema).parquet(_EDGES[key])
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     k = F.when(F.col("l_quantity") >= 34, 3).when(F.col("l_quantity") >= 17, 2).otherwise(1)
-    e = line.join(orders, line.l_orderkey == orders.o_orderkey).groupBy(F.col("o_custkey").alias("component_id"), F.col("l_partkey").alias("module_id")).agg(F.max(k).alias("k"))
+    e = line.groupBy(F.col("l_orderkey").alias("component_id"), F.col("l_partkey").alias("module_id")).agg(F.max(k).alias("k"))
     e = e.select("component_id", "module_id", coupling_name(F.col("k")).alias("coupling"))
     e = e.withColumn("mod_ord", F.row_number().over(Window.partitionBy("component_id").orderBy("module_id")))
-    return written(e.withColumn("comp_ord", F.row_number().over(Window.partitionBy("module_id").orderBy("component_id"))), "graph-edges")
+    e = e.withColumn("comp_ord", F.row_number().over(Window.partitionBy("module_id").orderBy("component_id")))
+    return e.select(F.col("component_id").cast("long"), F.col("module_id").cast("long"), "coupling", "mod_ord", "comp_ord")
+
+
+CUSTOMER = 1
 
 
-def changed(edges: DataFrame) -> DataFrame:
-    return edges.filter("component_id % 25 = 1").select("component_id").distinct().select("component_id", F.col("component_id").alias("pos"))
+def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """component_id, pos: the orders of the customer, those without lines included."""
+    mine = read(spark, sf_dir, "orders").filter(F.col("o_custkey") == CUSTOMER)
+    return mine.select(F.col("o_orderkey").alias("component_id"), F.col("o_orderkey").alias("pos"))
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, name, criticality by market segment, description and interface as far as the table has any."""
-    s = F.col("c_mktsegment")
-    crit = F.when(s == "BUILDING", "critical").when(s == "AUTOMOBILE", "high").when(s == "MACHINERY", "medium").otherwise("low")
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), crit.alias("criticality"), "c_acctbal")
+    """id, name, criticality by priority, and the price."""
+    p = F.substring("o_orderpriority", 1, 1)
+    crit = F.when(p == "1", "critical").when(p == "2", "high").when(p == "3", "medium").otherwise("low")
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Order "), "o_orderkey").alias("name"), crit.alias("criticality"), "o_totalprice")
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("variant_id"), F.col("c_custkey").alias("component_id"))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    customers = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return orders.join(customers, orders.o_custkey == customers.c_custkey).select(F.col("c_nationkey").alias("variant_id"), F.col("o_orderkey").alias("component_id"))
 
 
-EDGES_SQL = """e AS (
+EDGES_SQL = f"""e AS (
   SELECT component_id, module_id, k, CASE k WHEN 3 THEN 'tight' WHEN 2 THEN 'loose' ELSE 'optional' END AS coupling,
     row_number() OVER (PARTITION BY component_id ORDER BY module_id) AS mod_ord,
     row_number() OVER (PARTITION BY module_id ORDER BY component_id) AS comp_ord
-  FROM (SELECT o_custkey AS component_id, l_partkey AS module_id,
+  FROM (SELECT l_orderkey AS component_id, l_partkey AS module_id,
           max(CASE WHEN l_quantity >= 34 THEN 3 WHEN l_quantity >= 17 THEN 2 ELSE 1 END) AS k
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-        WHERE o_orderpriority = '1-URGENT' AND l_returnflag = 'R' AND l_discount >= 0.06 GROUP BY 1, 2)),
-changed AS (SELECT DISTINCT component_id FROM e WHERE component_id % 25 = 1)"""
-COMPONENTS_SQL = """comp AS (SELECT c_custkey AS id, c_name AS name, c_nationkey AS variant_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'critical'
-  WHEN 'AUTOMOBILE' THEN 'high' WHEN 'MACHINERY' THEN 'medium' ELSE 'low' END AS criticality FROM customer)"""
+        FROM lineitem GROUP BY 1, 2)),
+changed AS (SELECT o_orderkey AS component_id FROM orders WHERE o_custkey = {CUSTOMER}),
+known AS (SELECT component_id FROM changed WHERE component_id IN (SELECT component_id FROM e))"""
+COMPONENTS_SQL = """comp AS (SELECT o_orderkey AS id, 'Order ' || o_orderkey AS name, c_nationkey AS variant_id, o_totalprice, CASE left(o_orderpriority, 1) WHEN '1' THEN 'critical'
+  WHEN '2' THEN 'high' WHEN '3' THEN 'medium' ELSE 'low' END AS criticality FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
 def levels_sql(weak: bool = True, depth: int = MAX_DEPTH) -> str:
     """CTEs of a level-wise search with first discoveries: ``found`` has component_id, depth, min rank and chain."""
     strict = "" if weak else " AND a.coupling NOT IN ('loose', 'optional')"
-    out = ["l0 AS (SELECT component_id AS c, row_number() OVER (ORDER BY component_id) AS pos, 3 AS rank, [component_id] AS chain, 0 AS depth FROM changed)"]
+    out = ["l0 AS (SELECT component_id AS c, row_number() OVER (ORDER BY component_id) AS pos, 3 AS rank, [component_id] AS chain, 0 AS depth FROM known)"]
     for d in range(1, depth + 1):
         before = " UNION ALL ".join(f"SELECT c FROM l{i}" for i in range(d))
         out.append(

@@ -102,7 +102,7 @@ _W = f"WITH {T.EDGES_SQL},\n{T.levels_sql()},\n{T.COMPONENTS_SQL}"
 
 
 @query(f"""{_W}, i AS (SELECT component_id, depth, min_coupling, criticality FROM found JOIN comp ON id = component_id),
-sem AS (SELECT id AS component_id, criticality, 0.25 + (id % 4) * 0.125 AS b FROM comp WHERE id % 7 = 0)
+sem AS (SELECT id AS component_id, criticality, 0.25 + (id % 4) * 0.125 AS b FROM comp WHERE o_totalprice > 150000)
 SELECT coalesce(i.component_id, sem.component_id) AS component_id, coalesce(depth, 0) AS depth, coalesce(min_coupling, 'semantic') AS coupling, b IS NOT NULL AS has_semantic,
   round_even(cast(CASE WHEN i.component_id IS NULL THEN b * (CASE sem.criticality WHEN 'critical' THEN 4 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0.5 END)
     ELSE (CASE min_coupling WHEN 'tight' THEN 1.0 WHEN 'loose' THEN 0.5 ELSE 0.2 END) * (CASE i.criticality WHEN 'critical' THEN 4 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0.5 END) / depth
@@ -110,9 +110,9 @@ SELECT coalesce(i.component_id, sem.component_id) AS component_id, coalesce(dept
 FROM i FULL JOIN sem ON i.component_id = sem.component_id""")
 def hybrid_merge(spark, sf_dir):
     e = T.edges(spark, sf_dir)
-    comp = T.components(spark, sf_dir).select(F.col("id").alias("component_id"), "criticality")
-    found = traverse.traverse(e, T.changed(e), T.MAX_DEPTH).join(comp, "component_id")
-    sem = comp.filter("component_id % 7 = 0").withColumn("best_score", 0.25 + F.col("component_id") % 4 * 0.125)
+    comp = T.components(spark, sf_dir).select(F.col("id").alias("component_id"), "criticality", "o_totalprice")
+    found = traverse.traverse(e, T.changed(spark, sf_dir), T.MAX_DEPTH).join(comp.drop("o_totalprice"), "component_id")
+    sem = comp.filter("o_totalprice > 150000").withColumn("best_score", 0.25 + F.col("component_id") % 4 * 0.125)
     out = score.scored_impacts(found, sem)
     return out.select("component_id", "depth", "coupling", "has_semantic", F.bround("score", 1).alias("score"))
 
@@ -149,6 +149,23 @@ def redact_pii(spark, sf_dir):
     return r.select("doc_id", F.sha2("sanitized", 256).alias("sanitized_sha256"), "redaction_count", "categories")
 
 
+#: A text for each kind of secret, made of the row's own numbers.
+_KINDS = """CASE doc_id % 20
+  WHEN 0 THEN 'key AKIA' || upper(substr(h, 1, 16)) WHEN 1 THEN 'aws_secret_access_key = ' || h WHEN 2 THEN 'AccountKey=' || h
+  WHEN 3 THEN 'ghp_' || h WHEN 4 THEN 'github_pat_' || substr(h, 1, 22) WHEN 5 THEN 'Bearer ' || h || '==' WHEN 6 THEN 'api_key: ' || h
+  WHEN 7 THEN 'sk-' || substr(h, 1, 24) WHEN 8 THEN 'xoxb-' || substr(h, 1, 12) WHEN 9 THEN 'eyJ' || substr(h, 1, 12) || '.eyJ' || substr(h, 13, 12) || '.' || substr(h, 25, 12)
+  WHEN 10 THEN '-----BEGIN RSA PRIVATE KEY-----' || h || '-----END RSA PRIVATE KEY-----' WHEN 11 THEN 'password=' || substr(h, 1, 9)
+  WHEN 12 THEN 'postgresql://u:' || substr(h, 1, 4) || '@db/x' WHEN 13 THEN 'export DATABASE_URL = ' || h WHEN 14 THEN '"private_key": "-----BEGIN EC KEY-----' || h || '"'
+  WHEN 15 THEN 'ssn 123-45-' || substr('0000' || (doc_id % 10000), -4) || '.' WHEN 16 THEN 'at 10.0.' || (doc_id % 256) || '.7 and' WHEN 17 THEN 'see /home/' || substr(h, 1, 8) || '/x.txt or'
+  WHEN 18 THEN 'mail ' || substr(h, 1, 6) || '@example.org' ELSE 'call 555-123-' || substr('0000' || (doc_id % 10000), -4) END"""
+
+
+@query(f"WITH documents AS (SELECT doc_id, {_KINDS} AS text FROM (SELECT doc_id, sha256(cast(doc_id AS VARCHAR)) AS h FROM documents)), {_redact_sql()} SELECT doc_id, t AS sanitized, len(ev) AS redaction_count, list_sort(list_distinct(ev)) AS categories FROM red")
+def redact_secrets(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
+    return redact.redact(d.select("doc_id", F.expr(_KINDS).alias("text"))).select("doc_id", "sanitized", "redaction_count", "categories")
+
+
 @query(f"WITH {_redact_sql('moderate')} SELECT category, count(*) AS n FROM (SELECT unnest(ev) AS category FROM red) GROUP BY 1")
 def redaction_counts(spark, sf_dir):
     r = redact.redact(read(spark, sf_dir, "documents").select("text"), level="moderate")
@@ -166,9 +183,16 @@ def classification(spark, sf_dir):
     return r.groupBy(redact.classification(F.col("categories")).alias("classification")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id FROM documents WHERE " + " + ".join(f"cast(regexp_matches(coalesce(text, ''), '{_ascii(p)}') AS INT)" for p in redact.SOURCE_CODE) + " >= 2")
+#: Every text with lines of code before it that depend on its id; of five rules, two make code.
+_CODE = """concat(
+  CASE WHEN doc_id % 2 = 0 THEN 'import re\n' ELSE '' END, CASE WHEN doc_id % 3 = 0 THEN 'def f' || doc_id || '(x):\n' ELSE '' END,
+  CASE WHEN doc_id % 5 = 0 THEN '    return ' || doc_id || '\n' ELSE '' END, CASE WHEN doc_id % 7 = 0 THEN 'class A' || doc_id || ':\n' ELSE '' END,
+  CASE WHEN doc_id % 11 = 0 THEN 'for x in y:\n' ELSE '' END, coalesce(text, ''))"""
+
+
+@query(f"WITH d AS (SELECT doc_id, {_CODE} AS t FROM documents) SELECT doc_id FROM d WHERE " + " + ".join(f"cast(regexp_matches(t, '{_ascii(p)}') AS INT)" for p in redact.SOURCE_CODE) + " >= 2")
 def source_code_flag(spark, sf_dir):
-    return read(spark, sf_dir, "documents").filter(redact.has_source_code(F.col("text"))).select("doc_id")
+    return read(spark, sf_dir, "documents").filter(redact.has_source_code(F.expr(_CODE))).select("doc_id")
 
 
 @query("SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 10000")
@@ -243,14 +267,16 @@ def name_helpers(spark, sf_dir):
     return p.select("p_partkey", X.snake_case(F.replace("p_brand", F.lit("#"), F.lit("X"))).alias("snake"), X.csproj_id(F.col("p_type")).alias("slug"))
 
 
-def _graph(spark, sf_dir):
-    """Components with modules from the order tables, as nested rows."""
+def _graph(spark, sf_dir, orphans=False):
+    """Components with modules from the order tables, as nested rows; with ``orphans``, those without modules too, and price and customer."""
     e = T.edges(spark, sf_dir)
     nested = e.groupBy("component_id").agg(F.sort_array(F.collect_list(F.struct("mod_ord", "module_id", "coupling"))).alias("r"))
-    c = T.components(spark, sf_dir).join(nested, F.col("id") == F.col("component_id"))
+    c = T.components(spark, sf_dir).join(nested, F.col("id") == F.col("component_id"), "left" if orphans else "inner")
+    if orphans:
+        c = c.join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey"), "id")
     mods = F.transform("r", lambda x: F.struct(x["module_id"].cast("string").alias("module_id"), x["coupling"].alias("coupling"), F.lit("part").alias("usage")))
-    comp = c.select(F.concat(F.lit("c"), "id").alias("id"), "name", F.lit(" Buys parts ").alias("description"), F.lit("sales").alias("team_owner"), "criticality", mods.alias("modules"), F.array(F.lit("GET /x")).alias("api_surface"), F.col("id").cast("int").alias("load_ord"))
-    return comp
+    more = ["o_totalprice", "o_custkey"] if orphans else []
+    return c.select(F.concat(F.lit("c"), "id").alias("id"), "name", F.lit(" Buys parts ").alias("description"), F.lit("sales").alias("team_owner"), "criticality", mods.alias("modules"), F.array(F.lit("GET /x")).alias("api_surface"), F.col("id").cast("int").alias("load_ord"), *more)
 
 
 _E = f"WITH {T.EDGES_SQL},\n{T.COMPONENTS_SQL}"
@@ -265,15 +291,82 @@ def prepare_documents(spark, sf_dir):
     return documents.prepare_documents(_graph(spark, sf_dir)).select("doc_id", "text")
 
 
-@query(f"""{_E} SELECT 'coupling_ambiguity' AS gap_type, 'medium' AS severity, 'c' || component_id AS entity_id FROM e GROUP BY component_id HAVING count(*) >= 2 AND min(coupling) = 'tight' AND max(coupling) = 'tight'
-UNION ALL SELECT 'isolated_module', 'medium', cast(module_id AS VARCHAR) FROM e GROUP BY module_id HAVING count(*) = 1""")
+@query(f"""{_E}, h AS (SELECT o_orderkey AS id, o_custkey, o_totalprice FROM orders),
+v AS (SELECT o_orderkey AS id FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 20)
+SELECT 'orphan_component' AS gap_type, 'critical' AS severity, 'c' || id AS entity_id FROM h WHERE id NOT IN (SELECT component_id FROM e)
+UNION ALL SELECT 'coupling_ambiguity', 'medium', 'c' || component_id FROM e GROUP BY component_id HAVING count(*) >= 2 AND min(coupling) = 'tight' AND max(coupling) = 'tight'
+UNION ALL SELECT 'isolated_module', 'medium', cast(module_id AS VARCHAR) FROM e GROUP BY module_id HAVING count(*) = 1
+UNION ALL SELECT 'missing_description', 'high', 'c' || id FROM h WHERE o_totalprice < 100000
+UNION ALL SELECT 'no_api_surface', 'low', 'c' || id FROM h WHERE o_totalprice > 200000
+UNION ALL SELECT 'no_variant_assignment', 'medium', 'c' || id FROM h WHERE id NOT IN (SELECT id FROM v)
+UNION ALL SELECT 'low_confidence', 'high', 'c' || id FROM h WHERE o_totalprice < 50000
+UNION ALL SELECT 'potential_missing_link', 'low', 'c' || a.id || ':c' || b.id FROM h a JOIN h b ON a.o_custkey = b.o_custkey AND a.id < b.id
+  WHERE a.id IN (SELECT component_id FROM e) AND b.id IN (SELECT component_id FROM e)
+  AND NOT EXISTS (SELECT 1 FROM e x JOIN e y ON x.module_id = y.module_id WHERE x.component_id = a.id AND y.component_id = b.id)""")
 def gap_detection(spark, sf_dir):
-    comp = _graph(spark, sf_dir)
-    empty = spark.createDataFrame([], graph.VARIANT_SCHEMA)
-    return gaps.detect(graph.build_graph(written(comp, "components"), empty)).select("gap_type", "severity", "entity_id")
+    """All eight rules: cheap orders lack a description or were recognised with little confidence, dear ones lack an interface."""
+    base = _graph(spark, sf_dir, orphans=True)
+    price = F.col("o_totalprice")
+    comp = base.withColumn("description", F.when(price < 100000, F.lit("Class x")).otherwise(F.col("description"))).withColumn("api_surface", F.when(price > 200000, F.expr("cast(array() as array<string>)")).otherwise(F.col("api_surface")))
+    comp = written(comp.drop("o_totalprice", "o_custkey"), "components")
+    nations = T.members(spark, sf_dir).filter("variant_id < 20").select(F.col("variant_id").cast("string").alias("variant_id"), F.concat(F.lit("c"), "component_id").alias("component_id"))
+    g = graph.build_graph(comp, spark.createDataFrame([], graph.VARIANT_SCHEMA))
+    variants = nations.select(F.col("variant_id").alias("id")).distinct()
+    parsed = base.select("id", "name", F.concat(F.lit("customer/"), "o_custkey", F.lit("/"), "id").alias("source_file"), F.least(price / 100000, F.lit(1.0)).alias("confidence"), F.col("load_ord").alias("ord"))
+    found = gaps.detect(graph.GraphTables(g.components, g.edges, variants, nations), parsed)
+    return found.select("gap_type", "severity", "entity_id")
+
+
+@query("SELECT o_orderkey AS entity_id, o_totalprice FROM orders WHERE least(o_totalprice / 100000, 1.0) < 0.5")
+def low_confidence(spark, sf_dir):
+    d = read(spark, sf_dir, "orders").withColumn("confidence", F.least(F.col("o_totalprice") / 100000, F.lit(1.0)))
+    return gaps.low_confidence(d).select(F.col("o_orderkey").alias("entity_id"), "o_totalprice")
+
+
+@query("SELECT doc_id FROM documents WHERE len(regexp_extract_all(coalesce(text, ''), '[0-9]{4}')) = 0")
+def no_api_surface(spark, sf_dir):
+    """Numbers of four digits stand for endpoints: documents without any have no interface."""
+    d = read(spark, sf_dir, "documents").withColumn("api_surface", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[0-9]{4}"), F.lit(0)))
+    return gaps.no_api_surface(d).select("doc_id")
 
 
 @query(f"{_E} SELECT 'c' || component_id AS component_id, cast(module_id AS VARCHAR) AS module_id, coupling, mod_ord FROM e")
 def build_graph_edges(spark, sf_dir):
     g = graph.build_graph(_graph(spark, sf_dir), spark.createDataFrame([], graph.VARIANT_SCHEMA))
     return g.edges.select("component_id", "module_id", "coupling", "mod_ord")
+
+
+@query(f"""{_E}
+SELECT 'o' || component_id || '.py' AS path, 'm' || module_id || '.py' AS dep FROM e""")
+def import_graph_first_match(spark, sf_dir):
+    """Orders as files that import their parts, at two depths: each import resolves to the file of the part."""
+    from tremor.operators import ingest
+
+    e = T.edges(spark, sf_dir)
+    users = e.groupBy("component_id").agg(F.flatten(F.collect_list(F.array(F.concat(F.lit("m"), "module_id"), F.concat(F.lit("m"), "module_id", F.lit(".run"))))).alias("imports"))
+    files = users.select(F.concat(F.lit("o"), "component_id", F.lit(".py")).alias("path"), F.col("component_id").alias("ord"), "imports")
+    parts = e.select("module_id").distinct().select(F.concat(F.lit("m"), "module_id", F.lit(".py")).alias("path"), (-F.col("module_id") - 1).alias("ord"), F.expr("cast(array() as array<string>)").alias("imports"))
+    return ingest.import_graph(files.unionByName(parts))
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, length(t) > 10000 OR contains(lower(t), 'license') AS stays FROM d""")
+def guarded_batch(spark, sf_dir):
+    """What the guard would keep from being sent: too long, or with a blocked word."""
+    from tremor.plans.guard import Privacy, guarded_batches
+
+    out = guarded_batches(read(spark, sf_dir, "documents").select("doc_id", "text"), Privacy(blocked=("License",)))
+    return out.select("doc_id", (~F.col("sent")).alias("stays"))
+
+
+@query("SELECT (count(*) + 99) // 100 AS embedding_calls, (count(*) + 9) // 10 AS suggestion_calls FROM documents")
+def batch_plan(spark, sf_dir):
+    n = read(spark, sf_dir, "documents").count()
+    p = cost.Prices()
+    return spark.createDataFrame([(-(-n // p.embedding_batch), cost.suggestion_cost(n, 1)["calls"])], "embedding_calls long, suggestion_calls long")
+
+
+@query(f"WITH {_STORE} SELECT vec_id, round(d, 9) AS distance FROM s WHERE label = 1 ORDER BY d, vec_id LIMIT 7")
+def search_modules(spark, sf_dir):
+    """Rows of one label stand for documents about the use of a module."""
+    store = _store(spark, sf_dir).withColumn("doc_type", F.when(F.col("label") == 1, "module_usage").otherwise("description"))
+    return retrieve.search_modules(store, QUERY, 7, id_col="vec_id").select("vec_id", _r("distance").alias("distance"))
