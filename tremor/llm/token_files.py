@@ -1,11 +1,11 @@
 """Token-id files: raw id payloads, and a minimal perfect hash from document keys to their place.
 
-A shard is two files. ``ids-NNNNN.bin``: the ids of its documents, unsigned little-endian, in 16 bits where the vocabulary has
-at most 65,536 ids and else in 32, one document after the other in ascending order of doc_id. ``ids-NNNNN.npz``: the keys in that order, the perfect hash with fingerprints, and by
-hash place the start in the payload and the count. A key is (doc_id, how many rows with this id came before); so a lookup
-costs one hash walk and one ranged read, whatever the number of documents. ``manifest`` lists the shards, their first keys
-and the ids before them. Shards are written under a name of the task's attempt and renamed, so a task that is run again
-leaves the same files.
+A shard is two files. ``ids-NAME.bin``: the ids of its documents, unsigned little-endian, in 16 bits where the vocabulary has
+at most 65,536 ids and else in 32, one document after the other in ascending order of doc_id. ``ids-NAME.npz``: the keys in that order, the perfect hash with fingerprints, and by
+hash place the start in the payload and the count. A key is (doc_id, how many rows with this id came before); so once the index
+of a shard is loaded, a lookup costs one hash walk and one ranged read, whatever the number of documents. ``manifest`` lists the shards,
+their names, first keys and the ids before them. A name has the attempt of the task in it, and the manifest has that of the
+attempt that Spark committed: both files of a shard count at once, and what another attempt left is never read.
 
 Defined results: a null or empty text is the end id alone; null ids come first; repeated rows are kept, ordered by their
 text; further columns are ignored; an empty table gives a manifest without shards.
@@ -17,6 +17,7 @@ import bisect
 import io
 import uuid
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +26,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.sources.shared import shared_dir
+from tremor.sources.shared import qualified, shared_dir
 
 from .common import table, written
 from .perfect_hash import PerfectHash
 from .tokens import END_ID, VOCABULARY, encoder
 
 _NULL = np.uint64(1 << 63)
-_MANIFEST = "shard long, n_docs long, n_ids long, first_id long, first_null boolean"
+_MANIFEST = "shard long, name string, n_docs long, n_ids long, first_id long, first_null boolean"
 
 
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -48,7 +49,11 @@ def _parts(ids: np.ndarray, nulls: np.ndarray, nth: np.ndarray) -> tuple[np.ndar
 
 
 def write_tokens(docs: DataFrame, uri: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Writes the shards below ``uri`` and returns the manifest, with ``base``: the ids in all shards before."""
+    """Writes the shards below ``uri`` and returns the manifest, with ``base``: the ids in all shards before.
+
+    A path without a scheme is on the file system that Spark uses.
+    """
+    uri = qualified(docs.sparkSession, uri)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -56,7 +61,8 @@ def write_tokens(docs: DataFrame, uri: str, vocabulary: str = VOCABULARY) -> Dat
         task = TaskContext.get()
         shard, (fs, root) = task.partitionId(), _fs(uri)
         fs.create_dir(root, recursive=True)
-        name, own = f"{root}/ids-{shard:05d}", f"{root}/tmp-{shard:05d}-{task.taskAttemptId()}"
+        name = f"{shard:05d}-{task.taskAttemptId()}"
+        own = f"{root}/ids-{name}"
         enc = encoder(vocabulary)
         kind = _kind(enc.n_ids)
         end = np.array([END_ID], kind).tobytes()
@@ -83,10 +89,8 @@ def write_tokens(docs: DataFrame, uri: str, vocabulary: str = VOCABULARY) -> Dat
         np.savez(buffer, kind=np.array(kind), ids=ids, nulls=nulls, nth=nth, start=start, count=count, **mph.arrays())
         with fs.open_output_stream(f"{own}.npz") as out:
             out.write(buffer.getvalue())
-        for kind in ("bin", "npz"):
-            fs.move(f"{own}.{kind}", f"{name}.{kind}")
-        row = [[shard], [len(n)], [int(n.sum())], [int(ids[0])], [bool(nulls[0])]]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [*[pa.int64()] * 4, pa.bool_()], strict=True)], names=["shard", "n_docs", "n_ids", "first_id", "first_null"])
+        row = [[shard], [name], [len(n)], [int(n.sum())], [int(ids[0])], [bool(nulls[0])]]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [pa.int64(), pa.string(), *[pa.int64()] * 3, pa.bool_()], strict=True)], names=["shard", "name", "n_docs", "n_ids", "first_id", "first_null"])
 
     # The second and third keys only part rows with one id, so that no id (null, say) has to fit one shard.
     by = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("text")]
@@ -103,10 +107,10 @@ def write_tokens(docs: DataFrame, uri: str, vocabulary: str = VOCABULARY) -> Dat
 
 
 class Shard:
-    def __init__(self, uri: str, shard: int):
+    def __init__(self, uri: str, name: str):
         self.fs, root = _fs(uri)
-        self.payload = f"{root}/ids-{shard:05d}.bin"
-        with self.fs.open_input_file(f"{root}/ids-{shard:05d}.npz") as f:
+        self.payload = f"{root}/ids-{name}.bin"
+        with self.fs.open_input_file(f"{root}/ids-{name}.npz") as f:
             self.index = dict(np.load(io.BytesIO(f.read())))
         self.kind = np.dtype(str(self.index["kind"]))
         self.hash = PerfectHash.of({k: v for k, v in self.index.items() if k == "marks" or k.startswith(("bits", "before"))})
@@ -116,26 +120,34 @@ class Shard:
         place = self.hash.find(*_parts(ids, nulls, nth))
         return np.where(place < 0, -1, self.index["start"][place]), np.where(place < 0, 0, self.index["count"][place])
 
-
     def read(self, payload: pa.NativeFile, start: int, count: int) -> np.ndarray:
         payload.seek(start * self.kind.itemsize)
         return np.frombuffer(payload.read(count * self.kind.itemsize), self.kind).astype("<u4")
 
 
 class TokenReader:
-    """Keyed access for one process: constant time a key, and only the shards that are asked for are opened."""
+    """Keyed access for one process: constant time a key, and only the shards that are asked for are opened; the last ``most`` stay open.
 
-    def __init__(self, uri: str, manifest: list):
-        self.uri, self.rows = uri, sorted(manifest, key=lambda r: r.shard)
+    ``uri`` has a scheme, or is a local path.
+    """
+
+    def __init__(self, uri: str, manifest: list, most: int = 16):
+        self.uri, self.most, self.rows = uri, most, sorted(manifest, key=lambda r: r.shard)
         self.firsts = [(not r.first_null, 0 if r.first_null else r.first_id) for r in self.rows]
-        self.open: dict[int, Shard] = {}
+        self.open: OrderedDict[str, Shard] = OrderedDict()
+
+    def _shard(self, name: str) -> Shard:
+        s = self.open.pop(name, None) or Shard(self.uri, name)
+        self.open[name] = s
+        if len(self.open) > self.most:
+            self.open.popitem(last=False)
+        return s
 
     def get(self, doc_id: int | None, nth: int = 0) -> np.ndarray | None:
         """The ids of the first row with this key (``nth``: of a later one in the same shard), or None."""
         key = (doc_id is not None, doc_id or 0)
         for k in range(max(0, bisect.bisect_left(self.firsts, key) - 1), bisect.bisect_right(self.firsts, key)):
-            shard = self.rows[k].shard
-            s = self.open.get(shard) or self.open.setdefault(shard, Shard(self.uri, shard))
+            s = self._shard(self.rows[k].name)
             start, count = s.find(np.array([doc_id or 0]), np.array([doc_id is None]), np.array([nth]))
             if start[0] >= 0:
                 with s.fs.open_input_file(s.payload) as f:
@@ -148,8 +160,8 @@ def read_tokens(manifest: DataFrame, uri: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, base in zip(b.column("shard").to_pylist(), b.column("base").to_pylist(), strict=True):
-                s = Shard(uri, shard)
+            for name, base in zip(b.column("name").to_pylist(), b.column("base").to_pylist(), strict=True):
+                s = Shard(uri, name)
                 ids, nulls = s.index["ids"], s.index["nulls"]
                 start, count = s.find(ids, nulls, s.index["nth"])
                 with s.fs.open_input_file(s.payload) as f:
@@ -163,8 +175,9 @@ def read_tokens(manifest: DataFrame, uri: str) -> DataFrame:
                             names=["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
 
+    uri = qualified(manifest.sparkSession, uri)
     n = max(1, manifest.count())
-    dealt = manifest.select("shard", "base").repartition(n, "shard")
+    dealt = manifest.select("name", "base").repartition(n, "name")
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
