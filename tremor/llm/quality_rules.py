@@ -11,6 +11,7 @@ give repeated ledger rows; further columns are ignored; an empty table gives an
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,8 +65,8 @@ def measure(docs: DataFrame) -> DataFrame:
         "doc_id",
         "w",
         F.size("w").cast("long").alias("n_words"),
-        _count(F.col("t"), r"[\x20\x09-\x0D]+").alias("word_chars"),
-        _count(F.col("t"), r"[^#*$%&|<>]+").alias("n_symbols"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        (F.length("t") - F.length(reduce(lambda t, x: F.replace(t, F.lit(x), F.lit("")), SYMBOLS, F.col("t")))).cast("long").alias("n_symbols"),
         _count(F.col("t"), r"[^A-ZÀ-ÖØ-Þ]+").alias("n_upper"),
         F.filter("all_lines", lambda x: F.btrim(x, F.lit(WS)) != "").alias("lines"),
         F.size(F.filter("w", lambda x: x.endswith("!"))).cast("long").alias("n_exclaimed"),
