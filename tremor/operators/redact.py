@@ -6,6 +6,9 @@ in order, each on what the one before has left.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,14 @@ PII = [
     ("ip_address", r"(?U)\b(?:\d{1,3}\.){3}\d{1,3}\b"),
 ]
 FILE_PATH = ("file_path", r"(?U)(?:/(?:home|Users|var|etc|opt|srv|usr|tmp)/[^\s:;,\"']+)|(?:[A-Z]:\\[^\s:;,\"']+)")
+#: What a text must contain for a pattern to match at all, any of them: a search for a literal is far cheaper than one for a pattern.
+#: Literals without a case, or in the case that the pattern asks for.
+IMPLIED = {
+    SECRETS[0][1]: ("AKIA", "ASIA"), SECRETS[1][1]: ("=", ":"), SECRETS[2][1]: ('"private_key"',), SECRETS[3][1]: ("AccountKey", "SharedAccessKey"),
+    SECRETS[4][1]: ("ghp_", "ghs_"), SECRETS[5][1]: ("github_pat_",), SECRETS[6][1]: ("Bearer",), SECRETS[7][1]: ("=", ":"), SECRETS[8][1]: ("sk-",),
+    SECRETS[9][1]: ("xox",), SECRETS[10][1]: ("eyJ",), SECRETS[11][1]: ("-----BEGIN",), SECRETS[12][1]: ("=", ":"), SECRETS[13][1]: ("://",), SECRETS[14][1]: ("=",),
+    PII[0][1]: ("@",), PII[2][1]: ("-",), PII[3][1]: (".",), FILE_PATH[1]: ("/", ":\\"),
+}
 SOURCE_CODE = [
     r"(?mU)^\s*def \w+\(.*\):\s*$",
     r"(?mU)^\s*class \w+.*:\s*$",
@@ -61,6 +72,13 @@ def patterns(level: str = "strict", allow_ips: bool = False, allow_paths: bool =
 _EVENTS = "array<struct<category:string,original_length:int,replacement:string>>"
 
 
+def _has(text: Column, pattern: str) -> Column:
+    out = text.rlike(pattern)
+    if literals := IMPLIED.get(pattern):
+        out = reduce(or_, [F.contains(text, F.lit(x)) for x in literals]) & out
+    return out
+
+
 def _placeholder(category: str):
     return lambda m: F.concat(F.lit(f"[REDACTED:{category}:"), F.substring(F.sha2(m, 256), 1, 8), F.lit("]"))
 
@@ -80,7 +98,7 @@ def redact(df: DataFrame, text: str = "text", level: str = "strict", to: str = "
     out = df.withColumn(to, F.coalesce(F.col(text), F.lit("")))
     events = []
     for i, (category, pattern) in enumerate(patterns(level, **gates)):
-        has, hits = F.col(to).rlike(pattern), F.regexp_extract_all(F.col(to), F.lit(pattern), F.lit(0))
+        has, hits = _has(F.col(to), pattern), F.regexp_extract_all(F.col(to), F.lit(pattern), F.lit(0))
         placed = F.transform(hits, _placeholder(category))
         strung = F.array_join(F.zip_with(F.split(F.col(to), pattern, -1), placed, lambda g, r: F.concat(g, F.coalesce(r, F.lit("")))), "")
         events.append(f"_e{i}")
@@ -96,12 +114,9 @@ def redact(df: DataFrame, text: str = "text", level: str = "strict", to: str = "
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """Findings on the text as it is, secrets and personal data: category and the first 20 characters, one row each."""
-    found = F.concat(
-        *(
-            F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(p), F.lit(0)), _finding(c))
-            for c, p in SECRETS + PII
-        )
-    )
+    t = F.coalesce(F.col(text), F.lit(""))
+    none = F.expr("cast(array() as array<struct<category:string,preview:string>>)")
+    found = F.concat(*(F.when(_has(t, p), F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(0)), _finding(c))).otherwise(none) for c, p in SECRETS + PII))
     return df.withColumn("_f", F.explode(found)).select(*df.columns, "_f.category", "_f.preview")
 
 
