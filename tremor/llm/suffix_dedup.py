@@ -15,9 +15,9 @@ logarithmic number of times. Copies of a context collapse before any shuffle. A
 new batches later.
 
 Extension: a context seen twice repeats at every start. Where an anchor stands in several contexts, the text of one sample
-of each meet by anchor, and their strings are sorted by fingerprint to find the starts that repeat; anchors with more than
-``MOST`` contexts send single strings instead, counted by Spark, so no task collects a hot anchor. Joins by anchor and by string
-are salted by ``SALTS``.
+of each meet by anchor, and their strings are sorted by fingerprint to find the starts that repeat. Anchors with more than
+``MOST`` contexts are dealt into tiles; each tile finds its own repeats and sends its distinct fingerprints, by ranges, to meet those of the
+other tiles, so no task collects a hot anchor. Joins by anchor are salted by ``SALTS``.
 
 Fingerprints have 128 bits in effect (anchor and context, or anchor and string). Defined results: null texts are empty; texts
 under ``length`` bytes keep all; repeated rows, with null ids too, are copies of each other, and count as other documents; further
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import forget, forget_path, release, table, written, written_path
 
 BATCHES = 2
-MOST = 8192
+MOST = 512
 SALTS = 4
 _CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
@@ -262,7 +262,7 @@ class SuffixFamily:
 
 _FOUND = "key long, ctx long, runs array<struct<lo:long,hi:long>>"
 _RUNS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-_SAMPLE = "key long, ctx long, data binary, wide boolean, unit byte, owner long"
+_SAMPLE = "key long, ctx long, data binary, tiles int, unit byte, owner long"
 
 
 def _samples(docs: DataFrame, hits: DataFrame, most: int) -> DataFrame:
@@ -271,7 +271,7 @@ def _samples(docs: DataFrame, hits: DataFrame, most: int) -> DataFrame:
     several = hits.filter("c > 1").groupBy("key", "ctx").agg(*(F.first(c).alias(c) for c in ("doc_id", "h", "place", "n", "c")))
     # A context seen in one document belongs to that document, one seen in several to none.
     owner = F.when(F.col("n") > 1, F.xxhash64(F.lit("many"), "key", "ctx")).otherwise(F.xxhash64("doc_id", "h"))
-    cols = [F.col("key"), F.col("ctx"), F.expr(START).alias("start"), F.expr(COUNT).alias("count"), (F.col("c") > most).alias("wide"), F.expr(UNIT).alias("unit"), owner.alias("owner")]
+    cols = [F.col("key"), F.col("ctx"), F.expr(START).alias("start"), F.expr(COUNT).alias("count"), F.ceil(F.col("c") / F.lit(most)).cast("int").alias("tiles"), F.expr(UNIT).alias("unit"), owner.alias("owner")]
     here = several.groupBy("doc_id", "h").agg(F.collect_list(F.struct(*cols)).alias("at")).hint("merge")
     there = docs.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), "text")
     texts = here.join(there, F.expr("h = h2 and doc_id <=> d2")).select("text", "at")
@@ -286,8 +286,8 @@ def _samples(docs: DataFrame, hits: DataFrame, most: int) -> DataFrame:
                     raw = {k: units[k].raw(text.as_py(), known) for k in {x["unit"] for x in at}}
                     for x in at:
                         u = units[x["unit"]]
-                        rows.append((x["key"], x["ctx"], raw[x["unit"]][x["start"] * u.width : (x["start"] + x["count"] + u.length - 1) * u.width], x["wide"], x["unit"], x["owner"]))
-                types = (pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int8(), pa.int64())
+                        rows.append((x["key"], x["ctx"], raw[x["unit"]][x["start"] * u.width : (x["start"] + x["count"] + u.length - 1) * u.width], x["tiles"], x["unit"], x["owner"]))
+                types = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int8(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[c.split()[0] for c in _SAMPLE.split(", ")])
 
     return texts.mapInArrow(cut, _SAMPLE)
@@ -295,7 +295,6 @@ def _samples(docs: DataFrame, hits: DataFrame, most: int) -> DataFrame:
 
 def _partly(samples: DataFrame) -> DataFrame:
     """The runs of starts, from the first of the context, that repeat."""
-    units = {u.number: u for u in UNITS}
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -318,22 +317,83 @@ def _partly(samples: DataFrame) -> DataFrame:
         if held:
             yield from done(held)
 
-    met = samples.filter("not wide").select("key", "ctx", "data", "unit", "owner").repartition("key").sortWithinPartitions("key", "ctx").mapInArrow(meet, _FOUND)
+    met = samples.filter("tiles = 1").select("key", "ctx", "data", "unit", "owner").repartition("key").sortWithinPartitions("key", "ctx").mapInArrow(meet, _FOUND)
 
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for key, ctx, data, unit, of in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                u = units[unit]
-                h = grams(u.values(data), u.length).view(np.int64)
-                o = np.full(len(h), of) if u.across else h * 0 + ctx + np.arange(len(h))
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(h)), pa.array([ctx] * len(h)), pa.array(np.arange(len(h))), pa.array(h), pa.array(o)], names=["key", "ctx", "i", "s", "o"])
-
-    strings = samples.filter("wide").select("key", "ctx", "data", "unit", "owner").mapInArrow(single, "key long, ctx long, i long, s long, o long")
-    twice = strings.groupBy("key", "s").agg(F.min("o").alias("o1"), F.max("o").alias("o2")).filter("o1 <> o2").select("key", "s")
-    twice = twice.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
-    alone = strings.withColumn("g", F.pmod("ctx", F.lit(SALTS)).cast("int")).join(twice, ["key", "s", "g"], "left_semi").groupBy("key", "ctx")
-    runs = alone.agg(F.transform(F.collect_set("i"), lambda i: F.struct(i.alias("lo"), (i + 1).alias("hi"))).alias("runs"))
-    return met.unionByName(runs)
+    return met.unionByName(_in_tiles(samples.filter("tiles > 1").withColumn("tile", F.pmod("ctx", "tiles").cast("int"))))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[tuple]]:
+    """Rows of sorted batches, grouped by their first ``n`` columns."""
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and held[-1][:n] != row[:n]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _distinct(h: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values of ``h``, the least owner of each, and whether it has several."""
+    order = np.lexsort((o, h))
+    h, o = h[order], o[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    last = np.append(first[1:], len(h)) - 1
+    return h[first], o[first], o[first] != o[last]
+
+
+def _in_tiles(samples: DataFrame) -> DataFrame:
+    """As ``_partly``, for anchors whose contexts do not fit one task."""
+    units = {u.number: u for u in UNITS}
+
+    def once(rows: list[tuple], at: int) -> list[tuple]:
+        return [r for i, r in enumerate(rows) if not i or r[at] != rows[i - 1][at]]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 2):
+            (key, tile, _, _, tiles, number, _), u = rows[0], units[rows[0][5]]
+            rows = once(rows, 2)
+            parts = [grams(u.values(r[3]), u.length) for r in rows]
+            h = np.concatenate(parts)
+            # numbers that no other tile uses stand for starts, and for strings of several owners
+            own = (np.arange(len(h)) << 24) + tile
+            o = np.repeat(np.array([r[6] for r in rows]), [len(x) for x in parts]) if u.across else own
+            h, o, many = _distinct(h, o)
+            o = np.where(many, own[: len(h)], o)
+            part = (h >> np.uint64(40)).astype(np.int64) % tiles
+            for p in np.unique(part).tolist():
+                mine = part == p
+                yield pa.RecordBatch.from_pydict({"key": pa.array([key]), "part": pa.array([p]), "tile": pa.array([tile]), "s": pa.array([h[mine].tobytes()]), "o": pa.array([o[mine].tobytes()])})
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 2):
+            of = np.repeat(np.arange(len(rows)), [len(r[3]) // 8 for r in rows])
+            h = np.frombuffer(b"".join(r[3] for r in rows), np.uint64)
+            values, _, many = _distinct(h, np.frombuffer(b"".join(r[4] for r in rows), np.int64))
+            hit = many[np.searchsorted(values, h)]
+            for k in np.unique(of[hit]).tolist():
+                yield pa.RecordBatch.from_pydict({"key": pa.array([rows[k][0]]), "tile": pa.array([rows[k][2]], pa.int32()), "s": pa.array([h[hit & (of == k)].tobytes()])})
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 2):
+            told = np.frombuffer(b"".join(r[4] for r in rows if r[2] is None), np.uint64)
+            rows = once([r for r in rows if r[2] is not None], 2)
+            u = units[rows[0][3]]
+            found = repeated_starts([r[4] for r in rows], np.zeros(len(rows), np.int64), np.array([r[5] for r in rows]), u)
+            found = [f | np.isin(grams(u.values(r[4]), u.length), told) for r, f in zip(rows, found, strict=True)]
+            kept = [(r[0], r[2], [{"lo": lo, "hi": hi} for lo, hi in intervals(f)]) for r, f in zip(rows, found, strict=True) if f.any()]
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], t) for i, t in enumerate((pa.int64(), pa.int64(), _RUNS))], names=["key", "ctx", "runs"])
+
+    dealt = samples.select("key", "tile", "ctx", "data", "tiles", "unit", "owner").repartition("key", "tile").sortWithinPartitions("key", "tile", "ctx")
+    strings = dealt.mapInArrow(spread, "key long, part long, tile long, s binary, o binary")
+    told = strings.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(across, "key long, tile int, s binary")
+    none = F.lit(None)
+    both = samples.select("key", "tile", "ctx", "unit", "data", "owner").unionByName(
+        told.select("key", "tile", none.cast("long").alias("ctx"), none.cast("byte").alias("unit"), F.col("s").alias("data"), none.cast("long").alias("owner"))
+    )
+    return both.repartition("key", "tile").sortWithinPartitions("key", "tile", F.asc_nulls_first("ctx")).mapInArrow(finish, _FOUND)
 
 
 def _union(runs: list[dict], length: int) -> list[tuple[int, int]]:
