@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_secret_scan": secret_scan.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }

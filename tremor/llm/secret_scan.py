@@ -159,3 +159,48 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secret_spans(table(spark, sf_dir, "documents"))
     n = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     return rows.select("doc_id", *(n(k).alias(f"n_{name}") for k, (name, *_) in enumerate(BASE)), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def _found_sql(name: str, pattern: str) -> str:
+    """A table of all matches: doc_id, s, e, m, places being running sums of the lengths of gaps and matches."""
+    p = pattern.replace("'", "''")
+    return f"""{name} AS (SELECT r, doc_id, i, ms[i] AS m, cast(list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+  FROM (SELECT r, doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT r, doc_id, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gs FROM d)))"""
+
+
+# The same in another way: candidates are whole runs of the wide alphabet with the equal signs after them, tested as a whole; no look-around is
+# needed then. What may not follow a letter pair in a name is spelled out likewise.
+_ALLOWED_SQL = """(regexp_matches(x, '(?i)example|sample|placeholder|changeme|your[_-]') OR regexp_matches(x, '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$') OR regexp_matches(x, '(?i)abcdefgh|01234567|qwertyui')
+  OR (regexp_matches(x, '^(?:[A-Za-z0-9_.-]+/){2,}[A-Za-z0-9_.-]*$') AND NOT regexp_matches(x, '[0-9][A-Za-z]|[a-z][A-Z](?:$|[^a-z]|[a-z](?:$|[^a-z]))|[A-Z][a-z](?:$|[^A-Za-z]|[A-Z](?:$|[^a-z]|[a-z](?:$|[^a-z])))|[0-9]{5}')))"""
+_CANDIDATES_SQL = [
+    "SELECT r, doc_id, s, 3 AS k, body AS x FROM runs WHERE regexp_full_match(body, '[0-9A-F]{24,}') AND regexp_matches(body, '[0-9]') AND regexp_matches(body, '[A-F]')",
+    "SELECT r, doc_id, s, 4, body || repeat('=', least(q, 2)) FROM runs WHERE length(body) >= 20 AND regexp_matches(body, '[0-9]') AND regexp_matches(body, '[a-z]') AND regexp_matches(body, '[A-Z]')",
+    "SELECT r, doc_id, s, 5, body || repeat('=', q) FROM runs WHERE q <= 6 AND NOT (q > 0 AND after) AND regexp_full_match(body, '[A-Z2-7]{24,}') AND regexp_matches(body, '[2-7]') AND regexp_matches(body, '[G-Z]')",
+    "SELECT r, doc_id, s, 6, body FROM runs WHERE regexp_full_match(body, '[a-z0-9]{20,}') AND regexp_matches(body, '[0-9]') AND regexp_matches(body, '[g-z]')",
+]
+_NAMES_SQL = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+_LIMITS_SQL = ", ".join(f"({3 + i}, {c.width}, {c.bits})" for i, c in enumerate(CLASSES))
+_JOIN_SQL = f"string_agg(({_NAMES_SQL})[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k)"
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+{_found_sql("f_assign", ASSIGN)},
+{_found_sql("f_access", BASE[1][1])},
+{_found_sql("f_hex", BASE[2][1])},
+{_found_sql("f_run", "[A-Za-z0-9+/_-]+=*")},
+base AS (
+  SELECT r, doc_id, s, 0 AS k, s + length(m) AS e FROM f_assign WHERE length(regexp_extract(m, '{ASSIGN.replace("'", "''")}', 2)) >= 12
+  UNION ALL SELECT r, doc_id, s, 1, s + length(m) FROM f_access WHERE length(m) >= 18
+  UNION ALL SELECT r, doc_id, s, 2, s + length(m) FROM f_hex WHERE length(m) >= 16),
+runs AS (SELECT f.r, f.doc_id, s, rtrim(m, '=') AS body, length(m) - length(rtrim(m, '=')) AS q, regexp_matches(substr(t, s + length(m) + 1, 1), '[A-Za-z0-9+/_-]') AS after
+  FROM f_run f JOIN d ON d.r = f.r WHERE length(m) >= 20),
+candidates AS ({" UNION ALL ".join(_CANDIDATES_SQL)}),
+limits(k, w, bits) AS (VALUES {_LIMITS_SQL}),
+more AS (SELECT r, doc_id, s, c.k, s + length(x) AS e FROM candidates c JOIN limits l ON l.k = c.k
+  WHERE NOT {_ALLOWED_SQL} AND length(x) >= w
+  AND list_max(list_transform(range(1, length(x) - w + 2), lambda i: list_aggregate(string_split(substr(x, i, w), ''), 'entropy'))) >= bits),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM more WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = more.r AND b.s <= more.s AND more.e <= b.e)),
+b AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, {_JOIN_SQL} AS spans FROM base GROUP BY r),
+a AS (SELECT r, {_JOIN_SQL} AS spans FROM every GROUP BY r)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(a.spans, '') AS spans
+FROM d LEFT JOIN b ON b.r = d.r LEFT JOIN a ON a.r = d.r
+"""
