@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,11 +56,31 @@ def grams_of(word: str, order: int) -> list[str]:
     return [w[i : i + order] for i in range(len(w) - order + 1)] if order > 1 else list(word)
 
 
+class Entries:
+    """Words or n-grams as sorted hashes, with the row of each: a few bytes an entry in every task."""
+
+    def __init__(self, texts: list[str], base: int):
+        h = np.fromiter((xxhash.xxh64_intdigest(t) for t in texts), np.uint64, len(texts))
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.rows = h[order], (order + base).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, texts: list[str]) -> np.ndarray:
+        """The rows of those that are known."""
+        if not texts or not len(self):
+            return np.empty(0, np.int32)
+        h = np.fromiter((xxhash.xxh64_intdigest(t) for t in texts), np.uint64, len(texts))
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self) - 1)
+        return self.rows[at[self.hashes[at] == h]]
+
+
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[str, int]
-    grams: list[dict[str, int]]  # by ORDERS
+    words: Entries
+    grams: list[Entries]  # by ORDERS
     rows: np.ndarray  # log probabilities, a column for each language
 
 
@@ -109,36 +130,50 @@ def fit(docs: DataFrame, sample_rows: int = 20_000, max_words: int = 200_000, ma
         by = df.groupBy("o", "word").agg(F.sum("n").alias("total"), F.collect_list("lang").alias("langs"), F.collect_list("n").alias("ns"))
         return by.filter("total >= 2").orderBy(F.desc("total"), "o", "word").limit(limit).drop("total").toArrow()
 
-    model = Model(langs, {}, [{} for _ in ORDERS], np.zeros((0, len(langs))))
-    rows = []
-    for got in (most(words, max_words), most(grams, max_grams)) if langs else ():
-        base = sum(map(len, rows))
+    found = [most(words, max_words), most(grams, max_grams)] if langs else []
+    rows, texts, base = [], {o: ([], 0) for o in (0, *ORDERS)}, 0
+    for got in found:
         order = got.column("o").to_numpy()
-        for i, (o, word) in enumerate(zip(order.tolist(), got.column("word").to_pylist(), strict=True)):
-            (model.words if o == 0 else model.grams[ORDERS.index(o)])[word] = base + i
         n = np.zeros((got.num_rows, len(langs)))
         each = got.column("langs").combine_chunks()
         of = np.repeat(np.arange(got.num_rows), pa.compute.list_value_length(each).to_numpy(zero_copy_only=False))
         n[of, [at[lang] for lang in each.flatten().to_pylist()]] = got.column("ns").combine_chunks().flatten().to_numpy()
-        rows.append(np.log((n + _SMOOTH) / (totals[order] + 1)))
-    if rows:
-        model.rows = np.concatenate(rows)
-    return model
+        # by order, so that the entries of one follow each other
+        by = np.argsort(order, kind="stable")
+        rows.append(np.log((n + _SMOOTH) / (totals[order] + 1))[by])
+        names = got.column("word").take(pa.array(by)).to_pylist()
+        for o in np.unique(order).tolist():
+            lo, hi = np.searchsorted(order[by], [o, o + 1])
+            texts[o] = (names[lo:hi], base + int(lo))
+        base += got.num_rows
+    every = np.concatenate(rows) if rows else np.zeros((0, len(langs)))
+    return Model(langs, Entries(*texts[0]), [Entries(*texts[o]) for o in ORDERS], every)
 
 
 class Scorer:
+    """Scores texts; rows of words are remembered, those of unknown ones in a room of ``_ROOM`` rows."""
+
     def __init__(self, model: Model):
         self.m, self.n = model, len(model.rows)
         self.rows = np.concatenate([model.rows, np.zeros((_ROOM, len(model.langs)))])
-        self.at = dict(model.words)
+        self.at: dict[str, int] = {}
         self.next = self.n
 
-    def _unseen(self, word: str) -> int:
-        if self.next == len(self.rows):
-            self.at, self.next = dict(self.m.words), self.n
+    def full(self) -> bool:
+        return self.next == len(self.rows) or len(self.at) >= 2 * _ROOM
+
+    def forget(self) -> None:
+        self.at, self.next = {}, self.n
+
+    def _learn(self, word: str) -> int:
+        known = self.m.words.find([word])
+        if len(known):
+            self.at[word] = int(known[0])
+            return int(known[0])
         v = 0.0
-        for order, known in zip(ORDERS, self.m.grams, strict=True):
-            if hit := [known[g] for g in grams_of(word, order) if g in known]:
+        for order, entries in zip(ORDERS, self.m.grams, strict=True):
+            hit = entries.find(grams_of(word, order))
+            if len(hit):
                 v = self.m.rows[hit].mean(0)
                 break
         self.rows[self.next] = v
@@ -156,12 +191,17 @@ class Scorer:
             idx = list(map(self.at.get, part))
             for k, i in enumerate(idx):
                 if i is None:
-                    # a full room starts anew, so what stands for earlier words is added first
-                    if self.next == len(self.rows):
-                        total += self.rows[[j for j in idx[:k] if j is not None]].sum(0)
-                        idx[:k] = [-1] * k
-                    at = self.at.get(part[k])
-                    idx[k] = self._unseen(part[k]) if at is None else at
+                    if (i := self.at.get(part[k])) is None:
+                        if self.full():
+                            # what stands for earlier words is added before the room is emptied, and later ones are asked for again
+                            total += self.rows[[j for j in idx[:k] if j >= 0]].sum(0)
+                            self.forget()
+                            idx = [-1] * k + [None] * (len(idx) - k)
+                        i = self._learn(part[k])
+                    idx[k] = i
+                elif i >= self.n and self.at.get(part[k]) != i:
+                    # its place was given away when the room was emptied
+                    idx[k] = self._learn(part[k]) if part[k] not in self.at else self.at[part[k]]
             total += self.rows[[j for j in idx if j >= 0]].sum(0)
         p = np.exp(total - total.max())
         best = int(total.argmax())

@@ -56,13 +56,17 @@ def fingerprints(docs: DataFrame, width: int = 3, also: tuple[str, ...] = ()) ->
     """doc_id, fp (as a signed 64-bit integer), n_words, words_hash (of all words in order), and the long columns ``also``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t.as_py() for t in b.column(1)]
-            fp = np.array([simhash(t, width) for t in texts], np.uint64).view(np.int64)
-            words = [t.encode().lower().split() if t else [] for t in texts]
-            n = pa.array([len(w) for w in words], pa.int64())
-            whole = pa.array(np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in words], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), n, whole, *(b.column(c) for c in also)], names=["doc_id", "fp", "n_words", "words_hash", *also])
+        for whole in batches:
+            for b in (whole.slice(lo, 512) for lo in range(0, whole.num_rows, 512)):
+                fps, n, hashes = [], [], []
+                for t in b.column(1):
+                    text = t.as_py()
+                    words = text.encode().lower().split() if text else []
+                    fps.append(simhash(text, width))
+                    n.append(len(words))
+                    hashes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
+                columns = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *columns, *(b.column(c) for c in also)], names=["doc_id", "fp", "n_words", "words_hash", *also])
 
     schema = ", ".join(["doc_id long, fp long, n_words long, words_hash long", *(f"{c} long" for c in also)])
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *also).mapInArrow(run, schema)
