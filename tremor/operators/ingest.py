@@ -43,13 +43,13 @@ def class_components(parsed: DataFrame, min_methods: int, private: bool, confide
 def boundary_components(bounds: DataFrame, parsed: DataFrame) -> DataFrame:
     lead = parsed.filter("docstring <> ''").select("docstring", "ord", F.explode(_above(F.col("path"))).alias("root_dir"))
     lead = lead.groupBy("root_dir").agg(F.min_by("docstring", "ord").alias("doc"))
-    # the place of a boundary is its folder in path order; boundaries of one tree are few
-    b = bounds.join(lead, "root_dir", "left").withColumn("place", F.row_number().over(Window.orderBy("root_dir")))
+    # the place of a boundary is its folder
+    b = bounds.join(lead, "root_dir", "left")
     ident = snake_case(slug(F.col("name")))
     return b.select(
         ident.alias("id"), title_case(ident).alias("name"), F.coalesce(_doc_line(F.col("doc")), F.concat(F.lit("Service: "), "name")).alias("description"),
         F.when(F.col("root_dir") == "", ".").otherwise(F.col("root_dir")).alias("source_file"), F.lit("python").alias("language"), F.lit(CONFIDENCE["boundary"]).alias("confidence"),
-        F.expr(_EMPTY).alias("classes"), F.expr(_EMPTY).alias("api_surface"), F.lit(0).alias("phase"), F.struct(F.col("place").alias("ord"), F.lit(0).alias("pos")).alias("ord"),
+        F.expr(_EMPTY).alias("classes"), F.expr(_EMPTY).alias("api_surface"), F.lit(0).alias("phase"), F.struct(F.col("root_dir").alias("ord"), F.lit(0).alias("pos")).alias("ord"),
     )
 
 
