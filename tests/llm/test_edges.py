@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tremor.llm import line_dedup, near_copies, packing, quality_rules, secret_scan, simhash, token_files, toxicity
+from tremor.llm import language_id, line_dedup, near_copies, packing, quality_rules, secret_scan, simhash, token_files, toxicity
 from tremor.llm.tokens import Encoder
 from tremor.operators.components import connected_components
 
@@ -155,3 +155,26 @@ def test_pipeline_edges(spark, tmp_path):
         assert len(kept) == (32 if data else 0)
         placed = corpus_pipeline.run(spark, at)
         assert sum(r.length for r in placed.collect()) == sum(len(Encoder("byte_bpe_50k.json", 100).encode(r.text)) + 1 for r in kept)
+
+
+def test_language_room(spark, monkeypatch):
+    """Words that are forgotten and asked for again score as before."""
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(400)]
+    train = spark.createDataFrame([(i, " ".join(rng.choice(words) + "xy"[i % 2] for _ in range(50)), "ab"[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    model = language_id.fit(train)
+    texts = [" ".join(rng.choice(words) + rng.choice("xyz") for _ in range(rng.randint(1, 300))) for _ in range(60)]
+    want = [language_id.Scorer(model)(t) for t in texts]
+    monkeypatch.setattr(language_id, "_ROOM", 24)
+    monkeypatch.setattr(language_id, "_PART", 16)
+    small = language_id.Scorer(model)
+    got = [small(t) for t in texts]
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want])
+
+
+def test_encoder_tails():
+    enc = Encoder("byte_bpe_50k.json", 40)
+    marks = [".", ",", "!!", "$$$", "'", "_", "...", "?!", "\"", "’", "é.", "1.", "-"]
+    texts = [" ".join(rng.choice(["stone", "Über", "naïve", "x", "token's", "don't", "中文", "a1", ""]) + rng.choice(marks) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    for lo in range(0, 400, 50):
+        for t, raw in zip(texts[lo : lo + 50], enc.encode_many(texts[lo : lo + 50]), strict=True):
+            assert np.frombuffer(raw, "<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids

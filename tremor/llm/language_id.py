@@ -33,6 +33,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SMOOTH = 0.5
 #: Words and n-grams that a task remembers between texts.
 _ROOM = 100_000
+#: Words of a text that are looked up at once, fewer than the room.
+_PART = 4096
 
 
 def held_out() -> Column:
@@ -159,12 +161,6 @@ class Scorer:
         self.at: dict[str, int] = {}
         self.next = self.n
 
-    def full(self) -> bool:
-        return self.next == len(self.rows) or len(self.at) >= 2 * _ROOM
-
-    def forget(self) -> None:
-        self.at, self.next = {}, self.n
-
     def _learn(self, word: str) -> int:
         known = self.m.words.find([word])
         if len(known):
@@ -186,23 +182,17 @@ class Scorer:
         if not self.m.langs or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
         total = np.zeros(len(self.m.langs))
-        for lo in range(0, len(words), 4096):
-            part = words[lo : lo + 4096]
+        for lo in range(0, len(words), _PART):
+            part = words[lo : lo + _PART]
             idx = list(map(self.at.get, part))
-            for k, i in enumerate(idx):
-                if i is None:
-                    if (i := self.at.get(part[k])) is None:
-                        if self.full():
-                            # what stands for earlier words is added before the room is emptied, and later ones are asked for again
-                            total += self.rows[[j for j in idx[:k] if j >= 0]].sum(0)
-                            self.forget()
-                            idx = [-1] * k + [None] * (len(idx) - k)
-                        i = self._learn(part[k])
-                    idx[k] = i
-                elif i >= self.n and self.at.get(part[k]) != i:
-                    # its place was given away when the room was emptied
-                    idx[k] = self._learn(part[k]) if part[k] not in self.at else self.at[part[k]]
-            total += self.rows[[j for j in idx if j >= 0]].sum(0)
+            if None in idx:
+                fresh = {w for w, i in zip(part, idx, strict=True) if i is None}
+                if self.next + len(fresh) > len(self.rows) or len(self.at) + len(fresh) > 2 * _ROOM:
+                    self.at, self.next, fresh = {}, self.n, set(part)
+                for w in fresh:
+                    self._learn(w)
+                idx = [self.at[w] for w in part]
+            total += self.rows[idx].sum(0)
         p = np.exp(total - total.max())
         best = int(total.argmax())
         return self.m.langs[best], float(p[best] / p.sum())
