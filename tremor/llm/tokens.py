@@ -1,7 +1,8 @@
 """Token ids of whole texts by the tokenizers library, remembered for pieces that cannot influence each other.
 
 The pre-tokenizer of byte-level BPE always cuts before a blank that stands between two other characters. So a text is
-the concatenation of its pieces split there, and the ids of a piece do not depend on its neighbours. Unknown pieces go to the
+the concatenation of its pieces split there, and the ids of a piece do not depend on its neighbours. It cuts between letters and
+the marks after them as well, so a word with such a tail is put together of both. Unknown pieces go to the
 library, many in one call. Pieces are kept in two generations of about ``room`` entries, so memory stays bounded
 whatever the vocabulary of the texts.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -22,6 +24,8 @@ END_ID = 0
 _JOINT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r" (?:\s|(?<=\s ))")
 _BLOCK = 4096
+#: Marks that are no letters, digits or white space.
+_MARKS = string.punctuation
 
 
 @cache
@@ -46,10 +50,35 @@ class Encoder:
         self.room = room
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _learn(self, fresh: list[str]) -> None:
+        tailed, cores = [], set()
+        plain = []
+        for p in fresh:
+            if p and p[-1] in _MARKS and (core := p.rstrip(_MARKS)).isalpha():
+                tailed.append((p, core))
+                if core not in self.new:
+                    if (ids := self.old.get(core)) is None:
+                        cores.add(core)
+                    else:
+                        self.new[core] = ids
+            else:
+                plain.append(p)
+        cores.difference_update(plain)
+        self._ask(plain + list(cores))
+        for p, core in tailed:
+            tail = p[len(core) :]
+            if (ids := self.tails.get(tail)) is None:
+                if len(self.tails) >= _BLOCK:
+                    self.tails.clear()
+                # marks alone are cut as they are after a letter
+                ids = self.tails[tail] = np.array(self.tokenizer.encode_batch_fast([tail], add_special_tokens=False)[0].ids, "<u4").tobytes()
+            self.new[p] = self.new[core] + ids
+
+    def _ask(self, fresh: list[str]) -> None:
         """Pieces that begin and end with something else than white space are a text again when strung together."""
-        strung = [p for p in fresh if not (p[:1].isspace() or p[-1:].isspace() or not p)]
+        strung = [p for p in fresh if p and not (p[0].isspace() or p[-1].isspace())]
         for k in range(0, len(strung), _BLOCK):
             part = strung[k : k + _BLOCK]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -68,19 +97,22 @@ class Encoder:
             self.old, self.new = self.new, {}
         cuts: list[list[str]] = []
         found: list[list[bytes | None]] = []
+        lacks: list[list[int]] = []
         absent: set[str] = set()
         for t in texts:
             if not t:
                 cuts.append([])
                 found.append([])
+                lacks.append([])
                 continue
             c = _JOINT.split(t) if t[0] == " " or t[-1] == " " or _ODD.search(t) else t.split(" ")
             got = list(map(self.new.get, c))
             got[0] = b""  # the first piece has no blank before it
-            if None in got:
-                absent.update(p for p, g in zip(c, got, strict=True) if g is None)
+            lack = [i for i, g in enumerate(got) if g is None] if None in got else []
+            absent.update([c[i] for i in lack])
             cuts.append(c)
             found.append(got)
+            lacks.append(lack)
         fresh = []
         for p in absent:
             if (ids := self.old.get(p)) is None:
@@ -91,13 +123,12 @@ class Encoder:
         heads = self.tokenizer.encode_batch_fast([c[0] for c in cuts if c], add_special_tokens=False)
         ahead = iter(heads)
         out = []
-        for c, got in zip(cuts, found, strict=True):
+        for c, got, lack in zip(cuts, found, lacks, strict=True):
             if not c:
                 out.append(b"")
                 continue
-            if None in got:
-                of = self.new
-                got = [of[p] if g is None else g for p, g in zip(c, got, strict=True)]
+            for i in lack:
+                got[i] = self.new[c[i]]
             got[0] = np.array(next(ahead).ids, "<u4").tobytes()
             out.append(b"".join(got))
         return out
