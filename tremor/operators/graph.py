@@ -102,12 +102,24 @@ def module_components(g: GraphTables, module_id: str) -> DataFrame:
     return users_of(bipartite(g), asked).orderBy("comp_ord").select("component_id")
 
 
+def variants_of(members: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of the members (variant_id, component_id) with the components of ``asked`` (component_id)."""
+    return members.join(asked.select("component_id").distinct(), "component_id", "left_semi")
+
+
+def edges_of(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """The edges between the ends that ``asked`` (component_id, module_id) names."""
+    return edges.join(asked.select("component_id", "module_id").distinct(), ["component_id", "module_id"], "left_semi")
+
+
 def component_variants(g: GraphTables, component_id: str) -> DataFrame:
-    return g.variant_components.filter(F.col("component_id") == component_id).orderBy("ord").select("variant_id")
+    asked = g.edges.sparkSession.createDataFrame([(component_id,)], "component_id string")
+    return variants_of(g.variant_components, asked).orderBy("ord").select("variant_id")
 
 
 def edge_attributes(g: GraphTables, component_id: str, module_id: str) -> DataFrame:
-    return g.edges.filter((F.col("component_id") == component_id) & (F.col("module_id") == module_id)).select("coupling", "usage")
+    asked = g.edges.sparkSession.createDataFrame([(component_id, module_id)], "component_id string, module_id string")
+    return edges_of(g.edges, asked).select("coupling", "usage")
 
 
 def shared_modules(edges: DataFrame) -> DataFrame:
