@@ -21,19 +21,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .tokens import END_ID, VOCABULARY, encoder
+from .tokens import END_ID, ROOM, VOCABULARY, encoder
 
 CAPACITY = 2048
 SHARE = 200_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, keep_ids: bool = False) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32 and, on demand, ids. The first piece is the short one."""
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, keep_ids: bool = False, room: int = ROOM) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32 and, on demand, ids. The first piece is the short one.
+
+    ``room``: pieces of texts that a task remembers, which costs memory and saves time.
+    """
     schema = _PIECES + (", ids array<long>" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(vocabulary), np.array([END_ID], "<u4").tobytes()
+        enc, end = encoder(vocabulary, room), np.array([END_ID], "<u4").tobytes()
         for b in batches:
             out: list[list] = [[] for _ in range(5 + keep_ids)]
             for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_column(b.column(1)), strict=True):

@@ -21,6 +21,7 @@ import pyarrow as pa
 #: Parameter: the public vocabulary, by name.
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
+ROOM = 500_000
 _JOINT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r" (?:\s|(?<=\s ))")
 _BLOCK = 4096
@@ -29,7 +30,7 @@ _MARKS = string.punctuation
 
 
 @cache
-def encoder(vocabulary: str = VOCABULARY, room: int = 500_000) -> Encoder:
+def encoder(vocabulary: str = VOCABULARY, room: int = ROOM) -> Encoder:
     """One for each Python worker."""
     return Encoder(vocabulary, room)
 
