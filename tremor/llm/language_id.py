@@ -92,10 +92,8 @@ def fit(docs: DataFrame, sample_rows: int = 20_000, max_words: int = 200_000, ma
     known = written(bounded_sample(known, sample_rows, docs.filter("lang is not null").count()), "lang-sample")
     langs = sorted(r.lang for r in known.groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("lang").collect())
     at = {lang: i for i, lang in enumerate(langs)}
-    if len(langs):
-        known = known.join(known.sparkSession.createDataFrame([(lang,) for lang in langs], "lang string"), "lang")
-    else:
-        known = known.limit(0)
+    # labels are as many as the sample has documents at most
+    known = known.filter(F.col("lang").isin(langs)) if langs else known.limit(0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
