@@ -134,7 +134,7 @@ class Encoder:
             out.append(b"".join(got))
         return out
 
-    def encode_column(self, column: pa.Array, step: int = 256) -> Iterator[bytes]:
+    def encode_column(self, column: pa.Array, step: int = 512) -> Iterator[bytes]:
         """As ``encode_many``, for a column of texts, a few at a time."""
         for lo in range(0, len(column), step):
             yield from self.encode_many(column[lo : lo + step].to_pylist())
