@@ -201,6 +201,7 @@ def test_sum_of_squares_rule():
 
 
 def test_packing_in_shares(spark):
+    rng = random.Random(3)  # the same texts whatever ran before
     texts = [(i, " ".join(rng.choice(FILL) for _ in range(rng.randint(0, 60)))) for i in range(300)] + [(7, "again"), (7, "again"), (None, None), (None, "x"), (400, "river " * 400)]
     df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("length", F.lit(3)).withColumn("bin", F.lit("b"))
     enc, capacity = Encoder("byte_bpe_50k.json", 1000), 64
@@ -225,7 +226,8 @@ def test_packing_in_shares(spark):
             at += length
         assert at <= capacity
     least = -(-sum(r.length for r in got) // capacity)
-    assert len(bins) <= 1.05 * least + 1
+    # a share may leave one sequence with room
+    assert len(bins) <= 1.05 * least + -(-len(got) // 120), (len(bins), least)
 
 
 # --- op4 ------------------------------------------------------------------------------------------------------------
