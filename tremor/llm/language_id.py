@@ -70,12 +70,12 @@ class Entries:
         return len(self.hashes)
 
     def find(self, texts: list[str]) -> np.ndarray:
-        """The rows of those that are known."""
+        """The row of each; -1 where it is not known."""
         if not texts or not len(self):
-            return np.empty(0, np.int32)
-        h = np.fromiter((xxhash.xxh64_intdigest(t) for t in texts), np.uint64, len(texts))
+            return np.full(len(texts), -1, np.int32)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, texts), np.uint64, len(texts))
         at = np.minimum(np.searchsorted(self.hashes, h), len(self) - 1)
-        return self.rows[at[self.hashes[at] == h]]
+        return np.where(self.hashes[at] == h, self.rows[at], -1)
 
 
 @dataclass
@@ -159,21 +159,20 @@ class Scorer:
         self.at: dict[str, int] = {}
         self.next = self.n
 
-    def _learn(self, word: str) -> int:
-        known = self.m.words.find([word])
-        if len(known):
-            self.at[word] = int(known[0])
-            return int(known[0])
-        v = 0.0
-        for order, entries in zip(ORDERS, self.m.grams, strict=True):
-            hit = entries.find(grams_of(word, order))
-            if len(hit):
-                v = self.m.rows[hit].mean(0)
-                break
-        self.rows[self.next] = v
-        self.at[word] = self.next
-        self.next += 1
-        return self.next - 1
+    def _learn(self, words: list[str]) -> None:
+        rows = self.m.words.find(words).tolist()
+        self.at.update((w, r) for w, r in zip(words, rows, strict=True) if r >= 0)
+        for word in (w for w, r in zip(words, rows, strict=True) if r < 0):
+            v = 0.0
+            for order, entries in zip(ORDERS, self.m.grams, strict=True):
+                hit = entries.find(grams_of(word, order))
+                hit = hit[hit >= 0]
+                if len(hit):
+                    v = self.m.rows[hit].mean(0)
+                    break
+            self.rows[self.next] = v
+            self.at[word] = self.next
+            self.next += 1
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall(text.lower()) if text else []
@@ -187,8 +186,7 @@ class Scorer:
                 fresh = {w for w, i in zip(part, idx, strict=True) if i is None}
                 if self.next + len(fresh) > len(self.rows) or len(self.at) + len(fresh) > 2 * _ROOM:
                     self.at, self.next, fresh = {}, self.n, set(part)
-                for w in fresh:
-                    self._learn(w)
+                self._learn(list(fresh))
                 idx = [self.at[w] for w in part]
             total += self.rows[idx].sum(0)
         p = np.exp(total - total.max())
