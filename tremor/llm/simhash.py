@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tremor.operators.components import connected_components
 
 from . import near_copies
-from .common import table, written
+from .common import release, table, written
 
 SEED = 42
 PIVOTS = 48
@@ -181,9 +181,14 @@ def simhash_components(prints: DataFrame, radius: int = 2, blocks: int = 4) -> D
 
 
 def keep_one(docs: DataFrame, least: float = near_copies.LEAST) -> DataFrame:
-    """One row of each group of near-duplicates, texts of ``least`` Jaccard similarity in five-word shingles: the least doc_id, then the least text."""
+    """One row of each group of near-duplicates, texts of ``least`` Jaccard similarity in five-word shingles: the least doc_id, then the least text.
+
+    SimHash fingerprints and their distances to pivots lead to the pairs that are compared, see ``near_copies``.
+    """
     prints = written(near_copies.signatures(docs.withColumn("_h", F.xxhash64("text")), also=("_h",)), "near-docs")
-    parts = connected_components(near_copies.links(prints, least)).select(F.col("node").alias("id"), "component")
+    edges = written(near_copies.links(prints, least), "near-links")
+    release(docs.sparkSession)
+    parts = connected_components(edges).select(F.col("node").alias("id"), "component")
     group = prints.select("doc_id", "_h", "id").join(parts, "id", "left").select("doc_id", "_h", F.coalesce("component", "id").alias("g"))
     # min over (id, hash) with nulls last; one row a group
     first = group.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("x")).select("x.doc_id", "x._h")
