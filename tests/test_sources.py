@@ -80,6 +80,27 @@ def test_ingest(spark, tree):
         ingestion.ingest_tree(spark, tree + "/README.md")
 
 
+def _files(spark):
+    """Two folders whose files import each other's, and one library."""
+    rows = [("a/x.py", ["lib.p", "lib.p.Part", "b.y"]), ("b/y.py", ["lib.p", "lib.q.Part", "b.y"]), ("lib/p.py", []), ("lib/q.py", ["nowhere"])]
+    kinds = "path string, ord string, ok boolean, docstring string, imports array<string>, classes array<struct<name:string,docstring:string,methods:array<string>>>, functions array<struct<name:string,decorators:array<string>>>"
+    return spark.createDataFrame([(p, p, True, "", i, [], []) for p, i in rows], kinds)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_are_never_broadcast(spark):
+    parsed = _files(spark)
+    imports = ingest.import_graph(parsed)
+    assert sorted(imports.collect()) == [("a/x.py", "b/y.py"), ("a/x.py", "lib/p.py"), ("b/y.py", "lib/p.py"), ("b/y.py", "lib/q.py")]
+    found = ingest.detect(parsed, None, "directory")
+    shared = ingest.shared_modules(found, imports, parsed)
+    assert [(r.module_id, r.used_by) for r in shared.collect()] == [("p", ["a", "b"])]
+    assert "Broadcast" not in _plan(shared)
+
+
 def test_definitions_round_trip(spark, tree, tmp_path):
     comps = definitions.read_definitions(spark, f"{tree}/data/components", "components", tolerant=True)
     assert [(r.id, r.modules[0].coupling) for r in comps.collect()] == [("core", "loose")]

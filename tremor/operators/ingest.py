@@ -1,7 +1,8 @@
 """From parsed files to components: detection, import graph, shared modules, interfaces, granularity, and the merge with YAML.
 
 First-match rules of a walk over files become "least place": files are placed by path, and a minimum over places is a partial
-aggregate. Prefix matches are equi-joins on exploded prefixes, never a comparison of all with all.
+aggregate. Prefix matches are equi-joins on exploded prefixes, never a comparison of all with all. Whatever has a row for each
+file, import or module is joined by merging: by its size on disk the planner would broadcast it, and the driver holds many times that.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def boundary_components(bounds: DataFrame, parsed: DataFrame) -> DataFrame:
     lead = parsed.filter("docstring <> ''").select("docstring", "ord", F.explode(_above(F.col("path"))).alias("root_dir"))
     lead = lead.groupBy("root_dir").agg(F.min_by("docstring", "ord").alias("doc"))
     # the place of a boundary is its folder
-    b = bounds.join(lead, "root_dir", "left")
+    b = bounds.join(lead.hint("merge"), "root_dir", "left")
     ident = snake_case(slug(F.col("name")))
     return b.select(
         ident.alias("id"), title_case(ident).alias("name"), F.coalesce(_doc_line(F.col("doc")), F.concat(F.lit("Service: "), "name")).alias("description"),
@@ -94,26 +95,28 @@ def import_graph(parsed: DataFrame) -> DataFrame:
     """path, dep: each import resolves to the first file (by place) whose module it is or lies below; a file is no dep of its own."""
     modules = parsed.select(module_name(F.col("path")).alias("prefix"), F.struct("ord", "path").alias("target"))
     modules = modules.groupBy("prefix").agg(F.min("target").alias("target"))
-    uses = parsed.select("path", F.explode(F.array_distinct("imports")).alias("imp")).withColumn("prefix", F.explode(_prefixes(F.col("imp"), ".")))
-    hit = uses.join(modules, "prefix").groupBy("path", "imp").agg(F.min("target").alias("t"))
-    return hit.filter(F.col("t.path") != F.col("path")).select("path", F.col("t.path").alias("dep")).distinct()
+    uses = parsed.select("path", F.explode(F.array_distinct("imports")).alias("imp"))
+    # What an import resolves to does not depend on the file, so each import is looked up once.
+    named = uses.select("imp").distinct().withColumn("prefix", F.explode(_prefixes(F.col("imp"), ".")))
+    hit = named.join(modules.hint("merge"), "prefix").groupBy("imp").agg(F.min("target").alias("t"))
+    return uses.join(hit.hint("merge"), "imp").filter(F.col("t.path") != F.col("path")).select("path", F.col("t.path").alias("dep")).distinct()
 
 
 def owners(components: DataFrame, paths: DataFrame) -> DataFrame:
     """path, id: the first component whose source is the path or a folder above it (by phase and place)."""
     own = components.select(F.col("source_file").alias("prefix"), F.struct("phase", "ord", "id").alias("o")).groupBy("prefix").agg(F.min("o").alias("o"))
     above = paths.select("path", F.explode(F.concat(F.array("path"), F.filter(_above(F.col("path")), lambda d: d != ""))).alias("prefix"))
-    return above.join(own, "prefix").groupBy("path").agg(F.min("o").alias("o")).select("path", F.col("o.id").alias("id"))
+    return above.join(own.hint("merge"), "prefix").groupBy("path").agg(F.min("o").alias("o")).select("path", F.col("o.id").alias("id"))
 
 
 def shared_modules(components: DataFrame, imports: DataFrame, parsed: DataFrame) -> DataFrame:
     """module_id, source_file, description, used_by (sorted) of files that two components at least import."""
     own = owners(components, imports.select("path").distinct())
-    used = imports.join(own, "path").groupBy("dep").agg(F.sort_array(F.collect_set("id")).alias("used_by")).filter("size(used_by) >= 2")
+    used = imports.join(own.hint("merge"), "path").groupBy("dep").agg(F.sort_array(F.collect_set("id")).alias("used_by")).filter("size(used_by) >= 2")
     docs = parsed.select(F.col("path").alias("dep"), "docstring")
     stem = F.regexp_replace(name_of(F.col("dep")), r"\.py$", "")
     ident = F.when(stem == "__init__", name_of(dir_of(F.col("dep")))).otherwise(stem)
-    return used.join(docs, "dep", "left").select(
+    return used.join(docs.hint("merge"), "dep", "left").select(
         snake_case(ident).alias("module_id"), F.col("dep").alias("source_file"),
         F.coalesce(F.nullif(_doc_line(F.col("docstring")), F.lit("")), F.concat(F.lit("Shared module: "), "dep")).alias("description"), "used_by",
     )
@@ -137,8 +140,8 @@ def api_surface(parsed: DataFrame) -> DataFrame:
 
 def with_api_surface(components: DataFrame, parsed: DataFrame) -> DataFrame:
     found = api_surface(parsed)
-    own = owners(components, found.select("path")).join(found, "path").groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("api_surface")))).alias("api"))
-    return components.join(own, "id", "left").withColumn("api_surface", F.coalesce("api", "api_surface")).drop("api")
+    own = owners(components, found.select("path")).join(found.hint("merge"), "path").groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("api_surface")))).alias("api"))
+    return components.join(own.hint("merge"), "id", "left").withColumn("api_surface", F.coalesce("api", "api_surface")).drop("api")
 
 
 def merge_manifests(components: DataFrame, manifests: DataFrame) -> tuple[DataFrame, DataFrame]:
