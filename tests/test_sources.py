@@ -99,6 +99,10 @@ def test_files_are_never_broadcast(spark):
     shared = ingest.shared_modules(found, imports, parsed)
     assert [(r.module_id, r.used_by) for r in shared.collect()] == [("p", ["a", "b"])]
     assert "Broadcast" not in _plan(shared)
+    wired, counted = ingest.wire(found, shared), ingest.wired_counts(found, shared)
+    assert {r.id: [tuple(m) for m in r.modules] for r in wired.collect()} == {"a": [("p", "tight", "Shared module: lib/p.py")], "b": [("p", "tight", "Shared module: lib/p.py")], "lib": []}
+    assert {r.id: r.n_modules for r in counted.collect()} == {"a": 1, "b": 1, "lib": 0}
+    assert "Broadcast" not in _plan(wired) and "Broadcast" not in _plan(counted)
 
 
 def test_definitions_round_trip(spark, tree, tmp_path):

@@ -122,11 +122,21 @@ def shared_modules(components: DataFrame, imports: DataFrame, parsed: DataFrame)
     )
 
 
+def uses(modules: DataFrame) -> DataFrame:
+    """id, module_id, coupling (tight), usage (its description): a row for each component that uses a shared module."""
+    return modules.select(F.explode("used_by").alias("id"), "module_id", F.lit("tight").alias("coupling"), F.col("description").alias("usage")).distinct()
+
+
 def wire(components: DataFrame, modules: DataFrame) -> DataFrame:
-    """Adds modules (module_id, tight, its description) to the components that use them."""
-    m = modules.select("module_id", "description", F.explode("used_by").alias("id"))
-    m = m.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("module_id", F.lit("tight").alias("coupling"), F.col("description").alias("usage")))).alias("modules"))
-    return components.join(m, "id", "left").withColumn("modules", F.coalesce("modules", F.expr("cast(array() as array<struct<module_id:string,coupling:string,usage:string>>)")))
+    """Adds modules (module_id, tight, its description) to the components that use them; a component's modules are one value, ``uses`` has them as rows."""
+    m = uses(modules).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("module_id", "coupling", "usage"))).alias("modules"))
+    return components.join(m.hint("merge"), "id", "left").withColumn("modules", F.coalesce("modules", F.expr("cast(array() as array<struct<module_id:string,coupling:string,usage:string>>)")))
+
+
+def wired_counts(components: DataFrame, modules: DataFrame) -> DataFrame:
+    """id, n_modules: how many ``wire`` gives each component, counted by rows, as a component of a whole tree can use very many."""
+    n = uses(modules).groupBy("id").agg(F.count("*").alias("n_modules"))
+    return components.select("id").join(n.hint("merge"), "id", "left").withColumn("n_modules", F.coalesce("n_modules", F.lit(0).cast("long")))
 
 
 def api_surface(parsed: DataFrame) -> DataFrame:
