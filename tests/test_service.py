@@ -173,6 +173,27 @@ def test_batch_knn_blocks(spark):
     assert one == many and len(one) == 3 * asked.count()
 
 
+def test_batch_knn_tiles_and_copies(spark, monkeypatch):
+    """Any tiles give the rows of a plain sort; copies whose distances differ by rounding alone are ordered by id; ids may be texts."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(150, 6)), 1)
+    v[40:90] = v[7]
+    v[50:90] *= 1 + np.arange(40)[:, None] * 1e-14
+    v[149] = 0
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    store = spark.createDataFrame([(f"d{149 - i:03}", i, x.tolist()) for i, x in enumerate(v)], "doc_id string, vec_id long, embedding array<double>")
+    asked = store.filter("vec_id % 7 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    for tile in ((1, 1), (4, 9), (64, 64)):
+        monkeypatch.setattr(retrieve, "TILE", tile)
+        for name, of in (("vec_id", lambda i: i), ("doc_id", lambda i: f"d{149 - i:03}")):
+            got = {(r.query_id, r["rank"]): r.vec_id for r in retrieve.batch_knn(store, asked, 5, id_col=name, digits=9).collect()}
+            for q in range(0, 150, 7):
+                d = np.where(np.arange(150) == 149, np.inf, np.round(1 - unit @ unit[q], 9))
+                assert [got[q, r] for r in range(1, 6)] == [x for _, x in sorted((d[i], of(i)) for i in range(150))[:5]]
+
+
 def test_missing_links(spark):
     located = spark.createDataFrame([(f"c{i}", "p" if i < 8 else "q", i) for i in range(12)], "component_id string, parent string, ord int")
     mods = {i: [f"m{i % 3}", "hub"] if i % 4 == 0 else [f"m{i % 3}"] for i in range(11)}

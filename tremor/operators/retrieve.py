@@ -1,7 +1,7 @@
 """Exact vector retrieval: top-k by cosine, filters before and after it, grouping by entity, batches of queries.
 
 A single query is a projection and a top-k that each task cuts to k before anything moves. A batch of queries is held against all
-rows in blocks of a checked size, and each task keeps k rows a query.
+rows in blocks of a checked size, a tile of distances at a time, and each task keeps k rows a query.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 MAX_QUERY_FLOATS = 16_000_000
+#: Queries and rows of a tile of distances.
+TILE = (1024, 1024)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -68,49 +70,80 @@ def rerank(groups: DataFrame, k: int, *ties: str) -> DataFrame:
     return groups.orderBy(F.desc("best_score"), *ties).limit(k)
 
 
-def batch_knn(store: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", query_col: str = "query_id", block_floats: int = MAX_QUERY_FLOATS) -> DataFrame:
-    """query_id, vec_id, distance, rank for the k nearest rows of each query; equal distances go by id.
+def batch_knn(store: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", query_col: str = "query_id", block_floats: int = MAX_QUERY_FLOATS, digits: int | None = None) -> DataFrame:
+    """query_id, vec_id, distance, rank for the k nearest rows of each query; equal distances go by id. ``digits``: distances are rounded before they are compared.
 
-    ``queries``: query_id, embedding; a null or zero vector has no distances. Each task holds a block of rows against a block of queries of
-    ``block_floats`` values at most; more queries take more blocks, and each block reads the store once.
+    ``queries``: query_id, embedding; a null or zero vector has no distances. Each task holds a share of the rows against a block of queries of
+    ``block_floats`` values at most; more queries take more blocks, and each block reads the store once. The shares are as many as
+    the cores, so what tasks send grows with the queries alone.
     """
     asked = queries.select(F.col(query_col).cast("long").alias("query_id"), "embedding").filter("embedding is not null")
     size = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
     blocks = max(1, -(-(size[0] * (size[1] or 0)) // block_floats))
     rows = store.select(F.col(id_col).alias("vec_id"), "embedding").filter("embedding is not null")
+    rows = rows.repartition(max(1, store.sparkSession.sparkContext.defaultParallelism), "vec_id")
     near = None
     for block in range(blocks):
         part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else asked
-        found = _block(rows, part.orderBy("query_id").collect(), k)
+        found = _block(rows, part, k, digits)
         near = found if near is None else near.unionByName(found)
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _block(rows: DataFrame, queries: list, k: int) -> DataFrame:
+def _matrix(embeddings: pa.Array) -> np.ndarray:
+    return embeddings.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(embeddings), -1)
+
+
+def nearest(best: tuple, d: np.ndarray, ids: np.ndarray, k: int, digits: int | None = None) -> tuple:
+    """``best`` (query, distance and id, flat and in this order; at most k a query) after the distances ``d`` (query, row) of further rows."""
+    q0, d0, i0 = best
+    n = np.bincount(q0, minlength=len(d))
+    last = np.cumsum(n) - 1
+    full = n >= k
+    most = np.where(full, d0[last], np.inf) if len(q0) else np.full(len(d), np.inf)
+    q, r = np.nonzero(d <= (most + (0 if digits is None else 10.0**-digits))[:, None])
+    new, own = d[q, r], ids[r]
+    if digits is not None:
+        new = np.round(new, digits)
+    if len(q0):
+        keep = ~full[q] | (new < most[q]) | ((new == most[q]) & (own < i0[last[q]]))
+        q, new, own = q[keep], new[keep], own[keep]
+    if not len(q):
+        return best
+    q, new, own = np.concatenate([q0, q]), np.concatenate([d0, new]), np.concatenate([i0, own]) if len(i0) else own
+    order = np.lexsort((own, new, q))
+    q, new, own = q[order], new[order], own[order]
+    first = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[first], new[first], own[first]
+
+
+def _block(rows: DataFrame, queries: DataFrame, k: int, digits: int | None) -> DataFrame:
     """For each task and query, the k nearest rows of the task."""
     kind = rows.schema["vec_id"].dataType
     ids = to_arrow_type(kind)
-    q = np.array([r[1] for r in queries], np.float64).reshape(len(queries), -1)
-    shared = rows.sparkSession.sparkContext.broadcast(([r[0] for r in queries], q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
+    asked = queries.toArrow().combine_chunks()
+    q = np.concatenate([_matrix(c) for c in asked.column("embedding").chunks]) if asked.num_rows else np.zeros((0, 0))
+    shared = rows.sparkSession.sparkContext.broadcast((asked.column("query_id").to_numpy(), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
+    wide, most = TILE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qs, unit = shared.value
-        best: list[list[tuple[float, int]]] = [[] for _ in qs]
+        best = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))] * -(-len(qs) // wide)
+        # The first tiles are small: what is found in them keeps most of the later rows out.
+        high = min(64, most)
         for b in batches:
-            if not qs or not b.num_rows:
-                continue
-            own = b.column(0).to_pylist()
-            v = np.array(b.column(1).to_pylist(), np.float64)
-            norm = np.linalg.norm(v, axis=1)
-            d = 1 - (v / np.where(norm == 0, np.nan, norm)[:, None]) @ unit.T
-            for j in range(len(qs)):
-                col = np.where(np.isnan(d[:, j]), np.inf, d[:, j])
-                cut = np.argpartition(col, min(k, len(col) - 1))[: k + 1] if len(col) > k else np.arange(len(col))
-                ties = np.flatnonzero(col <= col[cut].max()) if len(col) > k else cut
-                best[j] = sorted([*best[j], *((float(col[i]), own[i]) for i in ties)])[:k]
-        out = [(qs[j], i, d) for j, rows in enumerate(best) for d, i in rows]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], ids), pa.array([r[2] for r in out], pa.float64())], names=["query_id", "vec_id", "distance"])
+            at = 0
+            while len(qs) and at < b.num_rows:
+                part, at, high = b.slice(at, high), at + high, min(2 * high, most)
+                own, v = np.array(part.column(0).to_pylist()), _matrix(part.column(1))
+                norm = np.linalg.norm(v, axis=1)
+                v /= np.where(norm == 0, np.nan, norm)[:, None]
+                for j in range(len(best)):
+                    d = 1 - unit[j * wide : (j + 1) * wide] @ v.T
+                    best[j] = nearest(best[j], np.where(np.isnan(d), np.inf, d), own, k, digits)
+        for j, (q, d, i) in enumerate(best):
+            yield pa.RecordBatch.from_arrays([pa.array(qs[q + j * wide], pa.int64()), pa.array(i.tolist(), ids), pa.array(d, pa.float64())], names=["query_id", "vec_id", "distance"])
 
     return rows.mapInArrow(run, f"query_id long, vec_id {kind.simpleString()}, distance double")
 

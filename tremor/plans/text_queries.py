@@ -77,12 +77,8 @@ k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 def _batch(spark, sf_dir, k=5):
     store = _store(spark, sf_dir)
     asked = store.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    # a wider cut first: rows whose distances differ by rounding alone are then ordered by id
-    near = retrieve.batch_knn(store, asked, k + 5).withColumn("distance", _r("distance"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    # rows whose distances differ by rounding alone are ordered by id
+    return retrieve.batch_knn(store, asked, k, digits=9)
 
 
 @query(f"WITH {_BATCH} SELECT query_id, vec_id, rank FROM k")
