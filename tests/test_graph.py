@@ -94,6 +94,43 @@ def test_chain_cycle_and_strict(spark):
     assert sorted(r.component_id for r in traverse.impact_of(ring, ["a"])[0].collect()) == ["b", "c"]
 
 
+def test_edges_stay_where_they_are(spark):
+    """Discoveries of a random graph with a hub equal a walk's, and a level does not move the edges."""
+    import random
+
+    rnd = random.Random(3)
+    pairs = sorted({(f"c{rnd.randrange(60):02}", f"m{rnd.randrange(45):02}") for _ in range(110)} | {(f"c{i:02}", "hub") for i in range(0, 60, 9)})
+    kinds = {p: rnd.choice(["tight", "loose", "optional"]) for p in pairs}
+    mods, comps = {}, {}
+    for c, m in pairs:
+        mods.setdefault(c, []).append(m)
+        comps.setdefault(m, []).append(c)
+    rows = [(c, m, kinds[c, m], mods[c].index(m), comps[m].index(c)) for c, m in pairs]
+    edges = spark.createDataFrame(rows, "component_id string, module_id string, coupling string, mod_ord int, comp_ord int")
+    asked = ["c09", "c01", "nobody"]
+    chains, level = {c: [c] for c in asked if c in mods}, [c for c in asked if c in mods]
+    want = {}
+    for depth in range(1, 4):
+        after = []
+        for c in level:
+            for m in mods[c]:
+                for n in comps[m]:
+                    if n not in chains:
+                        chains[n] = [*chains[c], m, n]
+                        after.append(n)
+                        steps = [kinds[(a, b) if (a, b) in kinds else (b, a)] for a, b in zip(chains[n], chains[n][1:], strict=False)]
+                        want[n] = (depth, min(steps, key=ordinals.COUPLING.get), chains[n])
+        level = after
+    laid = traverse.laid_out(edges)
+    changed = spark.createDataFrame([(c, i) for i, c in enumerate(asked)], "component_id string, pos int")
+    assert {r.component_id: (r.depth, r.min_coupling, r.chain) for r in traverse.traverse(laid, changed, 3).collect()} == want
+    assert {r.component_id: r.depth for r in traverse.traverse(laid, changed, 3, paths=False).collect()} == {c: d for c, (d, _, _) in want.items()}
+    assert {r.component_id: r.min_coupling for r in traverse.traverse(laid, changed, 3, chains=False).collect()} == {c: k for c, (_, k, _) in want.items()}
+    for table, key in ((laid.by_component, "component_id"), (laid.by_module, "module_id")):
+        plan = changed.select(F.col("component_id").alias(key)).distinct().hint("shuffle_hash").join(table, key)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "SortMergeJoin" not in plan
+
+
 def test_merge_with_semantic(spark):
     impacts = spark.createDataFrame([("a", 1, True, "tight", "high")], "component_id string, depth int, is_direct boolean, min_coupling string, criticality string")
     sem = spark.createDataFrame([("a", 0.9, "high"), ("b", 0.8, "critical")], "component_id string, best_score double, criticality string")

@@ -2,83 +2,106 @@
 
 A level is two equi-joins of the frontier with the edges, an anti-join with what was visited, and a first-of-group. The order
 of discovery is a pair of keys, not one global sort: a node is ordered by its parent's key and its place among the
-parent's edges, and only the first row of a target has to be found, by a partial aggregate (``min_by``) that no hub
+parent's edges, and only the first row of a target has to be found, by a partial aggregate (``min``) that no hub
 can skew. Each level is a written table, so plans stay short and executors can be lost.
+
+The edges are written twice, dealt by component and by module, and stay where they are: a level sends its frontier to them and streams
+them past a hash table of its part of it. A module is passed once, as all behind it is found then; so the rows that all levels
+make together are as many as the edges. Chains are put together at the end, from each level and its parents.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.functions.ordinals import COUPLING, coupling_name, criticality_name, criticality_rank
+from tremor.functions.ordinals import COUPLING, coupling_name, coupling_rank, criticality_name, criticality_rank
 from tremor.operators.graph import GraphTables, bipartite
-from tremor.sources.shared import written
+from tremor.sources.shared import buckets, dealt, written
 
 MAX_DEPTH = 5
 
 
-def with_ranks(edges: DataFrame) -> DataFrame:
-    from tremor.functions.ordinals import coupling_rank
+@dataclass(frozen=True)
+class Laid:
+    """Edges (component_id, module_id, coupling, mod_ord) dealt by component, and (these and comp_ord) by module."""
+
+    by_component: DataFrame
+    by_module: DataFrame
 
-    return edges.withColumn("k", coupling_rank(F.col("coupling")))
 
+def laid_out(edges: DataFrame) -> Laid:
+    edges = written(edges.select("component_id", "module_id", "coupling", "mod_ord", "comp_ord"), "bfs-edges")
+    n = buckets(edges.sparkSession, edges.count())
+    return Laid(dealt(edges.drop("comp_ord"), "bfs-by-component", "component_id", n), dealt(edges, "bfs-by-module", "module_id", n))
 
-def traverse(edges: DataFrame, changed: DataFrame, max_depth: int = MAX_DEPTH, weak: bool = True, paths: bool = True) -> DataFrame:
+
+def traverse(edges: DataFrame | Laid, changed: DataFrame, max_depth: int = MAX_DEPTH, weak: bool = True, paths: bool = True, chains: bool = True) -> DataFrame:
     """Impacted components with depth, min_coupling, source, chain and ``ord``, the key of discovery (compare as arrays).
 
     ``edges``: component_id, module_id, coupling, mod_ord, comp_ord. ``changed``: component_id, and pos, the place in the request.
     Without ``weak``, edges that leave a component must not be loose or optional; those that enter one may be.
-    Without ``paths`` only component_id and depth are found, with one distinct less a level.
+    Without ``paths`` only component_id and depth are found, with one distinct less a level; without ``chains``, all but chain and source.
     """
-    edges = written(with_ranks(edges), "bfs-edges")
-    out = edges if weak else edges.filter("coupling not in ('loose', 'optional')")
-    out = out.select(F.col("component_id").alias("c"), F.col("module_id").alias("m"), F.col("k").alias("k1"), "mod_ord")
-    into = edges.select(F.col("module_id").alias("m"), F.col("component_id").alias("n"), F.col("k").alias("k2"), "comp_ord")
-    start = changed.groupBy("component_id").agg(F.min("pos").alias("pos"))
-    start = start.join(edges.select("component_id").distinct(), "component_id", "left_semi")
-    tight = F.lit(COUPLING["tight"])
-    level = start.select(F.col("component_id").alias("c"), F.array(F.col("pos").cast("long")).alias("ord"), F.lit(0).alias("depth"), tight.alias("rank"), F.array("component_id").alias("chain"))
-    visited = level.select("c")
-    found = []
+    laid = edges if isinstance(edges, Laid) else laid_out(edges)
+    rank = coupling_rank(F.col("coupling"))
+    every = laid.by_component.select(F.col("component_id").alias("c"), F.col("module_id").alias("m"), rank.alias("k1"), "mod_ord", "coupling")
+    out = (every if weak else every.filter("coupling not in ('loose', 'optional')")).drop("coupling")
+    into = laid.by_module.select(F.col("module_id").alias("m"), F.col("component_id").alias("n"), rank.alias("k2"), "comp_ord")
+    here = lambda df: df.hint("shuffle_hash")
+    start = changed.groupBy(F.col("component_id").alias("c")).agg(F.min("pos").cast("long").alias("pos"))
+    start = every.select("c").join(here(start), "c").groupBy("c").agg(F.first("pos").alias("pos"))
+    # ord: the key of discovery; rank: the least coupling on the way; p, by: the parent and the module that led here
+    level = written(start.select("c", F.array("pos").alias("ord"), F.lit(COUPLING["tight"]).alias("rank")), "bfs-level")
+    levels, visited, passed = [level], level.select("c"), None
     for depth in range(1, max_depth + 1):
+        met = here(level).join(out, "c")
         if paths:
             # Of a module, only the first parent can be the first discovery of anything behind it.
-            step = level.join(out, "c").groupBy("m").agg(
-                F.min_by(F.struct("ord", "mod_ord", "rank", "chain", "k1"), F.struct("ord", "mod_ord")).alias("p")
-            )
-            met = step.join(into, "m").join(visited.select(F.col("c").alias("n")), "n", "left_anti")
+            step = met.groupBy("m").agg(F.min(F.struct("ord", "mod_ord", F.least("rank", "k1").alias("rank"), "c")).alias("p"))
+        else:
+            step = met.select("m").distinct()
+        if passed is not None:
+            step = step.join(passed, "m", "left_anti")
+        step = written(step, "bfs-step")
+        passed = step.select("m") if passed is None else passed.unionByName(step.select("m"))
+        met = here(step).join(into, "m")
+        if paths:
             key = F.concat("p.ord", F.array(F.col("p.mod_ord").cast("long"), F.col("comp_ord").cast("long")))
-            best = met.withColumn("ord", key).groupBy("n").agg(F.min_by(F.struct("ord", "p", "m", "k2"), "ord").alias("b"))
-            level = best.select(
-                F.col("n").alias("c"),
-                "b.ord",
-                F.lit(depth).alias("depth"),
-                F.least("b.p.rank", "b.p.k1", "b.k2").alias("rank"),
-                F.concat("b.p.chain", F.array("b.m", "n")).alias("chain"),
-            )
+            best = met.groupBy(F.col("n").alias("c")).agg(F.min(F.struct(key.alias("ord"), F.least("p.rank", "k2").alias("rank"), F.col("p.c").alias("p"), F.col("m").alias("by"))).alias("b"))
+            level = best.join(visited, "c", "left_anti").select("c", "b.*")
         else:
-            reached = level.join(out, "c").select("m").distinct().join(into, "m").select(F.col("n").alias("c")).distinct()
-            level = reached.join(visited, "c", "left_anti").select("c", F.lit(depth).alias("depth"))
+            level = met.select(F.col("n").alias("c")).distinct().join(visited, "c", "left_anti")
         level = written(level, "bfs-level")
         if level.isEmpty():
             break
-        found.append(level)
+        levels.append(level)
         visited = visited.unionByName(level.select("c"))
-    if not found:
-        found = [level.limit(0)]
-    all_levels = found[0]
-    for f in found[1:]:
-        all_levels = all_levels.unionByName(f)
     if not paths:
-        return all_levels.select(F.col("c").alias("component_id"), "depth")
-    return all_levels.select(
+        found = [v.select(F.col("c").alias("component_id"), F.lit(d).alias("depth")) for d, v in enumerate(levels) if d] or [level.select(F.col("c").alias("component_id"), F.lit(0).alias("depth")).limit(0)]
+        return reduce(DataFrame.unionByName, found)
+    before = levels[0].select("c", F.array("c").alias("chain"))
+    found = []
+    for depth, level in enumerate(levels[1:], 1):
+        if not chains:
+            found.append(level.select("c", F.lit(depth).alias("depth"), "rank", "ord"))
+            continue
+        # Only parents that led somewhere are met, each of them once by its key.
+        at = level.join(before.select(F.col("c").alias("p"), "chain"), "p").withColumn("chain", F.concat("chain", F.array("by", "c"))).select("c", F.lit(depth).alias("depth"), "rank", "chain", "ord")
+        at = written(at, "bfs-chains") if depth + 1 < len(levels) else at
+        before = at
+        found.append(at)
+    if not found:
+        found = [levels[0].select("c", F.lit(0).alias("depth"), "rank", F.array("c").alias("chain"), "ord").limit(0)]
+    return reduce(DataFrame.unionByName, found).select(
         F.col("c").alias("component_id"),
         "depth",
         (F.col("depth") == 1).alias("is_direct"),
         F.when(F.col("rank") == 0, F.lit("unknown")).otherwise(coupling_name(F.col("rank"))).alias("min_coupling"),
-        F.element_at("chain", 1).alias("source"),
-        "chain",
+        *([F.element_at("chain", 1).alias("source"), "chain"] if chains else []),
         "ord",
     )
 

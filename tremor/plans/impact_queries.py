@@ -9,7 +9,6 @@ from tremor.functions.ordinals import coupling_rank
 from tremor.operators import gaps, graph, score, traverse
 from tremor.operators.components import connected_components
 from tremor.plans import tables as T
-from tremor.sources.shared import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,11 +24,19 @@ def query(sql: str | None = None):
     return add
 
 
-def _impacts(spark: SparkSession, sf_dir: str, weak: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    e = T.edges(spark, sf_dir)
-    changed, comp = T.changed(spark, sf_dir), T.components(spark, sf_dir)
-    found = traverse.traverse(e, changed, T.MAX_DEPTH, weak).join(comp.select(F.col("id").alias("component_id"), "criticality"), "component_id", "left")
-    return e, changed, comp, written(found, "impacts")
+def _found(spark: SparkSession, sf_dir: str, **what) -> DataFrame:
+    return traverse.traverse(T.laid(spark, sf_dir), T.changed(spark, sf_dir), T.MAX_DEPTH, **what)
+
+
+def _depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """component_id, depth, is_direct: all that counts of components need."""
+    return _found(spark, sf_dir, paths=False).withColumn("is_direct", F.col("depth") == 1)
+
+
+def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impacts with criticality, without their chains, which no score needs."""
+    comp = T.components(spark, sf_dir).select(F.col("id").alias("component_id"), "criticality")
+    return _found(spark, sf_dir, chains=False).join(comp, "component_id", "left")
 
 
 _W = f"WITH {T.EDGES_SQL},\n{T.levels_sql()}"
@@ -38,8 +45,7 @@ _WC = f"WITH {T.EDGES_SQL},\n{T.levels_sql()},\n{T.COMPONENTS_SQL}"
 
 @query(f"{_W} SELECT component_id, depth FROM found")
 def bfs_min_depth(spark, sf_dir):
-    e = T.edges(spark, sf_dir)
-    return traverse.traverse(e, T.changed(spark, sf_dir), T.MAX_DEPTH, paths=False)
+    return _found(spark, sf_dir, paths=False)
 
 
 @query(f"{_W} SELECT depth, count(*) AS n FROM found GROUP BY depth")
@@ -49,21 +55,20 @@ def bfs_depth_histogram(spark, sf_dir):
 
 @query(f"WITH {T.EDGES_SQL},\n{T.levels_sql(weak=False)} SELECT component_id, depth FROM found")
 def bfs_strict(spark, sf_dir):
-    e = T.edges(spark, sf_dir)
-    return traverse.traverse(e, T.changed(spark, sf_dir), T.MAX_DEPTH, weak=False, paths=False)
+    return _found(spark, sf_dir, weak=False, paths=False)
 
 
 @query(f"{_W} SELECT component_id, depth, depth = 1 AS is_direct, min_coupling, chain[1] AS source, array_to_string(chain, ' → ') || ' (depth=' || depth || ', min_coupling=' || min_coupling || ')' AS path FROM found")
 def bfs_best_path(spark, sf_dir):
-    found = _impacts(spark, sf_dir)[3]
+    found = _found(spark, sf_dir)
     path = traverse.describe_path(F.col("chain").cast("array<string>"), F.col("depth"), F.col("min_coupling"))
     return found.select("component_id", "depth", "is_direct", "min_coupling", "source", path.alias("path"))
 
 
 @query(f"{_WC}, mine AS (SELECT DISTINCT module_id FROM e SEMI JOIN changed USING (component_id)) SELECT component_id, list_sort(list(DISTINCT module_id)) AS shared_modules FROM e SEMI JOIN mine USING (module_id) SEMI JOIN found USING (component_id) GROUP BY component_id")
 def shared_with_changed(spark, sf_dir):
-    e, changed, _, found = _impacts(spark, sf_dir)
-    return traverse.shared_with_changed(e, changed).join(found.select("component_id"), "component_id", "left_semi")
+    found = _depths(spark, sf_dir)
+    return traverse.shared_with_changed(T.edges(spark, sf_dir), T.changed(spark, sf_dir)).join(found.select("component_id"), "component_id", "left_semi")
 
 
 _VARIANT = """, touched AS (SELECT component_id, depth FROM found UNION ALL SELECT component_id, 0 FROM changed),
@@ -74,8 +79,7 @@ _NAME = "CASE max(r) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medi
 
 @query(f"{_WC}{_VARIANT} SELECT variant_id, list_sort(list(DISTINCT component_id)) AS affected_components, count(*) FILTER (depth <= 1) AS direct_count, count(*) FILTER (depth > 1) AS indirect_count, {_NAME} FROM rows GROUP BY variant_id")
 def variant_impacts(spark, sf_dir):
-    _, changed, comp, found = _impacts(spark, sf_dir)
-    return traverse.variant_impacts(T.members(spark, sf_dir), changed, found, comp)
+    return traverse.variant_impacts(T.members(spark, sf_dir), T.changed(spark, sf_dir), _depths(spark, sf_dir), T.components(spark, sf_dir))
 
 
 _SCORE = "round_even(cast((CASE min_coupling WHEN 'tight' THEN 1.0 WHEN 'loose' THEN 0.5 ELSE 0.2 END) * (CASE criticality WHEN 'critical' THEN 4 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0.5 END) / depth * {boost} AS DOUBLE), 2)"
@@ -89,13 +93,13 @@ def _no_semantic(spark):
 
 @query(f"{_WC}{_SCORED} SELECT component_id, depth, depth = 1 AS is_direct, min_coupling AS coupling, criticality, score FROM scored")
 def scored_impacts(spark, sf_dir):
-    found = _impacts(spark, sf_dir)[3]
+    found = _rated(spark, sf_dir)
     return score.scored_impacts(found, _no_semantic(spark)).select("component_id", "depth", "is_direct", "coupling", "criticality", "score")
 
 
 @query(f"{_WC}{_SCORED} SELECT component_id, score, {_LEVEL.format(x='score')} AS level FROM scored ORDER BY score DESC, component_id LIMIT 20")
 def top_impacts(spark, sf_dir):
-    found = _impacts(spark, sf_dir)[3]
+    found = _rated(spark, sf_dir)
     return score.ranked(score.scored_impacts(found, _no_semantic(spark)), "component_id").limit(20).select("component_id", "score", score.risk_level(F.col("score")).alias("level"))
 
 
@@ -104,8 +108,8 @@ rows AS (SELECT variant_id, component_id, depth, score, CASE criticality WHEN 'c
 agg AS (SELECT variant_id, count(*) AS affected_count, count(*) FILTER (depth <= 1) AS direct_count, count(*) FILTER (depth > 1) AS indirect_count, {_NAME}, cast(sum(cast(score AS DECIMAL(18, 2))) AS DOUBLE) AS risk_score FROM rows GROUP BY variant_id)
 SELECT *, {_LEVEL.format(x='risk_score')} AS risk_level FROM agg""")
 def variant_risk(spark, sf_dir):
-    _, changed, comp, found = _impacts(spark, sf_dir)
-    return score.variant_risks(T.members(spark, sf_dir), changed, score.scored_impacts(found, _no_semantic(spark)), comp)
+    scored = score.scored_impacts(_rated(spark, sf_dir), _no_semantic(spark))
+    return score.variant_risks(T.members(spark, sf_dir), T.changed(spark, sf_dir), scored, T.components(spark, sf_dir))
 
 
 #: Similar components beside the graph's own: expensive orders, by a score of their id.
@@ -122,8 +126,8 @@ rows AS (SELECT variant_id, r.score, CASE criticality WHEN 'critical' THEN 4 WHE
 SELECT variant_id, count(*) AS affected_count, {_NAME}, cast(sum(cast(score AS DECIMAL(18, 2))) AS DOUBLE) AS risk_score FROM rows GROUP BY variant_id""")
 def variant_risk_semantic(spark, sf_dir):
     """One level of the graph and many similar components outside it: these raise scores of what is in the graph, and reach no variant."""
-    e, changed, comp = T.edges(spark, sf_dir), T.changed(spark, sf_dir), T.components(spark, sf_dir)
-    found = traverse.traverse(e, changed, 1).join(comp.select(F.col("id").alias("component_id"), "criticality"), "component_id", "left")
+    changed, comp = T.changed(spark, sf_dir), T.components(spark, sf_dir)
+    found = traverse.traverse(T.laid(spark, sf_dir), changed, 1, chains=False).join(comp.select(F.col("id").alias("component_id"), "criticality"), "component_id", "left")
     risks = score.variant_risks(T.members(spark, sf_dir), changed, score.scored_impacts(found, _semantic(comp)), comp)
     return risks.select("variant_id", "affected_count", "max_criticality", "risk_score")
 
@@ -145,7 +149,7 @@ def validate_graph(spark, sf_dir):
 
 @query(f"{_W} SELECT (SELECT count(*) FROM changed) AS changed, count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth > 1) AS indirect, count(*) AS total, (SELECT count(DISTINCT c_nationkey) FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IN (SELECT component_id FROM changed UNION ALL SELECT component_id FROM found)) AS variants_affected, count(*) AS paths FROM found")
 def impact_summary(spark, sf_dir):
-    _, changed, comp, found = _impacts(spark, sf_dir)
+    changed, comp, found = T.changed(spark, sf_dir), T.components(spark, sf_dir), _depths(spark, sf_dir)
     return traverse.result_summary(changed, found, traverse.variant_impacts(T.members(spark, sf_dir), changed, found, comp))
 
 

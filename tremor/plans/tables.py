@@ -5,13 +5,12 @@ An order and a part are linked by every line; the greatest quantity is the coupl
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tremor.functions.ordinals import coupling_name
-from tremor.sources.shared import exists, shared_dir
+from tremor.functions.ordinals import coupling_name, coupling_rank
+from tremor.operators.traverse import Laid
+from tremor.sources.shared import buckets, dealt, exists
 
 MAX_DEPTH = 5
 
@@ -20,29 +19,35 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: By session and folder, the table of edges that was written for it.
-_EDGES: dict[tuple[str, str], str] = {}
+#: By session and folder, the edges that were written for it.
+_EDGES: dict[tuple[str, str], Laid] = {}
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """component_id, module_id, coupling, mod_ord, comp_ord; one written table, as traversals and queries read it many times."""
+def laid(spark: SparkSession, sf_dir: str) -> Laid:
+    """The edges dealt by component and by module; two written tables, as traversals and queries read them many times."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    schema = "component_id long, module_id long, coupling string, mod_ord int, comp_ord int"
-    if key not in _EDGES or not exists(spark, _EDGES[key]):
-        path = f"{shared_dir(spark)}/graph-edges-{uuid.uuid4().hex}"
-        _edges(spark, sf_dir).write.parquet(path)
-        _EDGES[key] = path
-    return spark.read.schema(schema).parquet(_EDGES[key])
+    if key not in _EDGES or not all(exists(spark, t.inputFiles()[0]) for t in (_EDGES[key].by_component, _EDGES[key].by_module)):
+        _EDGES[key] = _edges(spark, sf_dir)
+    return _EDGES[key]
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """component_id, module_id, coupling, mod_ord, comp_ord."""
+    return laid(spark, sf_dir).by_module
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+def _edges(spark: SparkSession, sf_dir: str) -> Laid:
+    """Lines are dealt by order once, edges by part once; what is written is dealt as it was computed."""
+    line = read(spark, sf_dir, "lineitem")
+    n = buckets(spark, line.count())
     k = F.when(F.col("l_quantity") >= 34, 3).when(F.col("l_quantity") >= 17, 2).otherwise(1)
-    e = line.groupBy(F.col("l_orderkey").alias("component_id"), F.col("l_partkey").alias("module_id")).agg(F.max(k).alias("k"))
-    e = e.select("component_id", "module_id", coupling_name(F.col("k")).alias("coupling"))
+    e = line.select(F.col("l_orderkey").cast("long").alias("component_id"), F.col("l_partkey").cast("long").alias("module_id"), k.alias("k")).repartition(n, "component_id")
+    e = e.groupBy("component_id", "module_id").agg(F.max("k").alias("k"))
     e = e.withColumn("mod_ord", F.row_number().over(Window.partitionBy("component_id").orderBy("module_id")))
+    by_component = dealt(e.select("component_id", "module_id", coupling_name(F.col("k")).alias("coupling"), "mod_ord"), "edges-by-component", "component_id", n, ready=True)
+    e = by_component.select("component_id", "module_id", coupling_rank(F.col("coupling")).alias("k"), "mod_ord").repartition(n, "module_id")
     e = e.withColumn("comp_ord", F.row_number().over(Window.partitionBy("module_id").orderBy("component_id")))
-    return e.select(F.col("component_id").cast("long"), F.col("module_id").cast("long"), "coupling", "mod_ord", "comp_ord")
+    return Laid(by_component, dealt(e.select("component_id", "module_id", coupling_name(F.col("k")).alias("coupling"), "mod_ord", "comp_ord"), "edges-by-module", "module_id", n, ready=True))
 
 
 CUSTOMER = 1

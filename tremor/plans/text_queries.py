@@ -105,9 +105,8 @@ SELECT coalesce(i.component_id, sem.component_id) AS component_id, coalesce(dept
       * (CASE WHEN b IS NULL THEN 1 ELSE 1.25 END) END AS DOUBLE), 1) AS score
 FROM i FULL JOIN sem ON i.component_id = sem.component_id""")
 def hybrid_merge(spark, sf_dir):
-    e = T.edges(spark, sf_dir)
     comp = T.components(spark, sf_dir).select(F.col("id").alias("component_id"), "criticality", "o_totalprice")
-    found = traverse.traverse(e, T.changed(spark, sf_dir), T.MAX_DEPTH).join(comp.drop("o_totalprice"), "component_id")
+    found = traverse.traverse(T.laid(spark, sf_dir), T.changed(spark, sf_dir), T.MAX_DEPTH, chains=False).join(comp.drop("o_totalprice"), "component_id")
     sem = comp.filter("o_totalprice > 150000").withColumn("best_score", 0.25 + F.col("component_id") % 4 * 0.125)
     out = score.scored_impacts(found, sem)
     return out.select("component_id", "depth", "coupling", "has_semantic", F.bround("score", 1).alias("score"))
@@ -265,7 +264,7 @@ def name_helpers(spark, sf_dir):
 
 def _graph(spark, sf_dir, orphans=False):
     """Components with modules from the order tables, as nested rows; with ``orphans``, those without modules too, and price and customer."""
-    e = T.edges(spark, sf_dir)
+    e = T.laid(spark, sf_dir).by_component
     nested = e.groupBy("component_id").agg(F.sort_array(F.collect_list(F.struct("mod_ord", "module_id", "coupling"))).alias("r"))
     c = T.components(spark, sf_dir).join(nested, F.col("id") == F.col("component_id"), "left" if orphans else "inner")
     if orphans:

@@ -28,6 +28,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a bucket, about: what is built into a hash table from the other side of a join has no more keys.
+BUCKET_ROWS = 300_000
+
+
+def buckets(spark: SparkSession, rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+
+
+def dealt(df: DataFrame, label: str, key: str, n: int, ready: bool = False) -> DataFrame:
+    """``df`` as a table in the shared folder, one file for each of ``n`` buckets of ``key``: what joins or groups it by the key moves the other side only.
+
+    ``ready``: it is partitioned so already.
+    """
+    name = f"{label}-{uuid.uuid4().hex}"
+    table = name.replace("-", "_")
+    df = df if ready else df.repartition(n, key)
+    df.write.bucketBy(n, key).option("path", f"{shared_dir(df.sparkSession)}/{name}").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
