@@ -131,6 +131,29 @@ def test_edges_stay_where_they_are(spark):
         assert plan.count("Exchange") == 1 and "SortMergeJoin" not in plan
 
 
+def test_components_by_contraction(spark, monkeypatch):
+    """Chains, stars and random lists; a long chain is followed by doubling, and a round leaves fewer edges than it had."""
+    import random
+
+    from tremor.operators import components
+
+    rnd, seen = random.Random(7), []
+    counted = components._counted
+    monkeypatch.setattr(components, "_counted", lambda rows, what: seen.append(counted(rows, what)) or seen[-1])
+    ids = [f"n{i:03}" for i in range(200)]
+    mixed = rnd.sample(ids[100:140], 40)
+    pairs = [(ids[i], ids[i + 1]) for i in range(60)] + [(ids[99], x) for x in ids[70:99]] + list(zip(mixed, mixed[1:], strict=False)) + [(rnd.choice(ids[140:180]), rnd.choice(ids[140:180])) for _ in range(30)] + [(ids[190], ids[190]), (None, ids[0]), (ids[5], ids[5])]
+    root = {x: x for p in pairs for x in p if x and None not in p}
+    for _ in ids:
+        for a, b in pairs:
+            if a and b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = components.connected_components(spark.createDataFrame(pairs, "u string, v string")).collect()
+    assert sorted((r.node, r.component) for r in got) == sorted(root.items())
+    # two rounds or three over 160 edges, with a pass for each doubling: stars took the whole list again for each
+    assert len(seen) <= 24 and seen[-1][1] == 0
+
+
 def test_merge_with_semantic(spark):
     impacts = spark.createDataFrame([("a", 1, True, "tight", "high")], "component_id string, depth int, is_direct boolean, min_coupling string, criticality string")
     sem = spark.createDataFrame([("a", 0.9, "high"), ("b", 0.8, "critical")], "component_id string, best_score double, criticality string")

@@ -9,6 +9,7 @@ from tremor.functions.ordinals import coupling_rank
 from tremor.operators import gaps, graph, score, traverse
 from tremor.operators.components import connected_components
 from tremor.plans import tables as T
+from tremor.sources.shared import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -199,8 +200,12 @@ r(node, component) USING KEY (node) AS (SELECT DISTINCT u, u FROM s
   UNION SELECT s.v, min(r.component) FROM r JOIN s ON s.u = r.node JOIN recurring.r AS known ON known.node = s.v WHERE r.component < known.component GROUP BY s.v)
 SELECT node, component FROM r""")
 def connectivity(spark, sf_dir):
+    """Orders are even numbers and parts odd ones while they are linked; the least name of a component is found at the end."""
     e = T.edges(spark, sf_dir)
-    return connected_components(e.select(F.concat(F.lit("c"), "component_id").alias("u"), F.concat(F.lit("m"), "module_id").alias("v")))
+    found = connected_components(e.select((F.col("component_id") * 2).alias("u"), (F.col("module_id") * 2 + 1).alias("v")))
+    name = F.concat(F.when(F.col("node").bitwiseAND(1) == 0, "c").otherwise("m"), F.shiftright("node", 1))
+    named = written(found.select(name.alias("node"), F.col("component").alias("number")), "named")
+    return named.join(named.groupBy("number").agg(F.min("node").alias("component")), "number").select("node", "component")
 
 
 @query(f"WITH {T.EDGES_SQL} SELECT o_orderkey AS id, 'Order ' || o_orderkey AS name FROM orders WHERE o_orderkey NOT IN (SELECT component_id FROM e)")
