@@ -204,6 +204,17 @@ def test_gaps_and_session(spark, seed):
     assert session.suggest([type("G", (), {"question": "q"})()] * 3, lambda p: '["x", "y", "z"]' if "1." in p else "one", 3) == ["x", "y", "z"]
 
 
+def test_gaps_work_out_edges_once(spark):
+    from tremor.sources.shared import written
+
+    g = make(spark, {"lone": ("high", ""), "b": ("high", "only t, both t"), "c": ("low", "both l")}, {"v": ["b"]})
+    g = graph.GraphTables(written(g.components, "c"), g.edges, written(g.variants, "v"), g.variant_components)
+    found = gaps.detect(g)
+    # the places of an edge are windows; no rule computes them again
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.gap_type, r.entity_id) for r in found.collect()} == {("orphan_component", "lone"), ("isolated_module", "only"), ("coupling_ambiguity", "b"), ("no_variant_assignment", "lone"), ("no_variant_assignment", "c")}
+
+
 def test_validation(seed):
     cases = validation.generate(seed, direct=2, indirect=1, cycles=1)
     assert validation.run(seed, cases) == [] and validation.problems(seed) == []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tremor.functions.ordinals import SEVERITY, lookup
 from tremor.operators.graph import GraphTables, bipartite
-from tremor.sources.shared import written
+from tremor.sources.shared import buckets, dealt, written
 
 #: Fixed values.
 GENERIC_PREFIXES = ("Service:", "Class ", "Directory module:")
@@ -19,8 +19,9 @@ def orphan_components(components: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def isolated_modules(edges: DataFrame) -> DataFrame:
-    """module_id and the one component_id that uses it."""
-    return edges.groupBy("module_id").agg(F.count_distinct("component_id").alias("n"), F.min("component_id").alias("component_id")).filter("n = 1").drop("n")
+    """module_id and the one component_id that uses it: the least and the greatest user are one."""
+    ends = edges.groupBy("module_id").agg(F.min("component_id").alias("component_id"), F.max("component_id").alias("last"))
+    return ends.filter("component_id = last").drop("last")
 
 
 def missing_description(text: Column) -> Column:
@@ -114,7 +115,10 @@ def _gap(df: DataFrame, no: int, kind: str, severity: str, entity: Column, name:
 
 def detect(g: GraphTables, parsed: DataFrame | None = None) -> DataFrame:
     """All gaps; order by severity, check_no, row_no (a pair that compares). ``parsed`` (id, name, source_file, confidence, ord) adds two rules."""
-    c, edges = g.components, bipartite(g)
+    c = g.components
+    # Seven rules read the edges, most of them by component: they are worked out once and dealt so.
+    edges = written(bipartite(g).select("component_id", "module_id", "coupling"), "gap-edges")
+    edges = dealt(edges, "gap-edges-by-component", "component_id", buckets(c.sparkSession, edges.count()))
     L, fs, col = F.lit, F.format_string, F.col
     by_load = [col("load_ord").cast("long"), L("")]
     parts = [

@@ -44,7 +44,8 @@ def build_graph(components: DataFrame, variants: DataFrame) -> GraphTables:
     """Fills defaults, upserts by id and derives the edges; edges to a module that is itself a component stay listed."""
     every = components.filter("id is not null")
     # An edge is at the place of its first mention and has the attributes of its last; edges of replaced definitions stay.
-    told = every.select("id", "load_ord", F.posexplode("modules").alias("pos", "m"))
+    # Definitions move by id before they become edges, in one exchange for all that is asked of a component.
+    told = every.repartition("id").select("id", "load_ord", F.posexplode("modules").alias("pos", "m"))
     at = Window.partitionBy("id", "m.module_id")
     edges = (
         told.filter("m.module_id is not null")
